@@ -37,3 +37,12 @@ def width(spark: SparkSession, per_core: int = 3) -> int:
     get several, and at least what the session shuffles into."""
     cores = spark.sparkContext.defaultParallelism
     return max(cores * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def for_every_core(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows as they are read where that gives each core a partition, else spread by
+    the keys: wide columns are shuffled only when work would stand still without."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(width(spark, 2), *keys)
