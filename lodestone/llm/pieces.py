@@ -155,6 +155,17 @@ def boundary_table(large: DataFrame) -> DataFrame:
     return ranges.repartition(n, "node_id", "begin").mapInPandas(_range_boundaries, "node_id string, begin int, lines array<int>, sections array<int>")
 
 
+def planned(large: DataFrame) -> DataFrame:
+    """node_id, begins, ends, shared: the pieces of each oversized text by offset."""
+    facts = large.select("node_id", "n_chars", "max_tokens", "overlap")
+    return boundary_table(large).join(facts, "node_id").groupBy("node_id").applyInPandas(_stitch, "node_id string, begins array<int>, ends array<int>, shared array<int>")
+
+
+def cut_files(large: DataFrame) -> DataFrame:
+    """node_id of the texts that are cut into more than one piece."""
+    return planned(large).where(F.size("begins") > 1).select("node_id")
+
+
 def pieces(files: DataFrame, texts: DataFrame, registry: DataFrame) -> DataFrame:
     """node_id, piece_no, begin_char, end_char, shared_chars, text of the pieces of all
     oversized texts: each of at most max_tokens tokens, cut at section or line ends
@@ -168,8 +179,7 @@ def pieces(files: DataFrame, texts: DataFrame, registry: DataFrame) -> DataFrame
     at most two gigabytes, fits one task.  Texts within the limit give no rows.
     """
     large = oversized(files, texts, registry)
-    facts = large.select("node_id", "n_chars", "max_tokens", "overlap")
-    plan = boundary_table(large).join(facts, "node_id").groupBy("node_id").applyInPandas(_stitch, "node_id string, begins array<int>, ends array<int>, shared array<int>")
+    plan = planned(large)
     return large.select("node_id", "content").join(plan, "node_id").mapInPandas(
         _emit, "node_id string, piece_no int, begin_char int, end_char int, shared_chars int, text string"
     )
