@@ -24,13 +24,15 @@ FIT_DOCUMENTS = 2000
 NON_PROSE = 0.5
 
 _WORD = re.compile(r"[^\W_](?:[\w'’\-]*[^\W_])?")
-_TOKEN = re.compile(r"\S*\w\S*")
+#: Words of a unit with links: a target is one word.
+_COUNTED = re.compile(r"[^\s,;|·•»()\[\]<>\"]*\w[^\s,;|·•»()\[\]<>\"]*")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"']+|(?<![\w/.])\.{0,2}/[\w.\-]+(?:/[\w.\-]+)*/?(?:[#?][\w=&%\-]+)*")
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|!?\[(?:[^\[\]]|\[[^\[\]]*\](?:\([^()]*\))?)*\]\([^()\s]*\)", re.I | re.S)
 _END = re.compile(r"[.!?…][\"'”’)\]»]*\s*[|)\]]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]»]*\s+")
 _ITEM = re.compile(r"[,;|/·•»]|\s[-–]\s|\s{2,}|(?=#\w)")
 _PRODUCT = re.compile(r"\b\d+[.,]\d\d\b|[$€£]\s?\d|\b(?:sku|ean|isbn)\b\W*\d", re.I)
+_HEADING = re.compile(r"#{1,6}\s")
 _LEAD = re.compile(r"^(?:[-*+•>]+|\d+[.)]|\[[\d: ]+\]|\|)\s+")
 
 
@@ -64,49 +66,48 @@ def units(text: str) -> list[str]:
     return out
 
 
-def _steps(x: float, *limits: float) -> int:
-    return sum(x > t for t in limits)
-
-
 def features(lines: list[str]) -> list[tuple[int, tuple[int, ...]]]:
     """Number of words and observed values of each unit: links, repetition around it,
-    share of its commonest pair of words, sentence, separators, length, heading,
-    product."""
+    share of its commonest pair of words (where words are repeated at all), sentence,
+    separators (of units that are no sentence), length, heading, product."""
     bare, tokens = [], []
     for line in lines:
-        b = _URL.sub(" \x00 ", _ANCHOR.sub(" \x00 ", _LEAD.sub("", line)))
+        b = _LEAD.sub("", line)
+        if "](" in b or "<a" in b or "<A" in b:
+            b = _ANCHOR.sub(" \x00 ", b)
+        if "/" in b or "www." in b:
+            b = _URL.sub(" \x00 ", b)
         bare.append(b)
-        tokens.append([w.lower() for w in _WORD.findall(b)])
+        tokens.append(_WORD.findall(b.lower()))
     flat = [w for t in tokens for w in t]
-    begin, out = 0, []
+    total, begin, out = len(flat), 0, []
     for line, b, t in zip(lines, bare, tokens):
-        n = len(_TOKEN.findall(line))
-        end = begin + len(t)
-        # the unit and what follows it, with what stands before where the page ends
-        lo = max(0, min(begin - max(0, WINDOW_WORDS - len(t)) // 2, len(flat) - WINDOW_WORDS))
+        m = len(t)
+        end = begin + m
+        # the unit with as much of what stands around it as fills the window
+        lo = max(0, min(begin - max(0, WINDOW_WORDS - m) // 2, total - WINDOW_WORDS))
         window = flat[lo : max(end, lo + WINDOW_WORDS)]
-        distinct = len(set(window)) / min(len(window), WINDOW_WORDS) if len(window) >= 12 else 1.0
-        if len(window) > WINDOW_WORDS:
-            distinct = sum(len(set(window[k : k + WINDOW_WORDS])) for k in (0, len(window) - WINDOW_WORDS)) / (2 * WINDOW_WORDS)
-        pairs = Counter(zip(window, window[1:]))
-        top = 2 * max(pairs.values()) / len(window) if len(window) >= 12 else 0.0
+        size = len(window)
+        if size > WINDOW_WORDS:
+            distinct = (len(set(window[:WINDOW_WORDS])) + len(set(window[-WINDOW_WORDS:]))) / (2 * WINDOW_WORDS)
+        else:
+            distinct = len(set(window)) / size if size >= 12 else 1.0
+        top = 2 * max(Counter(zip(window, window[1:])).values()) / size if distinct <= 0.5 else 0.0
         links = b.count("\x00")
-        rest = b.replace("\x00", " ").strip()
-        sentence = len(t) >= 4 and bool(_END.search(rest))
-        items = len([x for x in _ITEM.split(_LEAD.sub("", line)) if x.strip()])
-        dense = items / max(1, len(t))
+        sentence = m >= 4 and bool(_END.search(b.replace("\x00", " ") if links else b[-12:]))
+        items = 0 if sentence else len([x for x in _ITEM.split(_LEAD.sub("", line)) if x.strip()])
         out.append(
             (
-                n,
+                len(_COUNTED.findall(line)) if links else max(1, m),
                 (
-                    0 if not links else 1 if sentence and len(t) >= 4 * links else 2,
-                    _steps(distinct, 0.16, 0.24, 0.3, 0.38, 0.5),
-                    _steps(top, 0.12, 0.2, 0.3, 0.4),
+                    0 if not links else 1 if sentence and m >= 4 * links else 2,
+                    0 if distinct <= 0.16 else 1 if distinct <= 0.24 else 2 if distinct <= 0.3 else 3 if distinct <= 0.38 else 4 if distinct <= 0.5 else 5,
+                    0 if top <= 0.12 else 1 if top <= 0.2 else 2 if top <= 0.3 else 3 if top <= 0.4 else 4,
                     int(sentence),
-                    0 if items < 3 else 1 + _steps(dense, 0.2, 0.35),
-                    _steps(len(t), 2, 6, 14),
-                    int(bool(re.match(r"#{1,6}\s", line))),
-                    int(bool(_PRODUCT.search(b)) and not sentence),
+                    0 if items < 3 else 1 if items <= 0.2 * m else 2 if items <= 0.35 * m else 3,
+                    0 if m <= 2 else 1 if m <= 6 else 2 if m <= 14 else 3,
+                    int(line[0] == "#" and bool(_HEADING.match(line))),
+                    int(not sentence and bool(_PRODUCT.search(b))),
                 ),
             )
         )
@@ -181,23 +182,36 @@ def fit(documents: DataFrame, sample: int = FIT_DOCUMENTS) -> dict:
 
 def viterbi(observed: list[tuple[int, ...]], model: dict) -> list[int]:
     """The likeliest states; of equal ones the first."""
-    emit, step = model["emit"], model["step"]
+    if not observed:
+        return []
+    emit, known = model["emit"], model.setdefault("known", {})
+    into = list(zip(*model["step"]))  # per state: from each state
     k = range(len(STATES))
-    score, back = [0.0] * len(STATES), []
+    score, back = (0.0,) * len(STATES), []
     for i, x in enumerate(observed):
+        at = known.get(x)
+        if at is None:
+            at = known[x] = tuple(sum(emit[s][f][v] for f, v in enumerate(x)) for s in k)
+        if i == 0:
+            score = at
+            continue
+        a, b, c, d = score
         now, come = [], []
         for s in k:
-            e = emit[s]
-            at = sum([e[f][v] for f, v in enumerate(x)])
-            best = max(k, key=lambda p: score[p] + step[p][s]) if i else s
-            now.append((score[best] + step[best][s] if i else 0.0) + at)
-            come.append(best)
+            t = into[s]
+            best, p = a + t[0], 0
+            if (v := b + t[1]) > best:
+                best, p = v, 1
+            if (v := c + t[2]) > best:
+                best, p = v, 2
+            if (v := d + t[3]) > best:
+                best, p = v, 3
+            now.append(best + at[s])
+            come.append(p)
         score = now
         back.append(come)
-    if not back:
-        return []
     path = [max(k, key=lambda s: score[s])]
-    for come in reversed(back[1:]):
+    for come in reversed(back):
         path.append(come[path[-1]])
     return path[::-1]
 
