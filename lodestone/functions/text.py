@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind around it (trim takes blanks only)."""
+    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+
+
 def slug(x: Column) -> Column:
     """Lower case, blanks and dashes as underscores, else letters and digits only."""
     return F.regexp_replace(F.translate(F.lower(x), " -", "__"), r"[^\p{L}\p{N}_]", "")
@@ -145,7 +150,7 @@ def normal_name(x: Column, synonyms: dict[str, str] | None = None, lemmas: bool
     """Lower case, without a leading article, underscores and dashes as blanks, each
     word replaced by its synonym (and lemma)."""
     table = SYNONYMS | (synonyms or {})
-    y = F.regexp_replace(F.lower(F.trim(x)), r"^(the|a|an)\s+", "")
+    y = F.regexp_replace(F.lower(stripped(x)), r"^(the|a|an)\s+", "")
     y = F.trim(F.regexp_replace(y, r"[_\-\s]+", " "))
     means = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
     one = (lambda w: F.coalesce(means[lemma(w)], lemma(w))) if lemmas else (lambda w: F.coalesce(means[w], w))
@@ -161,14 +166,14 @@ def similarity(a: Column, b: Column) -> Column:
 def json_of(response: Column) -> Column:
     """The JSON in a response: a fenced block, else the text if it begins with a bracket,
     else its widest object, else the text."""
-    fenced = F.nullif(F.trim(F.regexp_extract(response, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)), F.lit(""))
-    whole = F.when(F.trim(response).rlike(r"^[\[{]"), F.trim(response))
+    fenced = F.nullif(stripped(F.regexp_extract(response, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)), F.lit(""))
+    whole = F.when(stripped(response).rlike(r"^[\[{]"), stripped(response))
     inside = F.nullif(F.regexp_extract(response, r"(?s)(\{.*\})", 1), F.lit(""))
     return F.coalesce(fenced, whole, inside, response)
 
 
 def without_fence(x: Column) -> Column:
-    inner = F.regexp_extract(F.trim(x), r"(?s)^```\w*\s*\n(.*?)\n?```$", 1)
+    inner = F.regexp_extract(stripped(x), r"(?s)^```\w*\s*\n(.*?)\n?```$", 1)
     return F.when(inner == "", x).otherwise(inner)
 
 

@@ -28,7 +28,7 @@ def references(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     for name, (rows, key, space) in tables.items():
         ends = F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
         one = rows.groupBy(F.col(key).cast("string").alias("record_id")).agg(
-            F.min("loaded_at").alias("at"), F.min(F.struct(F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp")), ends.alias("ends")))["ends"].alias("ends")
+            F.min(F.col("loaded_at").cast("timestamp_ntz")).alias("at"), F.min(F.struct(F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")), ends.alias("ends")))["ends"].alias("ends")
         )
         parts.append(
             one.select(
@@ -51,8 +51,8 @@ def lifetimes(spaces: dict[str, list[tuple[DataFrame, str, str | None]]]) -> Dat
         for rows, key, gone in tables:
             parts.append(
                 rows.where(F.col(key).isNotNull() & F.col("loaded_at").isNotNull()).select(
-                    F.lit(space).alias("space"), F.col(key).alias("id"), F.col("loaded_at").alias("born"),
-                    (F.col(gone) if gone else F.lit(None).cast("timestamp")).alias("gone"),
+                    F.lit(space).alias("space"), F.col(key).alias("id"), F.col("loaded_at").cast("timestamp_ntz").alias("born"),
+                    (F.col(gone) if gone else F.lit(None)).cast("timestamp_ntz").alias("gone"),
                 )
             )
     every = reduce(DataFrame.unionByName, parts)
@@ -65,7 +65,7 @@ def month_number(t: Column) -> Column:
 
 
 def _month_begin(m: Column) -> Column:
-    return F.make_timestamp(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return F.make_date(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1)).cast("timestamp_ntz")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -101,7 +101,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     ranges = ranges or 4 * width(spark)
     refs = refs.withColumn("month", F.coalesce(month_number(F.col("at")), F.lit(-1)))
     pairs = refs.select("space", "id", "month").distinct()
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast("timestamp_ntz")
     both = pairs.select("space", "id", "month", none.alias("born"), none.alias("gone")).unionByName(
         parents.select("space", "id", F.lit(None).cast("int").alias("month"), "born", "gone")
     )

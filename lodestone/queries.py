@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import references
+from .functions import text
+from .operators import chunks, classify, consistency, extract, graph, model, numbering, ranking, references, responses, versioning
+from .plans.lineage import checkpoint_folder
+from .sources import eventlog, files
 from .sources.tables import table
+from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,16 +34,16 @@ def query(sql: str | None = None) -> Callable:
 
 _REFERENCES = """
 WITH e AS (
-  SELECT 'graph_edges' AS table_name, edge_id AS record_id, min(loaded_at) AS at, arg_min(source_id, loaded_at) AS s, arg_min(target_id, loaded_at) AS t FROM graph_edges GROUP BY edge_id
+  SELECT 'graph_edges' AS table_name, edge_id AS record_id, min(loaded_at) AS moment, arg_min(source_id, loaded_at) AS s, arg_min(target_id, loaded_at) AS t FROM graph_edges GROUP BY edge_id
   UNION ALL SELECT 'relationships', identifier, min(loaded_at), arg_min(source_id, loaded_at), arg_min(target_id, loaded_at) FROM relationships GROUP BY identifier),
-r AS (SELECT table_name, record_id, at, 'source' AS endpoint, s AS id FROM e UNION ALL SELECT table_name, record_id, at, 'target', t FROM e),
+r AS (SELECT table_name, record_id, moment, 'source' AS endpoint, s AS id FROM e UNION ALL SELECT table_name, record_id, moment, 'target', t FROM e),
 p AS (
   SELECT 'graph_edges' AS table_name, node_id AS id, loaded_at AS born, deleted_at AS gone FROM file_nodes
   UNION ALL SELECT 'graph_edges', node_id, loaded_at, deleted_at FROM dependency_nodes
   UNION ALL SELECT 'graph_edges', node_id, loaded_at, deleted_at FROM technology_nodes
   UNION ALL SELECT 'graph_edges', node_id, loaded_at, NULL FROM repositories
   UNION ALL SELECT 'relationships', identifier, loaded_at, disabled_at FROM elements),
-o AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM p WHERE p.table_name = r.table_name AND p.id = r.id AND p.born <= r.at AND (p.gone IS NULL OR p.gone > r.at)) AS orphan FROM r WHERE id IS NOT NULL)
+o AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM p WHERE p.table_name = r.table_name AND p.id = r.id AND p.born <= r.moment AND (p.gone IS NULL OR p.gone > r.moment)) AS orphan FROM r WHERE id IS NOT NULL)
 """
 
 
@@ -48,8 +55,572 @@ def p2_found(t):
 
 @query(
     _REFERENCES
-    + """SELECT table_name, CAST(date_trunc('month', at) AS DATE) AS month, count(*) AS "references", CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS orphans,
+    + """SELECT table_name, CAST(date_trunc('month', moment) AS DATE) AS month, count(*) AS "references", CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS orphans,
   sum(CASE WHEN orphan THEN 1 ELSE 0 END) / count(*) AS share FROM o GROUP BY 1, 2"""
 )
 def p2_report(t):
     return references.orphan_report(*references.graph_references(t))
+
+
+# ---------------------------------------------------------------- graphs
+_NODES = "SELECT node_id, active, repository_name FROM file_nodes UNION ALL SELECT node_id, active, repository_name FROM dependency_nodes UNION ALL SELECT node_id, active, repository_name FROM technology_nodes"
+
+
+def _nodes(t):
+    some = lambda n: t(n).select("node_id", "active", "repository_name")
+    return some("file_nodes").unionByName(some("dependency_nodes")).unionByName(some("technology_nodes"))
+
+
+def _edges(t):
+    return t("graph_edges").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+
+
+def _model_edges(t):
+    return t("relationships").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+
+
+@query(f"WITH n AS ({_NODES}), a AS (SELECT DISTINCT node_id FROM n WHERE active) SELECT source_id AS source, target_id AS target FROM graph_edges WHERE source_id IN (SELECT node_id FROM a) AND target_id IN (SELECT node_id FROM a)")
+def s5_active_edges(t):
+    return graph.active_edges(t("graph_edges"), _nodes(t))
+
+
+@query(f"WITH n AS ({_NODES}), a AS (SELECT DISTINCT node_id FROM n WHERE active AND repository_name = 'atlas-platform') SELECT source_id AS source, target_id AS target FROM graph_edges WHERE source_id IN (SELECT node_id FROM a) AND target_id IN (SELECT node_id FROM a)")
+def s5_repository_edges(t):
+    return graph.active_edges(t("graph_edges"), _nodes(t), "atlas-platform")
+
+
+_CLEAN = "SELECT DISTINCT source_id AS s, target_id AS t FROM {} WHERE source_id IS NOT NULL AND target_id IS NOT NULL"
+_DEGREES = f"WITH e AS ({_CLEAN.format('graph_edges')}), d AS (SELECT s AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT t, 1, 0 FROM e), g AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM d GROUP BY node)"
+
+
+@query(_DEGREES + " SELECT * FROM g")
+def a1_degrees(t):
+    return graph.degrees(_edges(t))
+
+
+@query("WITH e AS (SELECT * FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL), n AS (SELECT source_id AS node FROM e UNION SELECT target_id FROM e) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / (CAST((SELECT count(*) FROM n) AS DOUBLE) * ((SELECT count(*) FROM n) - 1)), 6) AS density")
+def a2_graph_facts(t):
+    return graph.graph_facts(_edges(t))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    both = f"e AS ({_CLEAN.format('relationships')}), b AS (SELECT s AS node, t AS other FROM e UNION SELECT t, s FROM e), d AS (SELECT node, count(*) AS deg FROM b GROUP BY node), n AS (SELECT count(*) AS n FROM d), r0 AS (SELECT node, 1.0 / n AS r FROM d, n)"
+    steps = "".join(f", r{k} AS (SELECT b.other AS node, any_value(0.15 / n) + 0.85 * sum(r / deg) AS r FROM r{k - 1} JOIN b USING (node) JOIN d USING (node), n GROUP BY b.other)" for k in range(1, rounds + 1))
+    return f"WITH {both}{steps} SELECT node, round(r, 9) AS pagerank FROM r{rounds}"
+
+
+@query(_pagerank_sql(6))
+def g2_pagerank(t):
+    return graph.pagerank(_model_edges(t), max_iter=6, tol=0).select("node", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query(f"WITH RECURSIVE e AS ({_CLEAN.format('relationships')}), b AS (SELECT s AS node, t AS other FROM e UNION SELECT t, s FROM e), r AS (SELECT node, node AS other FROM b UNION SELECT r.node, b.other FROM r JOIN b ON r.other = b.node) SELECT node, min(other) AS component FROM r GROUP BY node")
+def g_components(t):
+    return graph.components(_model_edges(t))
+
+
+@query()
+def g3_communities(t):
+    return graph.communities(_model_edges(t))
+
+
+@query()
+def g4_kcore(t):
+    return graph.kcore(_edges(t))
+
+
+@query()
+def g5_articulation_points(t):
+    return graph.articulation_points(_model_edges(t))
+
+
+@query()
+def g6_enriched(t):
+    return graph.enriched(_model_edges(t), ["degree", "kcore", "pagerank"], {"pagerank": {"max_iter": 8, "tol": 0.0}}, percentiles=True)
+
+
+@query(_DEGREES + ", c AS (SELECT in_degree AS v, count(*) AS n, sum(count(*)) OVER (ORDER BY in_degree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM g GROUP BY in_degree), k AS (SELECT count(*) AS m FROM g) SELECT g.node, g.in_degree, round(100.0 * (coalesce(b, 0) + (n - 1) / 2) / (m - 1), 2) AS percentile FROM g JOIN c ON g.in_degree = c.v, k")
+def w2_degree_percentiles(t):
+    return numbering.percentiles_by_mean_rank(graph.degrees(_edges(t)), "in_degree").select("node", "in_degree", "percentile")
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT source_id AS node, target_id AS child FROM graph_edges WHERE relationship_type = 'CONTAINS' AND source_id IS NOT NULL AND target_id IS NOT NULL), r AS (SELECT child AS node, 1 AS depth FROM e WHERE node = 'repo_atlas-platform' UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON r.node = e.node WHERE r.depth < 50) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+def containment_closure(t):
+    return graph.containment(t("graph_edges"), "repo_atlas-platform")
+
+
+# ---------------------------------------------------------------- ranking
+_CAND = "SELECT node_id, max(name) AS name, max(pagerank) AS pagerank, max(louvain_community) AS louvain_community FROM candidates GROUP BY node_id"
+
+
+def _candidates(t):
+    return t("candidates").groupBy("node_id").agg(F.max("name").alias("name"), F.max("pagerank").alias("pagerank"), F.max("louvain_community").alias("louvain_community"))
+
+
+@query(f"WITH c AS ({_CAND}) SELECT node_id, round(100.0 * (row_number() OVER (ORDER BY pagerank, node_id) - 1) / (count(*) OVER () - 1), 2) AS percentile FROM c")
+def w1_pagerank_percentiles(t):
+    return numbering.percentiles_by_place(_candidates(t), "pagerank", "node_id").select("node_id", "percentile")
+
+
+@query(f"WITH c AS ({_CAND}) SELECT node_id, CAST((row_number() OVER (ORDER BY pagerank DESC, node_id) - 1) // 25 AS BIGINT) AS batch FROM c")
+def w4_batches(t):
+    return ranking.batches(_candidates(t), [F.col("pagerank").desc(), F.col("node_id").asc()], 25).select("node_id", "batch")
+
+
+@query(f"WITH c AS ({_CAND}), r AS (SELECT *, row_number() OVER (ORDER BY pagerank DESC, node_id) AS k FROM c), f AS (SELECT *, min(k) OVER (PARTITION BY louvain_community) AS f FROM r) SELECT node_id, CAST((row_number() OVER (ORDER BY f, k) - 1) // 25 AS BIGINT) AS batch FROM f")
+def w5_community_batches(t):
+    return ranking.community_batches(_candidates(t), [F.col("pagerank").desc(), F.col("node_id").asc()], 25).select("node_id", "batch")
+
+
+@query("SELECT node_id, dependency_name FROM (SELECT *, row_number() OVER (PARTITION BY repository_name, lower(dependency_name) ORDER BY record_id) AS k FROM dependency_nodes WHERE trim(dependency_name) <> '') WHERE k = 1")
+def w6_first_dependency(t):
+    rows = t("dependency_nodes").withColumn("low", F.lower("dependency_name")).select("repository_name", "low", "record_id", "node_id", "dependency_name")
+    return ranking.first_of(rows, ["repository_name", "low"], [F.col("record_id")]).select("node_id", "dependency_name")
+
+
+@query(f"WITH c AS ({_CAND}) SELECT node_id, pagerank FROM c WHERE pagerank >= 0.00001 ORDER BY pagerank DESC, node_id LIMIT 40")
+def k1_top(t):
+    return ranking.top_ranked(_candidates(t), top=40, least=0.00001).select("node_id", "pagerank")
+
+
+@query(f"WITH c AS ({_CAND}), r AS (SELECT *, row_number() OVER (ORDER BY pagerank DESC, node_id) AS k, count(*) OVER () AS n FROM c) SELECT node_id, pagerank FROM r WHERE k <= greatest(1, CAST(floor(n * 10 / 100.0) AS BIGINT))")
+def k1_percentile(t):
+    return ranking.top_ranked(_candidates(t), percentile=90).select("node_id", "pagerank")
+
+
+_INCLUDE, _EXCLUDE = ["publish", "release", "schedule", "convert"], ["test", "_", "audit"]
+_LIKELY = "coalesce(name, '') <> '' AND NOT (" + " OR ".join(f"contains(lower(name), '{p}')" for p in _EXCLUDE) + ") AND (" + " OR ".join(f"contains(lower(name), '{p}')" for p in _INCLUDE) + ")"
+
+
+@query(f"WITH c AS ({_CAND}) SELECT node_id, coalesce({_LIKELY}, false) AS likely FROM c")
+def p5_likely(t):
+    return _candidates(t).select("node_id", ranking.likely(F.col("name"), _INCLUDE, _EXCLUDE).alias("likely"))
+
+
+@query(
+    f"WITH c AS (SELECT *, coalesce({_LIKELY}, false) AS likely FROM ({_CAND})), l AS (SELECT * FROM c WHERE likely ORDER BY pagerank DESC, node_id LIMIT 15), o AS (SELECT * FROM c WHERE NOT likely ORDER BY pagerank DESC, node_id LIMIT 30), "
+    "b AS (SELECT *, row_number() OVER (ORDER BY NOT likely, pagerank DESC, node_id) AS r FROM (SELECT * FROM l UNION ALL SELECT * FROM o)) SELECT node_id, likely FROM b WHERE r <= 30"
+)
+def k2_two_buckets(t):
+    c = _candidates(t).withColumn("likely", ranking.likely(F.col("name"), _INCLUDE, _EXCLUDE))
+    return ranking.two_buckets(c, "likely", 30).select("node_id", "likely")
+
+
+@query(
+    f"WITH c AS ({_CAND}), r AS (SELECT * FROM c WHERE node_id = louvain_community ORDER BY pagerank DESC, node_id LIMIT 30), o AS (SELECT * FROM c WHERE louvain_community IS NULL OR node_id <> louvain_community ORDER BY pagerank DESC, node_id LIMIT 10) "
+    "SELECT node_id, pagerank FROM (SELECT * FROM r UNION ALL SELECT * FROM o) ORDER BY pagerank DESC, node_id LIMIT 30"
+)
+def k3_roots_and_best(t):
+    return ranking.roots_and_best(_candidates(t), 30).select("node_id", "pagerank")
+
+
+@query("SELECT node_id, round(pagerank, 4) AS pagerank, properties['methodName'] AS method FROM candidates WHERE list_contains(labels, 'Method') AND NOT list_contains(labels, 'Graph:Method')")
+def p2_labels(t):
+    return ranking.essential(ranking.with_labels(t("candidates"), ["Method"], ["Graph:Method"])).select("node_id", "pagerank", F.col("properties")["methodName"].alias("method"))
+
+
+@query("SELECT node_id FROM candidates WHERE node_id = louvain_community OR is_articulation_point")
+def p3_roots_or_cut_nodes(t):
+    c = t("candidates")
+    return ranking.in_communities(c, only_roots=True).select("node_id").unionByName(c.where("is_articulation_point and not coalesce(node_id = louvain_community, false)").select("node_id"))
+
+
+@query(f"{_DEGREES}, c AS (SELECT DISTINCT target_id AS node_id FROM graph_edges WHERE target_id IS NOT NULL UNION SELECT DISTINCT node_id FROM file_nodes) SELECT c.node_id, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree FROM c LEFT JOIN g ON g.node = c.node_id")
+def j1_with_metrics(t):
+    ids = t("graph_edges").where("target_id is not null").select(F.col("target_id").alias("node_id")).unionByName(t("file_nodes").select("node_id")).distinct()
+    return ranking.with_metrics(ids, graph.degrees(_edges(t)).withColumnRenamed("node", "node_id"))
+
+
+# ---------------------------------------------------------------- agreement of runs and models
+_RUNS = "SELECT DISTINCT event_type, CAST(date_trunc('week', ts) AS DATE) AS run, CAST(user_id AS VARCHAR) AS object FROM events"
+_SCORES = f"WITH p AS ({_RUNS}), n AS (SELECT event_type, count(DISTINCT run) AS runs FROM p GROUP BY 1), o AS (SELECT event_type, object, count(*) AS k FROM p GROUP BY 1, 2), s AS (SELECT n.event_type, any_value(runs) AS runs, count(*) AS objects, CAST(sum(CASE WHEN k = runs THEN 1 ELSE 0 END) AS BIGINT) AS stable FROM o JOIN n USING (event_type) GROUP BY 1), f AS (SELECT *, CASE WHEN runs < 2 THEN 1.0 ELSE stable / objects END AS score, objects - stable AS deviations FROM s)"
+
+
+def _runs(t):
+    return t("events").select("event_type", F.to_date(F.date_trunc("week", "ts")).alias("run"), F.col("user_id").cast("string").alias("object"))
+
+
+@query(_SCORES + " SELECT * FROM f")
+def u1_scores(t):
+    return consistency.scores(_runs(t), ["event_type"])
+
+
+@query(f"WITH p AS ({_RUNS}), a AS (SELECT event_type, list(DISTINCT run) AS e FROM p GROUP BY 1), o AS (SELECT event_type, object, count(*) AS k FROM p GROUP BY 1, 2) SELECT o.event_type, object, k AS present, len(e) - k AS missing FROM o JOIN a USING (event_type) WHERE k < len(e)")
+def u2_inconsistencies(t):
+    return consistency.inconsistencies(_runs(t), ["event_type"]).select("event_type", "object", F.size("present").cast("bigint").alias("present"), F.size("missing").cast("bigint").alias("missing"))
+
+
+@query("WITH a AS (SELECT DISTINCT dependency_name AS o FROM dependency_nodes WHERE repository_name = 'atlas-platform'), b AS (SELECT DISTINCT dependency_name AS o FROM dependency_nodes WHERE repository_name <> 'atlas-platform'), x AS (SELECT count(*) AS n FROM a WHERE o IN (SELECT o FROM b)) SELECT n AS both, (SELECT count(*) FROM a) - n AS only_a, (SELECT count(*) FROM b) - n AS only_b, n / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - n) AS jaccard FROM x")
+def u3_compared(t):
+    d = t("dependency_nodes").select("repository_name", F.col("dependency_name").alias("object"))
+    return consistency.compared(d.where("repository_name = 'atlas-platform'"), d.where("repository_name <> 'atlas-platform'"))
+
+
+@query("WITH p AS (SELECT DISTINCT source, lang AS model, repository_name AS object FROM documents), n AS (SELECT source, count(DISTINCT model) AS models FROM p GROUP BY 1), o AS (SELECT source, object, count(*) AS k FROM p WHERE object IS NOT NULL GROUP BY 1, 2), g AS (SELECT n.source, any_value(models) AS models, count(*) AS objects, CAST(sum(CASE WHEN k = models THEN 1 ELSE 0 END) AS BIGINT) AS overlap, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS only_one FROM o JOIN n USING (source) GROUP BY 1) SELECT *, overlap / objects AS jaccard FROM g")
+def u9_across_models(t):
+    return consistency.across_models(t("documents").select("source", F.col("lang").alias("model"), F.col("repository_name").alias("object")), ["source"])
+
+
+_DAILY = "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(f"WITH d AS ({_DAILY}) SELECT event_type, count(*) AS runs, round(var_pop(n), 6) AS variance, round(CASE WHEN count(*) < 2 OR avg(n) = 0 THEN 100.0 ELSE greatest(0.0, 100 - stddev_pop(n) / avg(n) * 100) END, 6) AS consistency FROM d GROUP BY 1")
+def a10_stage_consistency(t):
+    daily = t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return consistency.stage_consistency(daily, ["event_type"], "n").withColumn("variance", F.round("variance", 6)).withColumn("consistency", F.round("consistency", 6))
+
+
+@query()
+def a12_type_breakdown(t):
+    ids = t("candidates").select(consistency.type_of(F.col("node_id")).alias("kind"), F.col("louvain_community").alias("run"), F.col("node_id").alias("object")).where("run is not null")
+    return consistency.scores(ids, ["kind"])
+
+
+@query(_SCORES + ", g AS (SELECT 1 AS group_no, event_type AS name, score * 100 AS score FROM f) SELECT group_no, name, round(score, 6) AS score, CASE WHEN score < 50 THEN 'high' ELSE 'medium' END AS severity FROM g WHERE score < 80 ORDER BY group_no, score, name LIMIT 10")
+def k5_hotspots(t):
+    g = consistency.scores(_runs(t), ["event_type"]).select(F.lit(1).alias("group_no"), F.col("event_type").alias("name"), (F.col("score") * 100).alias("score"))
+    return consistency.hotspots(g).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORES + " SELECT CAST(sum(objects) AS BIGINT) AS objects, CAST(sum(deviations) AS BIGINT) AS deviations, (sum(objects) - sum(deviations)) / sum(objects) AS overall FROM f")
+def a22_overall(t):
+    return consistency.overall(consistency.scores(_runs(t), ["event_type"]))
+
+
+@query(_SCORES + " (SELECT event_type, score, 'most' AS side FROM f ORDER BY score DESC, event_type LIMIT 2) UNION ALL (SELECT event_type, score, 'least' FROM f ORDER BY score, event_type LIMIT 2)")
+def k8_extremes(t):
+    return consistency.extremes(consistency.scores(_runs(t), ["event_type"]), "event_type", 2)
+
+
+@query(_SCORES + " SELECT event_type, CASE WHEN score < 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM f WHERE score < 0.8")
+def u10_recommendations(t):
+    return consistency.recommendations(consistency.scores(_runs(t), ["event_type"]), "event_type").select("event_type", "priority")
+
+
+@query("WITH p AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS run, CAST(user_id AS VARCHAR) AS object, event_type FROM events), a AS (SELECT object FROM p WHERE event_type = 'click' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run) FROM p WHERE event_type = 'click')), b AS (SELECT object FROM p WHERE event_type <> 'click' GROUP BY object HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM p WHERE event_type <> 'click')) SELECT object, 'newly stable' AS change FROM b WHERE object NOT IN (SELECT object FROM a) UNION ALL SELECT object, 'became unstable' FROM a WHERE object NOT IN (SELECT object FROM b)")
+def u13_stability_change(t):
+    e = t("events").select("event_type", F.to_date(F.date_trunc("month", "ts")).alias("run"), F.col("user_id").cast("string").alias("object"))
+    return consistency.stability_change(e.where("event_type = 'click'"), e.where("event_type <> 'click'"))
+
+
+@query(f"WITH p AS ({_RUNS}), r AS (SELECT DISTINCT run FROM p), o AS (SELECT unnest(['1', '2', '3']) AS object) SELECT object, run, EXISTS (SELECT 1 FROM p WHERE p.run = r.run AND p.object = o.object) AS present FROM r, o")
+def u12_presence(t):
+    return consistency.presence(_runs(t), ["1", "2", "3"])
+
+
+# ---------------------------------------------------------------- model
+_CURRENT = "SELECT identifier, arg_max(struct_pack(n := name, t := element_type, d := documentation, r := repository_name, e := enabled), struct_pack(a := loaded_at, b := enabled, c := name)) AS x FROM elements GROUP BY identifier"
+_ELEMENTS = f"SELECT identifier, x.n AS name, x.t AS element_type, x.d AS documentation, x.r AS repository_name, x.e AS enabled FROM ({_CURRENT})"
+_TYPES = "(VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in model.ELEMENTS.items()) + ") AS ty(element_type, layer, aspect)"
+
+
+def _model(t):
+    return model.current(t("elements")), t("relationships")
+
+
+@query(f"WITH e AS ({_ELEMENTS}) SELECT identifier, name FROM e WHERE enabled AND identifier NOT IN (SELECT source_id FROM relationships WHERE source_id IS NOT NULL UNION SELECT target_id FROM relationships WHERE target_id IS NOT NULL)")
+def j3_without_relationships(t):
+    return model.without_relationships(*_model(t)).select("identifier", "name")
+
+
+def _gap(a: str, b: str) -> str:
+    return f"SELECT identifier, lower('{a} without {b}') AS issue FROM y WHERE layer = '{a}' AND enabled AND NOT EXISTS (SELECT 1 FROM u JOIN y f ON f.identifier = u.far WHERE u.identifier = y.identifier AND f.layer = '{b}')"
+
+
+@query(
+    f"WITH e AS ({_ELEMENTS}), y AS (SELECT e.*, layer FROM e JOIN {_TYPES} USING (element_type)), u AS (SELECT source_id AS identifier, target_id AS far FROM relationships UNION ALL SELECT target_id, source_id FROM relationships) "
+    + " UNION ALL ".join(_gap(a, b) for a, b in (("Business", "Application"), ("Application", "Technology"), ("Technology", "Application")))
+)
+def r5_layer_gaps(t):
+    return model.layer_gaps(*_model(t))
+
+
+@query("WITH r AS (SELECT DISTINCT identifier, source_id, target_id, relationship_type FROM relationships WHERE source_id IS NOT NULL AND target_id IS NOT NULL), k AS (SELECT *, min(identifier) OVER (PARTITION BY source_id, target_id, relationship_type) AS kept_id FROM r) SELECT identifier, kept_id FROM k WHERE identifier <> kept_id")
+def r2_duplicate_relationships(t):
+    return model.duplicate_relationships(t("relationships"))
+
+
+@query("WITH g AS (SELECT source_id, target_id, list(DISTINCT relationship_type) AS k FROM relationships WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1, 2), p AS (SELECT unnest([['Serving', 'Flow'], ['Access', 'Flow'], ['Realization', 'Serving']]) AS p) SELECT source_id, target_id, p[1] || '+' || p[2] AS pair FROM g, p WHERE list_contains(k, p[1]) AND list_contains(k, p[2])")
+def a13_redundant_relationships(t):
+    return model.redundant_relationships(t("relationships"))
+
+
+@query(f"WITH e AS (SELECT * FROM ({_ELEMENTS}) WHERE enabled), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE name IS NOT NULL) SELECT identifier, kept_id FROM k WHERE identifier <> kept_id")
+def r1_equal_elements(t):
+    return model.equal_elements(_model(t)[0])
+
+
+@query(f"WITH e AS ({_ELEMENTS}), n AS (SELECT DISTINCT repository_name, element_type, lower(trim(name)) AS name FROM e WHERE enabled AND name <> ''), p AS (SELECT a.repository_name, a.element_type, a.name, b.name AS other FROM n a JOIN n b ON a.repository_name = b.repository_name AND a.element_type = b.element_type AND (length(a.name) < length(b.name) OR length(a.name) = length(b.name) AND a.name < b.name) WHERE length(a.name) >= 0.85 * length(b.name) - 1), s AS (SELECT *, 1 - levenshtein(name, other) / length(other) AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.85")
+def r1_similar_elements(t):
+    return model.similar_elements(_model(t)[0])
+
+
+@query(
+    f"WITH e AS ({_ELEMENTS}), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE enabled AND name IS NOT NULL) "
+    "SELECT e.identifier, e.enabled AND (k.kept_id IS NULL OR k.kept_id = e.identifier) AS enabled FROM e LEFT JOIN k USING (identifier)"
+)
+def r1b_disabled(t):
+    e = _model(t)[0]
+    return model.disabled(e, model.equal_elements(e)).select("identifier", "enabled")
+
+
+def _triples() -> str:
+    return ", ".join(f"('{r}', '{a}', '{b}')" for r, (x, y) in model.RELATIONSHIPS.items() for a in x for b in y)
+
+
+@query(
+    f"WITH e AS ({_ELEMENTS}), y AS (SELECT e.*, aspect FROM e LEFT JOIN {_TYPES} USING (element_type)) SELECT r.identifier, m.r IS NOT NULL AS valid, CASE WHEN r.relationship_type NOT IN ({', '.join(repr(x) for x in model.RELATIONSHIPS)}) THEN 'unknown type' WHEN m.r IS NULL THEN 'not allowed' END AS reason "
+    f"FROM relationships r JOIN y s ON s.identifier = r.source_id JOIN y t ON t.identifier = r.target_id LEFT JOIN (VALUES {_triples()}) AS m(r, a, b) ON m.r = r.relationship_type AND m.a = s.aspect AND m.b = t.aspect"
+)
+def j13_relationship_validity(t):
+    e, r = _model(t)
+    return model.relationship_validity(r, e)
+
+
+@query(
+    f"WITH e AS (SELECT * FROM elements) SELECT identifier AS subject, 'repeated identifier' AS rule FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT identifier, 'source does not exist' FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.identifier = r.source_id) UNION ALL SELECT identifier, 'target does not exist' FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.identifier = r.target_id) "
+    f"UNION ALL SELECT identifier, 'unknown element type' FROM e WHERE element_type NOT IN ({', '.join(repr(x) for x in model.ELEMENTS)}) UNION ALL SELECT identifier, 'unknown relationship type' FROM relationships WHERE relationship_type NOT IN ({', '.join(repr(x) for x in model.RELATIONSHIPS)}) "
+    "UNION ALL SELECT identifier, 'element without name' FROM e WHERE trim(name) = '' OR name IS NULL UNION ALL SELECT name, 'element without identifier' FROM e WHERE identifier IS NULL OR trim(identifier) = ''"
+)
+def v1_violations(t):
+    return model.violations(t("elements"), t("relationships"))
+
+
+@query(f"WITH e AS (SELECT * FROM ({_ELEMENTS}) WHERE enabled) SELECT r.identifier, r.source_id, r.target_id FROM relationships r WHERE source_id IN (SELECT identifier FROM e) AND target_id IN (SELECT identifier FROM e)")
+def s17_exported_relationships(t):
+    return model.exported(*_model(t))[1].select("identifier", "source_id", "target_id")
+
+
+@query(f"WITH e AS (SELECT * FROM ({_ELEMENTS}) WHERE enabled) SELECT element_type, count(*) AS elements FROM e GROUP BY 1")
+def a3_count_by_type(t):
+    return model.exported(*_model(t))[0].groupBy("element_type").agg(F.count(F.lit(1)).alias("elements"))
+
+
+@query(f"WITH e AS ({_ELEMENTS}) SELECT 'element' AS part, count(*) AS parts FROM e WHERE enabled UNION ALL SELECT 'relationship', count(*) FROM relationships WHERE source_id IN (SELECT identifier FROM e WHERE enabled) AND target_id IN (SELECT identifier FROM e WHERE enabled)")
+def s16_model_parts(t):
+    return files.model_parts(*model.exported(*_model(t))).groupBy("part").agg(F.count("xml").alias("parts"))
+
+
+# ---------------------------------------------------------------- files
+_FILE_CLASS = r"""CASE WHEN contains(p, 'fixtures') THEN 'test' WHEN contains(p, 'tests') THEN 'test'
+ WHEN n = 'makefile' OR n = 'dockerfile' THEN 'build' WHEN n LIKE '%.lock' THEN 'dependency' WHEN regexp_matches(n, '^test_.*\.py$') THEN 'test' ELSE r.file_type END"""
+_FILE_SQL = rf"WITH f AS (SELECT node_id, file_path, lower(file_path) AS p, regexp_extract(lower(file_path), '[^/]*$') AS n FROM file_nodes), c AS (SELECT f.node_id, {_FILE_CLASS} AS found_type, regexp_extract(n, '\.[^.]*$') AS ext FROM f LEFT JOIN (SELECT extension, min(file_type) AS file_type FROM file_type_registry WHERE regexp_matches(extension, '^\.[a-z]{{1,4}}$') GROUP BY 1) r ON r.extension = regexp_extract(n, '\.[^.]*$'))"
+
+
+@query(_FILE_SQL + " SELECT node_id, found_type, CASE WHEN found_type IS NOT NULL THEN NULL WHEN ext = '' THEN 'no_extension' ELSE 'unknown_extension' END AS reason FROM c")
+def e1_classified(t):
+    return classify.classified(t("file_nodes"), t("file_type_registry")).select("node_id", "found_type", "reason")
+
+
+@query(_FILE_SQL + " SELECT CASE WHEN found_type IS NOT NULL THEN 'classified' WHEN ext = '' THEN 'no_extension' ELSE 'unknown_extension' END AS status, count(*) AS files FROM c GROUP BY 1")
+def a18_classification_stats(t):
+    done = classify.classified(t("file_nodes"), t("file_type_registry"))
+    return done.groupBy(F.coalesce("reason", F.lit("classified")).alias("status")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(_FILE_SQL + " SELECT ext AS extension, count(*) AS files FROM c WHERE found_type IS NULL AND ext <> '' GROUP BY 1")
+def e5_unknown_suffixes(t):
+    return classify.unknown_suffixes(classify.classified(t("file_nodes"), t("file_type_registry")))
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT node_type, unnest(from_json(input_sources, '{\"files\": [{\"type\": \"VARCHAR\", \"subtype\": \"VARCHAR\"}]}').files) AS f FROM extraction_config WHERE is_active) "
+    "SELECT DISTINCT node_type, node_id FROM file_nodes JOIN s ON s.f.type = file_type AND (s.f.subtype = '*' OR s.f.subtype = subtype)"
+)
+def p7_matching_files(t):
+    return classify.matching_files(t("file_nodes"), t("extraction_config"))
+
+
+@query(
+    r"""WITH f AS (SELECT repository_name, file_path, max(size_bytes) AS size FROM file_nodes GROUP BY 1, 2), p AS (SELECT *, string_split(file_path, '/') AS p FROM f), u AS (SELECT repository_name, size, p, unnest(range(1, len(p))) AS d FROM p),
+r AS (SELECT repository_name, array_to_string(p[1:d], '/') AS path, size, CASE WHEN d = len(p) - 1 THEN 1 ELSE 0 END AS direct FROM u), g AS (SELECT repository_name, path, CAST(sum(direct) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY 1, 2),
+k AS (SELECT repository_name, regexp_replace(path, '/[^/]*$', '') AS parent, count(*) AS folders FROM g WHERE contains(path, '/') GROUP BY 1, 2) SELECT g.repository_name, g.path, files, bytes, coalesce(folders, 0) AS folders FROM g LEFT JOIN k ON k.repository_name = g.repository_name AND k.parent = g.path"""
+)
+def a16_directories(t):
+    return classify.directories(t("file_nodes")).select("repository_name", "path", "files", "bytes", "folders")
+
+
+@query(
+    r"""WITH f AS (SELECT DISTINCT repository_name, file_path FROM file_nodes), p AS (SELECT *, string_split(file_path, '/') AS p FROM f), d AS (SELECT DISTINCT repository_name, array_to_string(p[1:d], '/') AS path FROM (SELECT *, unnest(range(1, len(p))) AS d FROM p))
+SELECT label, count(*) AS nodes FROM (SELECT DISTINCT 'Repository' AS label, repository_name, '' AS x FROM f UNION ALL SELECT 'Directory', repository_name, path FROM d UNION ALL SELECT 'File', repository_name, file_path FROM f) GROUP BY 1"""
+)
+def e15_structure(t):
+    return classify.structure(t("file_nodes"))[0].groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query()
+def j11_test_targets(t):
+    return classify.test_targets(t("file_nodes"))
+
+
+@query("SELECT repository_name, count(DISTINCT file_path) AS files, count(DISTINCT file_type) AS types, sum(size_bytes) / 1048576.0 AS mb FROM (SELECT DISTINCT repository_name, file_path, file_type, size_bytes FROM file_nodes) GROUP BY 1")
+def a17_repository_totals(t):
+    f = t("file_nodes").select("repository_name", "file_path", "file_type", "size_bytes").distinct()
+    return f.groupBy("repository_name").agg(F.countDistinct("file_path").alias("files"), F.countDistinct("file_type").alias("types"), (F.sum("size_bytes") / 1048576.0).alias("mb"))
+
+
+@query()
+def e12_python_records(t):
+    py = t("file_nodes").where("endswith(lower(file_path), '.py')").select("node_id").distinct()
+    return extract.python_records(t("file_texts").join(py, "node_id", "left_semi"))
+
+
+@query()
+def e10_imported_packages(t):
+    return extract.imported_packages(e12_python_records(t))
+
+
+@query()
+def e14_method_nodes(t):
+    return extract.method_nodes(e12_python_records(t), t("file_nodes"))[0]
+
+
+@query("SELECT node_id, lower(dependency_name) AS name, version FROM dependency_nodes WHERE regexp_full_match(dependency_name, '[A-Za-z0-9][A-Za-z0-9._-]*') AND regexp_full_match(version, '[0-9.]+')")
+def e7_requirements(t):
+    d = t("dependency_nodes").where(F.col("dependency_name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*\z") & F.col("version").rlike(r"^[0-9.]+\z"))
+    texts = d.select("node_id", F.concat(F.lit("# needed\n-r other.txt\n"), "dependency_name", F.lit("=="), "version", F.lit(" ; python_version > '3'\n")).alias("content"))
+    return extract.requirements(texts).select("node_id", F.lower("name").alias("name"), "version")
+
+
+@query()
+def t5_chunks(t):
+    return chunks.chunked(t("file_texts"), 200, None, 2).select("node_id", "chunk_no", "chunks", "start_line", "end_line")
+
+
+@query("SELECT node_id, CAST(length(content) // 4 AS BIGINT) AS tokens, length(content) // 4 > 500 AS over FROM file_texts WHERE content IS NOT NULL")
+def t1_token_estimates(t):
+    n = text.token_estimate(F.col("content"))
+    return t("file_texts").where("content is not null").select("node_id", n.alias("tokens"), (n > 500).alias("over"))
+
+
+# ---------------------------------------------------------------- scalar functions
+@query(r"SELECT node_id, 'extdep_' || repository_name || '_' || regexp_replace(replace(replace(lower(dependency_name), ' ', '_'), '-', '_'), '[^\p{L}\p{N}_]', '', 'g') AS id FROM dependency_nodes")
+def f1_node_ids(t):
+    return t("dependency_nodes").select("node_id", text.node_id("extdep", F.col("repository_name"), F.col("dependency_name")).alias("id"))
+
+
+@query("SELECT edge_id, lower(relationship_type) || '_' || source_id || '_to_' || target_id AS a, relationship_type || '_' || source_id || '_' || target_id AS b, source_id || '_' || relationship_type || '_' || target_id AS c FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL")
+def f2_edge_ids(t):
+    args = (F.col("relationship_type"), F.col("source_id"), F.col("target_id"))
+    e = t("graph_edges").where("source_id is not null and target_id is not null")
+    return e.select("edge_id", text.edge_id(*args).alias("a"), text.event_edge_id(*args).alias("b"), text.graph_edge_id(*args).alias("c"))
+
+
+@query(r"SELECT node_id, CASE WHEN starts_with(file_path, repository_name || '/') THEN file_path ELSE repository_name || '/' || file_path END AS path FROM file_nodes")
+def f4_normal_paths(t):
+    return t("file_nodes").select("node_id", text.normal_path(F.col("file_path"), F.col("repository_name")).alias("path"))
+
+
+@query("SELECT node_id, split_part(node_id, '_', 2) AS repository FROM dependency_nodes WHERE node_id LIKE 'extdep\\_%' ESCAPE '\\'")
+def f5_repository_of(t):
+    return t("dependency_nodes").where("startswith(node_id, 'extdep_')").select("node_id", text.repository_of(F.col("node_id")).alias("repository"))
+
+
+@query(r"WITH x AS (SELECT identifier, regexp_replace(replace(replace(replace(lower(name), ' ', '_'), '-', '_'), ':', '_'), '[^\p{L}\p{N}_]', '', 'g') AS y FROM elements WHERE name IS NOT NULL) SELECT identifier, CASE WHEN regexp_matches(y, '^[\p{L}_]') THEN y ELSE 'id_' || y END AS xml FROM x")
+def f6_xml_names(t):
+    return t("elements").where("name is not null").select("identifier", text.xml_name(F.col("name")).alias("xml"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS h, sha256('v1|' || text || '|bench:x') AS k FROM documents WHERE text IS NOT NULL")
+def f11_hashes(t):
+    return t("documents").where("text is not null").select("doc_id", text.content_hash(F.col("text")).alias("h"), text.cache_key(F.lit("v1"), F.col("text"), None, F.lit("x")).alias("k"))
+
+
+@query("SELECT p_partkey, levenshtein(p_name, p_type) AS edits, CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) END AS ratio FROM part")
+def f15_similarity(t):
+    p = t("part")
+    return p.select("p_partkey", F.levenshtein("p_name", "p_type").cast("bigint").alias("edits"), text.similarity(F.col("p_name"), F.col("p_type")).alias("ratio"))
+
+
+@query()
+def f7_names(t):
+    e = t("elements").where("name is not null")
+    return e.select("identifier", text.concept_name(F.col("name")).alias("concept"), text.normal_name(F.col("name")).alias("plain"), text.normal_name(F.col("name"), lemmas=True).alias("lemmas"), text.package_name(F.col("name")).alias("package"))
+
+
+@query("SELECT CAST(props->>'k' AS INTEGER) AS k, count(*) AS events FROM events GROUP BY 1")
+def f18_json_field(t):
+    j = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return t("events").groupBy(F.get_json_object(text.json_of(j), "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("events"))
+
+
+# ---------------------------------------------------------------- event log, versions, responses
+def _log(t):
+    return t("events").select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("activity"), F.col("ts").alias("timestamp"),
+        F.create_map(F.lit("Run"), F.array(F.date_format("ts", "yyyy-MM")), F.lit("User"), F.array(F.col("user_id").cast("string"))).alias("objects"),
+        F.create_map(F.lit("value"), F.round("value", 2).cast("string")).alias("attributes"),
+    )
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS run, count(DISTINCT user_id) AS objects FROM events GROUP BY 1")
+def s14_log_round_trip(t):
+    log = _log(t)
+    path = os.path.join(checkpoint_folder(log.sparkSession), f"log-{uuid.uuid4().hex}")
+    eventlog.write_lines(log, path)
+    back = eventlog.read_lines(log.sparkSession, path)
+    return consistency.objects_by_run(back, "Run", "User").groupBy("run").agg(F.count("object").alias("objects"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS object, 'User' AS kind, count(*) AS events FROM events GROUP BY 1 UNION ALL SELECT strftime(ts, '%Y-%m'), 'Run', count(*) FROM events GROUP BY 1")
+def a7_object_catalogue(t):
+    return eventlog.object_catalogue(_log(t))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE user_id = 7 AND starts_with(event_type, 'c')")
+def p9_events_of_object(t):
+    return eventlog.with_object(_log(t), "User", "7").where("startswith(activity, 'c')").select("event_id")
+
+
+@query("SELECT node_type, extraction_method, max(version) AS version FROM extraction_config WHERE is_active GROUP BY 1, 2")
+def w7_active_versions(t):
+    c = t("extraction_config").withColumn("key", F.concat_ws("|", "node_type", "extraction_method"))
+    return versioning.active_versions(c, "key").select("node_type", "extraction_method", "version")
+
+
+@query("SELECT id, node_type, version, is_active AND node_type <> 'Test' AS is_active, instruction FROM extraction_config UNION ALL SELECT (SELECT max(id) + 1 FROM extraction_config), node_type, version + 1, true, 'List tests.' FROM extraction_config WHERE node_type = 'Test' AND is_active")
+def m5_new_version(t):
+    return versioning.new_version(t("extraction_config"), "node_type", {"node_type": "Test", "instruction": "List tests."}).select("id", "node_type", "version", "is_active", "instruction")
+
+
+@query("WITH l AS (SELECT edge_id, arg_max(relationship_type, loaded_at) AS k, max(loaded_at) AS m FROM graph_edges GROUP BY 1) SELECT edge_id, k AS relationship_type, m AS loaded_at FROM l")
+def m1_upserted_edges(t):
+    e = t("graph_edges").select("edge_id", "loaded_at", "relationship_type")
+    return versioning.upserted(e.where("false"), e, ["edge_id"]).select("edge_id", "relationship_type", "loaded_at")
+
+
+@query("WITH g AS (SELECT DISTINCT node_id FROM file_nodes WHERE deleted_at IS NOT NULL) SELECT edge_id, loaded_at FROM graph_edges WHERE NOT EXISTS (SELECT 1 FROM g WHERE node_id = source_id) AND NOT EXISTS (SELECT 1 FROM g WHERE node_id = target_id)")
+def m2_deleted(t):
+    gone = t("file_nodes").where("deleted_at is not null").select("node_id")
+    return versioning.deleted(t("file_nodes"), t("graph_edges"), gone)[1].select("edge_id", "loaded_at")
+
+
+@query("SELECT max(id) + 1 AS next_id FROM extraction_config")
+def a20_next_id(t):
+    return versioning.next_id(t("extraction_config"))
+
+
+@query("SELECT name, loaded_at FROM repositories ORDER BY cloned_at DESC LIMIT 10")
+def k4_latest(t):
+    return consistency.latest(t("repositories"), "cloned_at", 10).select("name", "loaded_at")
+
+
+@query("SELECT identifier, name, confidence FROM relationships WHERE name IS NOT NULL AND name <> '' AND source_id IS NOT NULL AND identifier <> ''")
+def l5_parsed_responses(t):
+    item = F.struct("identifier", "name", F.col("source_id").alias("source"), "confidence")
+    r = t("relationships").where("name is not null and name <> '' and source_id is not null")
+    stub = r.select(F.concat(F.lit("Here it is:\n```json\n{\"elements\": "), F.to_json(F.array(item)), F.lit("}\n```\n")).alias("content"))
+    return responses.parsed(stub, "elements").where("identifier <> ''").select("identifier", "name", "confidence")
+
+
+@query(f"WITH c AS ({_CAND}) SELECT count(DISTINCT b) AS prompts FROM (SELECT (row_number() OVER (ORDER BY node_id) - 1) // 50 AS b FROM c)")
+def l1_prompts(t):
+    b = ranking.batches(_candidates(t), [F.col("node_id").asc()], 50)
+    p = responses.batch_prompts(b, "List the components.")
+    return responses.unanswered(p, p.where("false").select(F.lit("").alias("cache_key")), "m").agg(F.count("cache_key").alias("prompts"))
+
+
+@query("SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def extension_stream_windows(t):
+    e = t("events")
+    return windows.run_once(e.sparkSession, e.inputFiles(), e.schema, windows.hourly_counts, "days").withColumn("value", F.round("value", 4))

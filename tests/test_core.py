@@ -1,0 +1,159 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import text
+from lodestone.operators import chunks, classify, consistency, extract, model, numbering, ranking, responses, versioning
+from lodestone.sources import eventlog, files
+
+
+def column(spark, values, f):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    return [r.y for r in df.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_percentiles(spark):
+    df = spark.createDataFrame([("A", 1.0), ("B", 1.0), ("C", 2.0), ("D", 3.0)], "k string, v double")
+    mean = {r.k: r.percentile for r in numbering.percentiles_by_mean_rank(df, "v").collect()}
+    assert mean == {"A": 16.67, "B": 16.67, "C": 66.67, "D": 100.0}
+    place = {r.k: r.percentile for r in numbering.percentiles_by_place(df, "v", "k").collect()}
+    assert place == {"A": 0.0, "B": 33.33, "C": 66.67, "D": 100.0}
+    one = df.limit(1)
+    assert numbering.percentiles_by_place(one, "v", "k").first().percentile == 100.0
+    assert numbering.percentiles_by_mean_rank(df.where("false"), "v").collect() == []
+
+
+def test_numbered_is_a_total_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
+    rows = numbering.numbered(df, [F.col("v").asc()]).collect()
+    assert sorted((r.v, r.row) for r in rows) == [(i, i + 1) for i in range(5000)]
+
+
+def test_agreement(spark):
+    rows = spark.createDataFrame([("g", "1", x) for x in "abc"] + [("g", "2", x) for x in "abd"] + [("h", "1", None), ("h", "2", None), ("k", "1", "a"), ("m", "1", "a"), ("m", "2", None)], "g string, run string, object string")
+    got = {r.g: r.score for r in consistency.scores(rows, ["g"]).collect()}
+    assert got == {"g": 0.5, "h": 1.0, "k": 1.0, "m": 0.0}
+    bad = {(r.object, tuple(r.missing)) for r in consistency.inconsistencies(rows.where("g = 'g'"), ["g"]).collect()}
+    assert bad == {("c", ("2",)), ("d", ("1",))}
+    empty = rows.where("false").select("object")
+    assert consistency.compared(empty, empty).first().jaccard == 1.0
+
+
+def test_names(spark):
+    assert column(spark, ["Data Access-Layer!", None], lambda c: text.node_id("concept", F.lit("r"), c))[0] == "concept_r_data_access_layer"
+    assert column(spark, ["policies", "boxes", "people", "data", "class", "s", "orders"], text.singular) == ["policy", "box", "person", "data", "class", "s", "order"]
+    assert column(spark, ["user_orders", "fooBar", ""], text.concept_name) == ["UserOrder", "Foobar", ""]
+    assert column(spark, ["src\\a.py", "./r/b.py", "r", "."], lambda c: text.normal_path(c, F.lit("r"))) == ["r/src/a.py", "r/b.py", "r", "r"]
+    assert column(spark, ["9 lives", "a:b"], text.xml_name) == ["id_9_lives", "a_b"]
+    assert column(spark, ["a.py (lines 1-20)"], text.without_chunk_suffix) == ["a.py"]
+    assert column(spark, ["the user-db  config"], text.normal_name) == ["client database configuration"]
+    assert column(spark, ["x ```json\n{\"a\": 1}\n``` y", "[1]", "so {\"b\": {}} it", "no"], text.json_of) == ['{"a": 1}', "[1]", '{"b": {}}', "no"]
+    assert column(spark, ["s:m:r:3", "s:m:r:x", "a:1"], text.run_parts)[1:] == [None, None]
+    assert column(spark, [None, "", "abcd", "abcdefg"], text.token_estimate) == [0, 0, 1, 1]
+
+
+def test_manifests(spark):
+    df = spark.createDataFrame([("a", "flask>=2.0\nFlask==1\n# no\n-e .\nx @ http://h/x\nnumpy[all] ~=1.2; python_version>'3'\n\n")], "node_id string, content string")
+    assert {(r.name, r.version) for r in extract.requirements(df).collect()} == {("flask", "2.0"), ("x", None), ("numpy", "1.2")}
+    toml = spark.createDataFrame([("a", '[project]\ndependencies = [\n "rich>=13",\n \'click\'\n]\n')], "node_id string, content string")
+    assert {(r.name, r.version) for r in extract.pyproject(toml).collect()} == {("rich", "13"), ("click", None)}
+    pack = spark.createDataFrame([("a", '{"dependencies": {"x": "1", "y": {"v": 1}}, "devDependencies": {"x": "2", "z": "3"}}'), ("b", "{no")], "node_id string, content string")
+    assert {(r.name, r.version) for r in extract.package_json(pack).collect()} == {("x", "1"), ("y", None), ("z", "3")}
+
+
+def test_syntax_tree_records(spark):
+    code = "import os, numpy.linalg\nfrom . import x\nfrom pandas import y\nclass A:\n    @staticmethod\n    def f(a: int, *b, **c) -> str: pass\n    async def __g(self): pass\ndef h(): import re\n"
+    df = spark.createDataFrame([("n", code), ("bad", "def ("), ("none", None)], "node_id string, content string")
+    rec = extract.python_records(df)
+    assert {r.name for r in extract.imported_packages(rec).collect()} == {"numpy", "pandas"}
+    m = {(r.type_name, r.name, r.parameters, r.result, r.is_static, r.is_async) for r in rec.where("kind = 'method'").collect()}
+    assert m == {("A", "f", "a: int, *b, **c", "str", True, False), ("A", "__g", "self", None, False, True), ("", "h", "", None, False, False)}
+    assert column(spark, ["__x", "_x", "__x__", "x"], extract.visibility) == ["protected", "private", "private", "public"]
+
+
+def test_chunks():
+    t = "".join(f"line {i:03d}\n" for i in range(100))
+    got = chunks.by_lines(t, 50, 2)
+    assert all(len(c) // 4 <= 50 for _, _, c in got)
+    assert got[0][0] == 1 and got[-1][1] == 100 and all(b[0] == a[1] - 1 for a, b in zip(got, got[1:]))
+    assert chunks.by_lines("x" * 999, 10) == [(1, 1, "x" * 999)]
+    parts = chunks.by_delimiter(t, 60, "line 02")
+    assert "".join(c for _, _, c in parts) == t
+    assert chunks.model_limit("gpt-4") == 6553 and chunks.model_limit("none") == 3200
+
+
+def test_classes_and_test_targets(spark):
+    reg = spark.createDataFrame([(".py", "source", "python"), ("makefile", "build", "make"), ("path:**/tests/**", "test", "suite"), ("*.lock", "dependency", None), (None, "x", None), (".zz", None, None)], "extension string, file_type string, subtype string")
+    f = spark.createDataFrame([(p, p, "r") for p in ("a.py", "tests/a.py", "Makefile", "x.lock", "noext", "b.zz", "src/tests/test_a.py", "src/a.py")], "node_id string, file_path string, repository_name string")
+    got = {r.file_path: (r.found_type, r.reason) for r in classify.classified(f, reg).collect()}
+    assert got["tests/a.py"][0] == "test" and got["Makefile"][0] == "build" and got["x.lock"][0] == "dependency" and got["a.py"][0] == "source"
+    assert got["noext"] == (None, "no_extension") and got["b.zz"] == (None, "unknown_extension")
+    assert {(r.test_id, r.source_id) for r in classify.test_targets(f).collect()} == {("src/tests/test_a.py", "src/a.py")}
+
+
+def test_similar_names_lose_no_pair(spark):
+    import itertools
+    import random
+
+    r = random.Random(2)
+    base = ["customer order service", "billing adapter", "ledger exporter unit"]
+    names = {"".join(c for c in b if r.random() > 0.06) + r.choice(["", "s", "x"]) for b in base for _ in range(25)}
+    df = spark.createDataFrame([(str(i), n, "T", "r", True) for i, n in enumerate(sorted(names))], "identifier string, name string, element_type string, repository_name string, enabled boolean")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {frozenset((a, b)) for a, b in itertools.combinations(names, 2) if 1 - edits(a, b) / max(len(a), len(b)) >= 0.85}
+    assert {frozenset((x.name, x.other)) for x in model.similar_elements(df).collect()} == want
+
+
+def test_model_document_and_versions(spark):
+    e = spark.createDataFrame([("a", "A & <b>", "Node", None), ("b", "B", "Device", "d")], "identifier string, name string, element_type string, documentation string")
+    r = spark.createDataFrame([("r", "a", "b", "Composition")], "identifier string, source_id string, target_id string, relationship_type string")
+    assert files.model_document(files.model_parts(e, r), "m").count("<element ") == 2
+    base = spark.createDataFrame([("k", 1, "x")], "id string, n int, s string")
+    new = spark.createDataFrame([("k", None, "y"), ("l", 2, None)], "id string, n int, s string")
+    assert {tuple(x) for x in versioning.upserted(base, new, ["id"]).collect()} == {("k", 1, "y"), ("l", 2, None)}
+
+
+def test_responses(spark):
+    df = spark.createDataFrame([("1", '{"dependencies": [{"dependencyName": "a"}]}'), ("2", '[{"dependencyName": "b"}]'), ("3", '{"packages": [{"dependencyName": "c", "dependencyCategory": "odd"}]}'), ("4", "no"), ("5", None)], "k string, content string")
+    got = responses.coerced_fields(responses.parsed(df, "dependencies")).collect()
+    assert {(r.k, r.dependencyName) for r in got} == {("1", "a"), ("2", "b"), ("3", "c")} and {r.dependencyCategory for r in got} == {"library"}
+    why = {r.k: r.w for r in df.select("k", responses.parse_error("elements", F.col("content")).alias("w")).collect()}
+    assert why["4"] == "not json" and why["5"] == "empty" and why["1"] == "no list"
+
+
+def test_event_document_and_run_log(spark, tmp_path):
+    doc = {"ocel:events": {"e1": {"ocel:activity": "Extract", "ocel:timestamp": "2025-01-01T00:00:00Z", "ocel:typedOmap": [{"id": "f", "type": "File"}, {"id": "r", "type": "Run"}], "ocel:vmap": {"n": "1"}}}}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    e = eventlog.read_document(spark, str(tmp_path / "d.json")).first()
+    assert e.activity == "Extract" and e.objects == {"File": ["f"], "Run": ["r"]}
+    (tmp_path / "l.jsonl").write_text('{"level": 1, "message": "a"}\nbroken\n{"level": 2, "message": "b"}\n')
+    assert [r.message for r in eventlog.read_run_logs(spark, str(tmp_path / "l.jsonl"), 2).collect()] == ["b"]
+
+
+def test_scan_decodes(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "x").write_text("no")
+    (tmp_path / "a.txt").write_bytes("ä".encode("utf-16"))
+    (tmp_path / "b.txt").write_bytes("ä".encode("latin-1"))
+    (tmp_path / "c.txt").write_bytes(b"\xef\xbb\xbf" + "ä".encode())
+    got = {r.path: r.t for r in files.scanned(spark, str(tmp_path)).select("path", files.decoded(F.col("content")).alias("t")).collect()}
+    assert got == {"a.txt": "ä", "b.txt": "ä", "c.txt": "ä"}
+
+
+def test_two_buckets_do_not_share_slots(spark):
+    df = spark.createDataFrame([(f"n{i}", i < 6, float(i)) for i in range(8)], "node_id string, l boolean, pagerank double")
+    assert len(ranking.two_buckets(df, "l", 6).collect()) == 5
+    with pytest.raises(KeyError):
+        from lodestone.operators.graph import enriched
+
+        enriched(spark.createDataFrame([("a", "b")], "source string, target string"), ["nothing"])
