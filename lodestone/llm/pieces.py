@@ -37,7 +37,7 @@ def oversized(files: DataFrame, texts: DataFrame, registry: DataFrame) -> DataFr
     """node_id, n_chars, delimiter, max_tokens, overlap, content of the texts with more
     than max_tokens tokens, a token being four characters, rounded down.  Null texts
     have no size; a limit below nothing is no limit."""
-    sized = texts.where("content is not null").withColumn("n_chars", F.length("content"))
+    sized = texts.where("content is not null").select("node_id", "content", F.length("content").alias("n_chars"))
     return sized.join(limits(files, registry), "node_id").where((F.col("max_tokens") > 0) & (F.floor(F.col("n_chars") / TOKEN_CHARS) > F.col("max_tokens"))).select(
         "node_id", "n_chars", "delimiter", "max_tokens", "overlap", "content"
     )
