@@ -392,7 +392,7 @@ Template = TSTR | THEAD Expr (TMID Expr)* TTAIL
 <<ts Interface = 'interface' $Id TypeParams? ('extends' Type (',' Type)*)? ObjType>>
 <<ts EnumBody@ = '{' (EnumM (',' EnumM)* ','?)? '}'>>
 <<ts EnumM = PropName ('=' Assign)?>>
-<<ts Space@ = '{' Item* '}'>>
+<<ts Space@ = '{' (Item | 'export'? 'const' Ambient (',' Ambient)* Semi)* '}'>>
 <<ts TypeAnn = ':' Type>>
 <<ts RetType = ':' Ret>>
 <<ts Ret = Type | ($Id | 'this') %NONL 'is' Type | 'asserts' ($Id | 'this') ('is' Type)?>>

@@ -108,4 +108,4 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         .select("source", "target_share", "max_repeats", zero("available_tokens"), zero("chosen_tokens"), zero("documents"))
     )
     sums = Window.partitionBy()  # one row per source
-    return mix, report.withColumn("reached_share", F.col("chosen_tokens") / F.sum("chosen_tokens").over(sums))
+    return mix, report.withColumn("reached_share", F.coalesce(F.try_divide(F.col("chosen_tokens"), F.sum("chosen_tokens").over(sums)), F.lit(0.0)))
