@@ -126,13 +126,15 @@ def plan_pieces(n_chars: int, lines: list[int], sections: list[int], max_tokens:
     return out
 
 
-def _stitch(parts: pd.DataFrame) -> pd.DataFrame:
-    parts = parts.sort_values("begin")
-    first = parts.iloc[0]
-    lines = [int(x) for a in parts["lines"] for x in a]
-    sections = [int(x) for a in parts["sections"] for x in a]
-    plan = plan_pieces(int(first["n_chars"]), lines, sections, int(first["max_tokens"]), int(first["overlap"]))
-    return pd.DataFrame({"node_id": [first["node_id"]], "begins": [[p[0] for p in plan]], "ends": [[p[1] for p in plan]], "shared": [[p[2] for p in plan]]})
+def _stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for node, chars, most, overlap, ranges in zip(b["node_id"], b["n_chars"], b["max_tokens"], b["overlap"], b["ranges"]):
+            lines = [int(x) for r in ranges for x in r["lines"]]
+            sections = [int(x) for r in ranges for x in r["sections"]]
+            plan = plan_pieces(int(chars), lines, sections, int(most), int(overlap))
+            out.append((node, [p[0] for p in plan], [p[1] for p in plan], [p[2] for p in plan]))
+        yield pd.DataFrame(out, columns=["node_id", "begins", "ends", "shared"])
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +160,8 @@ def boundary_table(large: DataFrame) -> DataFrame:
 def planned(large: DataFrame) -> DataFrame:
     """node_id, begins, ends, shared: the pieces of each oversized text by offset."""
     facts = large.select("node_id", "n_chars", "max_tokens", "overlap")
-    return boundary_table(large).join(facts, "node_id").groupBy("node_id").applyInPandas(_stitch, "node_id string, begins array<int>, ends array<int>, shared array<int>")
+    tables = boundary_table(large).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("begin", "lines", "sections"))).alias("ranges"))
+    return tables.join(facts, "node_id").mapInPandas(_stitch, "node_id string, begins array<int>, ends array<int>, shared array<int>")
 
 
 def cut_files(large: DataFrame) -> DataFrame:
