@@ -76,13 +76,13 @@ def kcore(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     from pyspark.sql import Window
 
     down = Window.partitionBy("node").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for k in range(max_rounds):
-        counts = adj.join(value.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
-        h = counts.withColumn("m", F.sum("n").over(down)).groupBy("node").agg(F.max(F.least("v", "m")).alias("core"))
-        new = cut(h)
-        changed = new.join(value.withColumnRenamed("core", "old"), "node").where("core <> old").limit(1).count()
-        value = new
-        if not changed:
+    for _ in range(0, max_rounds, CUT_EVERY):
+        before = value
+        for _ in range(CUT_EVERY):  # values only fall, so rounds without change cost nothing else
+            counts = adj.join(value.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
+            value = counts.withColumn("m", F.sum("n").over(down)).groupBy("node").agg(F.max(F.least("v", "m")).alias("core"))
+        value = cut(value)
+        if not value.join(before.withColumnRenamed("core", "old"), "node").where("core <> old").limit(1).count():
             break
     lone = clean(edges).where("source = target").select(F.col("source").alias("node")).join(value, "node", "left_anti").withColumn("core", F.lit(0).cast("bigint"))
     return value.unionByName(lone)
