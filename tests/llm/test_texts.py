@@ -224,3 +224,17 @@ def test_origins(spark):
     got = {r.node_id: r.reason for r in handwritten.file_origins(files, texts).collect()}
     assert got == {"orig": None, "copy": "taken over", "hand": None, "gen": "generated", "mark": "generated", "says": None, "vend": None, "node": "taken over", "data": "data", "null": None, "none": None, "same": "taken over"}
     assert handwritten.not_handwritten(files.where("false"), texts).collect() == []
+
+
+def test_copies_of_files_that_many_hold_are_found(spark):
+    common = "".join(f"from shared.library import name_{i}\n" for i in range(10))
+    rows = [("a0", "early", "src/first.py", body(1000) + common, 1)]  # first with the common lines
+    rows += [("orig", "lib_x", "src/x.py", body(1) + common, 2), ("short", "lib_x", "src/s.py", body(2, 4), 2)]
+    rows += [(f"edited{i}", f"app{i}", "contrib/widget/x.py", body(1) + common + f"changed_for_{i} = {i}\n", 3) for i in range(60)]
+    rows += [(f"named{i}", f"app{i}", "pkg/lib_x/x.py", f"changed_here_{i} = {i}\n" + body(1) + common, 3) for i in range(60)]
+    rows += [(f"short{i}", f"app{i}", "contrib/s.py", body(2, 4), 3) for i in range(60)]
+    rows += [(f"hand{i}", f"app{i}", "src/y.py", body(2000 + i) + common, 3) for i in range(60)]
+    files = spark.createDataFrame([(n, r, p, dt.datetime(2025, 1, d)) for n, r, p, _, d in rows], "node_id string, repository_name string, file_path string, created_at timestamp")
+    texts = spark.createDataFrame([(n, t) for n, _, _, t, _ in rows], "node_id string, content string")
+    got = {r.node_id for r in handwritten.not_handwritten(files, texts).collect()}
+    assert got == {f"{kind}{i}" for kind in ("edited", "named", "short") for i in range(60)}
