@@ -68,11 +68,12 @@ def _unparse(x) -> str | None:
 
 
 def _tree(text: str) -> list[tuple]:
-    """Imports, types and methods of a Python text; none if it does not parse."""
+    """Imports, types and methods of a Python text (a byte order mark before it is
+    dropped); none if it does not parse."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
+            tree = ast.parse(text.removeprefix("\ufeff"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[tuple] = []

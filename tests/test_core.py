@@ -157,3 +157,10 @@ def test_two_buckets_do_not_share_slots(spark):
         from lodestone.operators.graph import enriched
 
         enriched(spark.createDataFrame([("a", "b")], "source string, target string"), ["nothing"])
+
+
+def test_python_records_behind_a_byte_order_mark(spark):
+    text = "import numpy\n\nclass A:\n    def f(self): pass\n"
+    df = spark.createDataFrame([("plain", text), ("mark", "\ufeff" + text), ("two", "\ufeff\ufeff" + text)], "node_id string, content string")
+    rows = {n: sorted(tuple(r)[1:] for r in extract.python_records(df).where(f"node_id = '{n}'").collect()) for n in ("plain", "mark", "two")}
+    assert rows["mark"] == rows["plain"] and len(rows["plain"]) == 3 and rows["two"] == []
