@@ -79,6 +79,11 @@ def _model_edges(t):
     return t("relationships").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
 
 
+def _enrich_edges(t):
+    """The graph whose nodes are enriched."""
+    return _model_edges(t)
+
+
 @query(f"WITH n AS ({_NODES}), a AS (SELECT DISTINCT node_id FROM n WHERE active) SELECT source_id AS source, target_id AS target FROM graph_edges WHERE source_id IN (SELECT node_id FROM a) AND target_id IN (SELECT node_id FROM a)")
 def s5_active_edges(t):
     return graph.active_edges(t("graph_edges"), _nodes(t))
@@ -111,9 +116,15 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(6))
 def g2_pagerank(t):
+    """Six rounds, which SQL can unroll: holds the operator against SQL, no ranks to use."""
     return graph.pagerank(_model_edges(t), max_iter=6, tol=0).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query()
+def g2_pagerank_converged(t):
+    return graph.pagerank(_enrich_edges(t)).select("node", F.round("pagerank", 9).alias("pagerank"))
+
+
 @query(f"WITH RECURSIVE e AS ({_CLEAN.format('relationships')}), b AS (SELECT s AS node, t AS other FROM e UNION SELECT t, s FROM e), r AS (SELECT node, node AS other FROM b UNION SELECT r.node, b.other FROM r JOIN b ON r.other = b.node) SELECT node, min(other) AS component FROM r GROUP BY node")
 def g_components(t):
     return graph.components(_model_edges(t))
@@ -136,7 +147,7 @@ def g5_articulation_points(t):
 
 @query()
 def g6_enriched(t):
-    return graph.enriched(_model_edges(t), ["degree", "kcore", "pagerank"], {"pagerank": {"max_iter": 8, "tol": 0.0}}, percentiles=True)
+    return graph.enriched(_enrich_edges(t), ["degree", "kcore", "pagerank"], percentiles=True)
 
 
 @query(_DEGREES + ", c AS (SELECT in_degree AS v, count(*) AS n, sum(count(*)) OVER (ORDER BY in_degree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM g GROUP BY in_degree), k AS (SELECT count(*) AS m FROM g) SELECT g.node, g.in_degree, round(100.0 * (coalesce(b, 0) + (n - 1) / 2) / (m - 1), 2) AS percentile FROM g JOIN c ON g.in_degree = c.v, k")

@@ -1,6 +1,10 @@
 import random
 
+import pytest
+
+from lodestone import queries
 from lodestone.operators import graph
+from lodestone.sources.tables import table
 
 EDGE = "source string, target string"
 
@@ -82,3 +86,17 @@ def test_nulls_repeats_and_no_edges(spark):
     for f in (graph.degrees, graph.pagerank, graph.kcore, graph.components, graph.articulation_points, graph.communities):
         assert f(none).collect() == []
     assert graph.enriched(none, ["degree", "pagerank"], percentiles=True).collect() == []
+
+
+@pytest.mark.parametrize("name", ["g2_pagerank_converged", "g6_enriched"])
+def test_registered_ranks_have_converged(spark, data, name):
+    adj = {}
+    for a, b in queries._enrich_edges(lambda n: table(spark, data, n)).dropna().collect():
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    rank, moved = dict.fromkeys(adj, 1 / len(adj)), 1.0
+    while moved > 1e-13:
+        new = {v: 0.15 / len(adj) + 0.85 * sum(rank[w] / len(adj[w]) for w in adj[v]) for v in adj}
+        rank, moved = new, sum(abs(new[v] - rank[v]) for v in adj)
+    got = {r.node: r.pagerank for r in queries.QUERIES[name](spark, data).collect()}
+    assert got.keys() == rank.keys() and sum(abs(got[v] - rank[v]) for v in rank) < 1e-5
