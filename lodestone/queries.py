@@ -80,8 +80,8 @@ def _model_edges(t):
 
 
 def _enrich_edges(t):
-    """The graph whose nodes are enriched."""
-    return _model_edges(t)
+    """The graph whose nodes are enriched: edges between active nodes."""
+    return graph.active_edges(t("graph_edges"), _nodes(t))
 
 
 @query(f"WITH n AS ({_NODES}), a AS (SELECT DISTINCT node_id FROM n WHERE active) SELECT source_id AS source, target_id AS target FROM graph_edges WHERE source_id IN (SELECT node_id FROM a) AND target_id IN (SELECT node_id FROM a)")
@@ -132,7 +132,7 @@ def g_components(t):
 
 @query()
 def g3_communities(t):
-    return graph.communities(_model_edges(t))
+    return graph.communities(_enrich_edges(t))
 
 
 @query()
@@ -142,7 +142,7 @@ def g4_kcore(t):
 
 @query()
 def g5_articulation_points(t):
-    return graph.articulation_points(_model_edges(t))
+    return graph.articulation_points(_enrich_edges(t))
 
 
 @query()

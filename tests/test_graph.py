@@ -100,3 +100,10 @@ def test_registered_ranks_have_converged(spark, data, name):
         rank, moved = new, sum(abs(new[v] - rank[v]) for v in adj)
     got = {r.node: r.pagerank for r in queries.QUERIES[name](spark, data).collect()}
     assert got.keys() == rank.keys() and sum(abs(got[v] - rank[v]) for v in rank) < 1e-5
+
+
+@pytest.mark.parametrize("name", ["g2_pagerank_converged", "g3_communities", "g5_articulation_points", "g6_enriched"])
+def test_every_node_of_an_active_edge_is_enriched(spark, data, name):
+    active = queries.QUERIES["s5_active_edges"](spark, data).dropna().collect()
+    rows = [r.node for r in queries.QUERIES[name](spark, data).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {x for r in active for x in r}
