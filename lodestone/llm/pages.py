@@ -68,8 +68,8 @@ def units(text: str) -> list[str]:
 
 def features(lines: list[str]) -> list[tuple[int, tuple[int, ...]]]:
     """Number of words and observed values of each unit: links, repetition around it,
-    share of its commonest pair of words (where words are repeated at all), sentence,
-    separators (of units that are no sentence), length, heading, product."""
+    share of its commonest pair of words, sentence, separators (of units that are no
+    sentence), length, heading, product."""
     bare, tokens = [], []
     for line in lines:
         b = _LEAD.sub("", line)
@@ -92,7 +92,7 @@ def features(lines: list[str]) -> list[tuple[int, tuple[int, ...]]]:
             distinct = (len(set(window[:WINDOW_WORDS])) + len(set(window[-WINDOW_WORDS:]))) / (2 * WINDOW_WORDS)
         else:
             distinct = len(set(window)) / size if size >= 12 else 1.0
-        top = 2 * max(Counter(zip(window, window[1:])).values()) / size if distinct <= 0.5 else 0.0
+        top = 2 * max(Counter(zip(window, window[1:])).values()) / size if size >= 12 else 0.0
         links = b.count("\x00")
         sentence = m >= 4 and bool(_END.search(b.replace("\x00", " ") if links else b[-12:]))
         items = 0 if sentence else len([x for x in _ITEM.split(_LEAD.sub("", line)) if x.strip()])

@@ -192,6 +192,11 @@ def test_pages(spark):
     assert pages.page_kinds(df.where("false")).collect() == []
 
 
+def test_pairs_among_fresh_words_count():
+    listed = " ".join(f"fleet api w{i} v{i}" for i in range(10))
+    assert {x[2] for _, x in pages.features(pages.units(listed))} == {4} and pages.seed(pages.features([listed])[0][1]) == 2
+
+
 def test_viterbi_is_the_best_path():
     import itertools
     import math
