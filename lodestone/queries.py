@@ -204,7 +204,7 @@ _LIKELY = "coalesce(name, '') <> '' AND NOT (" + " OR ".join(f"contains(lower(na
 
 
 @query(f"WITH c AS ({_CAND}) SELECT node_id, coalesce({_LIKELY}, false) AS likely FROM c")
-def p5_likely(t):
+def pred_likely(t):
     return _candidates(t).select("node_id", ranking.likely(F.col("name"), _INCLUDE, _EXCLUDE).alias("likely"))
 
 
@@ -226,12 +226,12 @@ def k3_roots_and_best(t):
 
 
 @query("SELECT node_id, round(pagerank, 4) AS pagerank, properties['methodName'] AS method FROM candidates WHERE list_contains(labels, 'Method') AND NOT list_contains(labels, 'Graph:Method')")
-def p2_labels(t):
+def pred_labels(t):
     return ranking.essential(ranking.with_labels(t("candidates"), ["Method"], ["Graph:Method"])).select("node_id", "pagerank", F.col("properties")["methodName"].alias("method"))
 
 
 @query("SELECT node_id FROM candidates WHERE node_id = louvain_community OR is_articulation_point")
-def p3_roots_or_cut_nodes(t):
+def pred_roots_or_cut_nodes(t):
     c = t("candidates")
     return ranking.in_communities(c, only_roots=True).select("node_id").unionByName(c.where("is_articulation_point and not coalesce(node_id = louvain_community, false)").select("node_id"))
 
@@ -438,7 +438,7 @@ def e5_unknown_suffixes(t):
     "WITH s AS (SELECT DISTINCT node_type, unnest(from_json(input_sources, '{\"files\": [{\"type\": \"VARCHAR\", \"subtype\": \"VARCHAR\"}]}').files) AS f FROM extraction_config WHERE is_active) "
     "SELECT DISTINCT node_type, node_id FROM file_nodes JOIN s ON s.f.type = file_type AND (s.f.subtype = '*' OR s.f.subtype = subtype)"
 )
-def p7_matching_files(t):
+def pred_matching_files(t):
     return classify.matching_files(t("file_nodes"), t("extraction_config"))
 
 
@@ -579,7 +579,7 @@ def a7_object_catalogue(t):
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE user_id = 7 AND starts_with(event_type, 'c')")
-def p9_events_of_object(t):
+def pred_events_of_object(t):
     return eventlog.with_object(_log(t), "User", "7").where("startswith(activity, 'c')").select("event_id")
 
 
