@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input, as it lies compressed in its files, that one partition of a stage
+#: spread by ``width`` holds at most, about.
+PARTITION_BYTES = 128 << 20
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.  ``spark.checkpoint.dir`` names one that all
@@ -32,11 +36,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def width(spark: SparkSession, per_core: int = 3) -> int:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the rows are read from, by their sizes alone; what Spark
+    has no size of counts as nothing."""
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(df._jdf.queryExecution().optimizedPlan())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def _leaves(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def width(spark: SparkSession, per_core: int = 3, rows: DataFrame | None = None) -> int:
     """Partitions for a stage that costs much CPU per row: enough for every core to
-    get several, and at least what the session shuffles into."""
+    get several, at least what the session shuffles into, and as many as keep a
+    partition of ``rows`` under PARTITION_BYTES, however large the input is."""
     cores = spark.sparkContext.defaultParallelism
-    return max(cores * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = max(cores * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return least if rows is None else max(least, -(-input_bytes(rows) // PARTITION_BYTES))
 
 
 def for_every_core(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,4 +63,4 @@ def for_every_core(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
-    return df.repartition(width(spark, 2), *keys)
+    return df.repartition(width(spark, 2, df), *keys)
