@@ -686,6 +686,8 @@ def grammar(language: str) -> tuple[Grammar, dict[int, int]]:
 
 LEXERS = {"python": lex_python, "javascript": lex_js, "typescript": lex_js, "java": lex_java, "go": lex_go}
 SUFFIXES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go"}
+#: Words that are no names.
+KEYWORDS = {"python": PY_KEYWORDS, "javascript": JS_RESERVED, "typescript": JS_RESERVED, "java": JAVA_RESERVED, "go": GO_RESERVED}
 #: Start symbols that run over one stack; one of them must derive a file.
 DIALECTS = {"python": ["File"], "javascript": ["Program"], "typescript": ["JsProgram", "Program"], "java": ["Unit"], "go": ["File"]}
 

@@ -31,7 +31,7 @@ def with_texts(files: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
     spread by node, so that the join needs no further exchange and the parsing that
     follows has work for every core.
     """
-    n = width(files.sparkSession)
+    n = width(files.sparkSession, 3, texts)
     nodes = (
         files.where(F.col("node_id").isNotNull() & language_of(F.col("file_path")).isNotNull())
         .groupBy("node_id")

@@ -215,22 +215,43 @@ def body(k, n=30):
     return "\n".join(f"{word()} = {word()}({word()}, {word()})" for i in range(n)) + "\n"
 
 
+def origin_tables(spark, rows):
+    """rows: node, repository, path, text, day"""
+    files = spark.createDataFrame([(n, r, p, dt.datetime(2025, 1, d), "z") for n, r, p, _, d in rows] * 2, "node_id string, repository_name string, file_path string, created_at timestamp, reason string")
+    return files, spark.createDataFrame([(n, t, "z") for n, _, _, t, _ in rows], "node_id string, content string, lines string")
+
+
 def test_origins(spark):
     own = body(1)
     edited = own + "# patched for us, see below\n"
     rows = [
-        ("orig", "lib_x", "src/a.py", own, 9), ("copy", "app", "pkg/lib_x/src/b.py", edited, 1), ("hand", "app", "src/integrations/lib_x/c.py", body(2), 1), ("gen", "app", "gen/d.py", body(3), 1),
+        ("orig", "lib_x", "src/a.py", own, 9), ("copy", "app", "pkg/lib_x/src/b.py", edited, 1), ("hand", "app", "src/integrations/lib_x/c.py", body(2), 1), ("gen", "app", "generated-sources/d.py", body(3), 1),
         ("mark", "app", "src/e.py", "# Code generated by tool. DO NOT EDIT.\n" + body(4), 1), ("says", "app", "src/f.py", "x = 1\n# Skips generated inputs\n" + body(5), 1), ("vend", "app", "src/vendor/g.py", body(6), 1),
         ("node", "app", "node_modules/q/h.js", "let a = 1\n", 1), ("data", "app", "src/i.py", "x = [" + ", ".join(str(i * 7919) for i in range(200)) + "]\n", 1), ("null", None, "src/j.py", body(7), 1), ("none", "app", "src/k.py", "", 1), ("gone", "app", "src/l.py", None, 1),
-        ("same", "other", "src/m.py", own, 1),
+        ("same", "other", "src/m.py", own, 1), ("empty", "app", "vendor/lib_x/n.py", " \r\n", 1),
     ]
-    files = spark.createDataFrame([(n, r, p, dt.datetime(2025, 1, d), "z") for n, r, p, _, d in rows] * 2, "node_id string, repository_name string, file_path string, created_at timestamp, reason string")
-    texts = spark.createDataFrame([(n, t, "z") for n, _, _, t, _ in rows], "node_id string, content string, lines string")
+    files, texts = origin_tables(spark, rows)
     got = {r.node_id: r.reason for r in handwritten.file_origins(files, texts).collect()}
-    assert got == {"orig": None, "copy": "taken over", "hand": None, "gen": "generated", "mark": "generated", "says": None, "vend": None, "node": "taken over", "data": "data", "null": None, "none": None, "same": "taken over"}
+    # `same` was there before `orig`, whose repository `copy` names: it is the first, orig the copy of it
+    assert got == {"orig": "taken over", "copy": "taken over", "hand": None, "gen": "generated", "mark": "generated", "says": None, "vend": None, "node": "taken over", "data": "data", "null": None, "none": None, "same": None, "empty": None}
     assert handwritten.not_handwritten(files.where("false"), texts).collect() == []
 
 
+def test_folders_that_sound_so_and_figures_are_no_marks(spark):
+    table = "".join(f"RATE_{i} = {i * 3}\n" for i in range(12))
+    paths = ["build/release.py", "out/report.py", "target/planner.py", "dist/split.py", "deps/api/graph.py", "external/api/client.py", "gen/x.py", "src/vendor/y.py", "third_party/z.py"]
+    rows = [(p, "app", p, body(50 + i), 1) for i, p in enumerate(paths)] + [("digest", "app", "src/a.py", body(70) + "# digest abcdef1\n", 1), ("table", "app", "src/b.py", table, 1)]
+    rows += [("tool", "app", "src/c.py", "# produced with openapi-generator; changes will be lost\n" + body(71), 1), ("numbered", "app", "src/d.py", "".join(f"def get_{i:03}(row):\n    return row[{i}]\n\n" for i in range(20)), 1)]
+    assert {r.node_id for r in handwritten.not_handwritten(*origin_tables(spark, rows)).collect()} == {"tool", "numbered"}
+
+
+def test_a_copy_whose_lines_stood_in_two_repositories_before_is_found(spark):
+    own = body(90, 13)
+    lines = own.split("\n")
+    rows = [("ra", "ra", "src/a.py", "\n".join(lines[:6]) + "\n" + body(91), 1), ("rb", "rb", "src/b.py", own, 2), ("copy", "rc", "src/c.py", "\n".join(lines[:12]) + "\nour_own = 1\n", 3)]
+    assert {r.node_id for r in handwritten.not_handwritten(*origin_tables(spark, rows)).collect()} == {"copy"}
+
+
 def test_copies_of_files_that_many_hold_are_found(spark):
     common = "".join(f"from shared.library import name_{i}\n" for i in range(10))
     rows = [("a0", "early", "src/first.py", body(1000) + common, 1)]  # first with the common lines
@@ -239,7 +260,19 @@ def test_copies_of_files_that_many_hold_are_found(spark):
     rows += [(f"named{i}", f"app{i}", "pkg/lib_x/x.py", f"changed_here_{i} = {i}\n" + body(1) + common, 3) for i in range(60)]
     rows += [(f"short{i}", f"app{i}", "contrib/s.py", body(2, 4), 3) for i in range(60)]
     rows += [(f"hand{i}", f"app{i}", "src/y.py", body(2000 + i) + common, 3) for i in range(60)]
-    files = spark.createDataFrame([(n, r, p, dt.datetime(2025, 1, d)) for n, r, p, _, d in rows], "node_id string, repository_name string, file_path string, created_at timestamp")
-    texts = spark.createDataFrame([(n, t) for n, _, _, t, _ in rows], "node_id string, content string")
-    got = {r.node_id for r in handwritten.not_handwritten(files, texts).collect()}
-    assert got == {f"{kind}{i}" for kind in ("edited", "named", "short") for i in range(60)}
+    files, texts = origin_tables(spark, rows)
+    wanted = {f"{kind}{i}" for kind in ("edited", "named", "short") for i in range(60)}
+    assert {r.node_id for r in handwritten.not_handwritten(files, texts).collect()} == wanted
+    # the same where hot lines are not compared one by one, but for those that a path names
+    base = handwritten.line_table(files, texts)
+    assert {r.node_id for r in handwritten.taken_over(base, hot_line=20).collect()} == {w for w in wanted if not w.startswith("named")} | {f"named{i}" for i in range(60)}
+
+
+def test_containment_as_brute_force(spark):
+    r = random.Random(5)
+    pool = [f"line number {i} " + "x" * r.randrange(30) for i in range(40)]
+    forms = {i: r.sample(pool, r.randrange(1, 12)) for i in range(60)}
+    rows = [(i, sum(map(len, t)), [(hash(x), len(x)) for x in t], s) for i, t in forms.items() for s in [r.choice((0.6, 0.8))]]
+    df = spark.createDataFrame(rows, "form bigint, weight bigint, lines array<struct<h:bigint,w:int>>, share double")
+    got = {(x.form, x.other) for x in handwritten.containment(df, 1000)[0].collect()}
+    assert got == {(i, j) for i, w, _, s in rows for j, t in forms.items() if i != j and sum(len(x) for x in forms[i] if x in t) >= s * w}
