@@ -45,7 +45,7 @@ def p3_collapsed(t):
 
 @query
 def p4_found(t):
-    return source_files.documented_functions(t("file_nodes"), t("file_texts"), with_code=False).where("doc_source = 'own'").select("node_id", "type_name", "method_name").distinct()
+    return source_files.found_functions(t("file_nodes"), t("file_texts"))
 
 
 @query

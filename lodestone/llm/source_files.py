@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import width
+from ..plans.lineage import cut, width
 
 #: Suffix of a path and the language of its grammar.  Fixed values.
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go"}
@@ -47,26 +47,10 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from .languages import LEXERS, parses
 
     for b in batches:
-        ok = [parses(lang, LEXERS[lang](text)) and True or _exact(lang, text) for lang, text in zip(b["language"], b["content"])]
+        ok = [parses(lang, LEXERS[lang](text)) for lang, text in zip(b["language"], b["content"])]
         yield pd.DataFrame({"node_id": b["node_id"], "parses": ok})
 
 
-def _exact(language: str, text: str) -> bool:
-    """The check that follows a rejection: Python's own parser may still accept."""
-    if language != "python":
-        return False
-    import ast
-    import warnings
-
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text[1:] if text.startswith("﻿") else text)
-        return True
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return False
-
-
 def parse_verdicts(files: DataFrame, texts: DataFrame) -> DataFrame:
     """node_id, parses: whether a dialect of the suffix's language derives the text.
 
@@ -131,87 +115,140 @@ def unparsable_rates(files: DataFrame, texts: DataFrame, config: DataFrame) -> D
 
 
 # ---------------------------------------------------------------- functions and their documentation
-_SYMBOL = "node_id string, type_name string, method_name string, signature string, doc string, words int, has_body boolean, code string"
-
+_SYMBOL = "node_id string, type_name string, method_name string, signature string, doc string, words int, has_body boolean, listed boolean, supers array<string>, begin int, finish int"
 
-def _symbols(with_code: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .languages import LEXERS, parses
-        from .symbols import SYMBOLS, useful_words
 
-        columns = [c.split()[0] for c in _SYMBOL.split(", ")]
-        for b in batches:
-            out = []
-            for node, lang, text in zip(b["node_id"], b["language"], b["content"]):
-                lexed = LEXERS[lang](text)
-                if not (parses(lang, lexed) or _exact(lang, text)):
-                    continue
-                for s in SYMBOLS[lang](lexed):
-                    words = 0 if s.doc is None else useful_words(s.doc, s.type_name, s.method_name)
-                    code = lexed.text[s.start : s.end] if with_code else None
-                    out.append((node, s.type_name, s.method_name, s.signature, s.doc, words, s.has_body, code))
-            yield pd.DataFrame(out, columns=columns)
+def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from .languages import LEXERS, parses
+    from .symbols import SYMBOLS, useful_words
 
-    return run
+    columns = [c.split()[0] for c in _SYMBOL.split(", ")]
+    for b in batches:
+        out = []
+        for node, lang, text in zip(b["node_id"], b["language"], b["content"]):
+            lexed = LEXERS[lang](text)
+            if not parses(lang, lexed):
+                continue
+            for s in SYMBOLS[lang](lexed):
+                words = 0 if s.doc is None else useful_words(s.doc, s.type_name, s.method_name)
+                out.append((node, s.type_name, s.method_name, s.signature, s.doc, words, s.has_body, s.listed, list(s.supers), s.start, s.end))
+        yield pd.DataFrame(out, columns=columns)
 
 
 #: Least number of words a description must keep.
 MIN_WORDS = 3
 
 
-def symbol_table(files: DataFrame, texts: DataFrame, with_code: bool = True) -> DataFrame:
+def symbol_table(files: DataFrame, texts: DataFrame) -> DataFrame:
     """Every function and method of the files that parse, qualified by repository,
-    language and type: node_id, repository_name, language, type_name, method_name,
-    signature (normalised parameter types), doc, words, has_body, code."""
-    nodes = with_texts(files, texts, "repository_name")
-    found = nodes.select("node_id", "language", "content").mapInPandas(_symbols(with_code), _SYMBOL)
+    language and type: node_id, repository_name, file_path, language, family (JavaScript
+    and TypeScript are one), type_name, method_name, signature (normalised parameter
+    types), doc, words, has_body, listed, supers, begin, finish (where it stands in the
+    text after ``normalise``).  Each file is parsed once: the table is checkpointed."""
+    found = with_texts(files, texts).select("node_id", "language", "content").mapInPandas(_symbols, _SYMBOL)
     names = files.where(F.col("node_id").isNotNull()).groupBy("node_id").agg(F.min("repository_name").alias("repository_name"), F.min("file_path").alias("file_path"))
-    return found.join(names, "node_id").withColumn("language", language_of(F.col("file_path")))
-
-
-def documented_functions(files: DataFrame, texts: DataFrame, with_code: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """Code and description of each function with documentation worth keeping.
-
-    A definition without documentation takes that of a documented declaration of the
-    same qualified name (repository, language, type, method): the one with the same
-    normalised parameter types, else one of any overload.  ``doc_source`` says whether
-    the description stands before the function itself (``own``) or came by that join
-    (``declaration``).  Declarations reach the join reduced to one per key, so a name
-    that a third of all files share adds one row to it.
-
-    Functions whose description keeps fewer than ``min_words`` words are dropped.
-    Equal rows of one file (a function declared twice) are kept once.  Null texts give
-    nothing, a null repository matches only within its own file's rows (own).
+    named = found.join(names, "node_id").withColumn("language", language_of(F.col("file_path")))
+    family = F.when(F.col("language") == "typescript", "javascript").otherwise(F.col("language"))
+    return cut(named.withColumn("family", family))
+
+
+_TYPE = ["repository_name", "family", "type_name"]
+
+
+def ancestors(table: DataFrame) -> DataFrame:
+    """repository_name, family, type_name, ancestor, steps: the types that a type extends
+    or implements, directly (1 step) or through others, by name within the repository;
+    the least number of steps counts."""
+    edges = cut(table.where("type_name <> '' and repository_name is not null").select(*_TYPE, F.explode("supers").alias("ancestor")).where("ancestor <> type_name").distinct())
+    seen = edges.withColumn("steps", F.lit(1))
+    front, steps = edges, 1
+    known = edges.select("repository_name", "family", F.col("type_name").alias("ancestor"), F.col("ancestor").alias("further"))
+    while not (front := cut(front.join(known, ["repository_name", "family", "ancestor"]).select(*_TYPE, F.col("further").alias("ancestor")).where("ancestor <> type_name").distinct().join(seen, [*_TYPE, "ancestor"], "left_anti"))).isEmpty():
+        steps += 1
+        seen = cut(seen.unionByName(front.withColumn("steps", F.lit(steps))))
+    return seen
+
+
+def _words_left(doc: Column) -> Column:
+    """Like ``symbols.useful_words``, in the JVM."""
+    lines = F.filter(F.split(doc, "\n"), lambda x: ~F.trim(x).rlike(r"^[@:]"))
+    words = F.regexp_extract_all(F.lower(F.array_join(lines, "\n")), F.lit(r"(\p{L}+)"), 1)
+    parts = lambda c: F.regexp_extract_all(c, F.lit(r"([^\P{L}\p{Lu}]+|\p{Lu}+(?![^\P{L}\p{Lu}])|\p{Lu}[^\P{L}\p{Lu}]*)"), 1)
+    names = F.transform(F.concat(parts(F.col("type_name")), parts(F.col("method_name"))), F.lower)
+    return F.size(F.filter(words, lambda w: ~F.array_contains(names, w)))
+
+
+def described(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of a symbol table with ``description``, ``kept_words`` and ``doc_source``.
+
+    Documented declarations (methods of interfaces, abstract methods, overload
+    signatures, stubs) are joined with the definitions that stand elsewhere under the
+    same qualified name, or in a type that extends or implements the declaring one: the
+    declaration with the same normalised parameter types, else one of any overload; of
+    several, that of the nearest type, then the least text.  Only then are words
+    counted: a definition keeps its own documentation if min_words are left of it
+    (``own``), else it takes the declaration's (``declaration``), else its own, such as
+    it is.  Declarations reach the join reduced to one per key, so a name that a third
+    of all files share adds one row to it.  A null repository has no other files.
     """
-    s = symbol_table(files, texts, with_code)
-    kept = ["node_id", "repository_name", "language", "file_path", "type_name", "method_name", "signature", "code"]
-    own = s.where(F.col("words") >= min_words).select(*kept, F.col("doc").alias("description"), F.lit("own").alias("doc_source"))
-    name = ["repository_name", "language", "type_name", "method_name"]
-    declared = s.where(f"not has_body and words >= {int(min_words)}")
-    exact = declared.groupBy(*name, "signature").agg(F.min("doc").alias("same"))
-    any_overload = declared.groupBy(*name).agg(F.min("doc").alias("other"))
-    joined = (
-        s.where("has_body and doc is null")
-        .join(any_overload, name)
-        .join(exact, [*name, "signature"], "left")
-        .select(*kept, F.coalesce("same", "other").alias("description"), F.lit("declaration").alias("doc_source"))
+    key = ["repository_name", "family", "type_name", "method_name"]
+    declared = table.where("not has_body and doc is not null and repository_name is not null")
+    same = declared.groupBy(*key, "signature").agg(F.min("doc").alias("same"))
+    other = declared.groupBy(*key).agg(F.min("doc").alias("other"))
+    up = ancestors(table).select("repository_name", "family", "type_name", "ancestor", "steps")
+    asked = table.where(f"has_body and words < {int(min_words)} and repository_name is not null").select(*key, "signature").distinct()
+    places = asked.withColumn("place", F.col("type_name")).withColumn("steps", F.lit(0)).unionByName(asked.join(up, _TYPE).select(*key, "signature", F.col("ancestor").alias("place"), "steps"))
+    at = [F.col("repository_name"), F.col("family"), F.col("place").alias("type_name"), F.col("method_name")]
+    looked = places.select(*at, "signature", F.col("type_name").alias("owner"), "steps").join(other, key).join(same, [*key, "signature"], "left")
+    best = F.min(F.struct(F.col("same").isNull().alias("inexact"), "steps", F.coalesce("same", "other").alias("declared")))
+    taken = looked.groupBy("repository_name", "family", F.col("owner").alias("type_name"), "method_name", "signature").agg(best["declared"].alias("declared"))
+    joined = table.join(taken, [*key, "signature"], "left")
+    from_there = F.col("has_body") & (F.col("words") < min_words) & F.col("declared").isNotNull()
+    words = F.when(from_there, _words_left(F.col("declared"))).otherwise(F.col("words"))
+    return cut(
+        joined.withColumn("doc_source", F.when(from_there, "declaration").when(F.col("doc").isNotNull(), "own"))
+        .withColumn("description", F.when(from_there, F.col("declared")).otherwise(F.col("doc")))
+        .withColumn("kept_words", words)
+        .drop("declared", "doc", "words")
     )
-    return own.unionByName(joined).distinct()
 
 
-def found_functions(files: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """node_id, type_name, method_name of the functions documented where they stand."""
-    s = _own_rows(files, texts)
-    return s.where(F.col("words") >= min_words).select("node_id", "type_name", "method_name").distinct()
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from .languages import normalise
+
+    for b in batches:
+        out = []
+        for node, text, spans in zip(b["node_id"], b["content"], b["spans"]):
+            text = normalise(text)
+            out += [(node, int(s["begin"]), int(s["finish"]), text[s["begin"] : s["finish"]]) for s in spans]
+        yield pd.DataFrame(out, columns=["node_id", "begin", "finish", "code"])
+
+
+def documented_functions(files: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Code and description of each function with documentation worth keeping: node_id,
+    repository_name, language, file_path, type_name, method_name, signature, code,
+    description, doc_source (see ``described``).  Functions whose description keeps fewer
+    than ``min_words`` words are dropped.  Equal rows of one file (a function declared
+    twice) are kept once.  The code is cut out of the text by offset, once the rows are
+    known.  Null texts give nothing."""
+    rows = described(symbol_table(files, texts), min_words).where(f"listed and kept_words >= {int(min_words)}")
+    spans = rows.groupBy("node_id").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
+    read = texts.where("content is not null").select("node_id", "content")
+    code = read.join(spans, "node_id").mapInPandas(_sliced, "node_id string, begin int, finish int, code string")
+    kept = ["node_id", "repository_name", "language", "file_path", "type_name", "method_name", "signature", "code", "description", "doc_source"]
+    return rows.join(code, ["node_id", "begin", "finish"]).select(*kept).distinct()
 
 
-def _own_rows(files: DataFrame, texts: DataFrame) -> DataFrame:
-    nodes = with_texts(files, texts)
-    return nodes.select("node_id", "language", "content").mapInPandas(_symbols(False), _SYMBOL)
+def found_functions(files: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """node_id, type_name, method_name of the functions whose documentation stands with
+    themselves: the rows of ``described`` that needed no declaration."""
+    rows = described(symbol_table(files, texts), min_words)
+    return rows.where(f"listed and doc_source = 'own' and kept_words >= {int(min_words)}").select("node_id", "type_name", "method_name").distinct()
 
 
 def completed_candidates(candidates: DataFrame, files: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Candidates (one row per node) with the docstring that their source has.
+    """Candidates (one row per node) with the docstring that their source has, be it at
+    the function or at its declaration.
 
     A candidate is found by its id, which is built of repository, path, type (``module``
     outside types) and method.  ``status``: ``kept`` (the source says the same),
@@ -219,10 +256,10 @@ def completed_candidates(candidates: DataFrame, files: DataFrame, texts: DataFra
     source has the function without documentation worth keeping, the docstring goes),
     ``unknown`` (no such function in a file that parses; the docstring stays).
     """
-    s = symbol_table(files, texts, False)
+    s = described(symbol_table(files, texts), min_words).where("listed")
     keyed = s.select(
         F.concat_ws("_", F.lit("method"), "repository_name", "file_path", F.when(F.col("type_name") == "", "module").otherwise(F.col("type_name")), "method_name").alias("node_id"),
-        F.when(F.col("words") >= min_words, F.trim("doc")).alias("doc"),
+        F.when(F.col("kept_words") >= min_words, F.trim("description")).alias("doc"),
     )
     source = keyed.groupBy("node_id").agg(F.max("doc").alias("source_doc"), F.lit(True).alias("seen"))
     one = candidates.groupBy("node_id").agg(

@@ -26,7 +26,13 @@ class Symbol:
     start: int
     end: int
     doc: str | None
+    #: false for what is only declared (no body, or a Python body that does nothing)
     has_body: bool
+    #: types that the owner extends or implements, as they are written
+    supers: tuple[str, ...] = ()
+    #: false for the members of a TypeScript interface: they say what a method does, but
+    #: are none themselves
+    listed: bool = True
 
 
 def name_words(*names: str) -> set[str]:
@@ -73,11 +79,39 @@ def _python_doc(t: Lexed, i: int) -> str | None:
     return v if isinstance(v, str) else None
 
 
+def _does_nothing(t: Lexed, i: int) -> bool:
+    """Whether the body that begins at token i only documents: a string, then pass, an
+    ellipsis, a NotImplementedError or nothing."""
+    kinds, n = t.kinds, len(t.kinds)
+    while i < n and kinds[i] in ("STR", "NEWLINE", ";"):
+        i += 1
+    if i < n and kinds[i] == "DEDENT":
+        return True
+    e = i
+    while e < n and kinds[e] not in ("NEWLINE", "EOF"):
+        e += 1
+    nothing = kinds[i:e] in (["pass"], ["..."]) or kinds[i:e][:1] == ["raise"] and t.words[i + 1] == "NotImplementedError"
+    return nothing and (e + 1 >= n or kinds[e + 1] in ("DEDENT", "EOF") or kinds[i - 1] not in ("INDENT", "NEWLINE"))
+
+
+def _type_names(t: Lexed, a: int, b: int) -> tuple[str, ...]:
+    """Names of the types between two tokens, the last part of each, arguments left out."""
+    out: list[str] = []
+    depth = 0
+    for i in range(a, b):
+        k = t.kinds[i]
+        depth += (k in ("<", "[")) - (k in ("GT", "GTA", "]"))
+        if depth == 0 and (k == "NAME" or k in JS_SOFT) and t.kinds[i + 1] not in (".", "="):
+            out.append(t.words[i])
+    return tuple(dict.fromkeys(out))
+
+
 def python_symbols(t: Lexed) -> list[Symbol]:
     out, kinds, n = [], t.kinds, len(t.kinds)
     pairs = _brackets(t)
     depth, i = 0, 0
     scopes: list[tuple[str, str, int]] = []  # kind, name, depth of its body
+    bases: dict[str, tuple[str, ...]] = {}
     open_symbols: list[tuple[int, Symbol]] = []
     while i < n:
         k = kinds[i]
@@ -101,11 +135,13 @@ def python_symbols(t: Lexed) -> list[Symbol]:
                 j += 1
             block = j + 1 < n and kinds[j + 1] == "NEWLINE"
             body = j + 3 if block else j + 1
+            if k == "class":
+                bases[name] = _type_names(t, i + 2, j)
             if k == "def":
                 inside = any(s == "def" for s, _, _ in scopes)
                 owner = scopes[-1][1] if scopes else ""
                 if not inside and name not in ("__init__", "__new__"):
-                    s = Symbol(owner, name, signature, at, t.end[min(body, n - 1)], _python_doc(t, body) if body < n else None, True)
+                    s = Symbol(owner, name, signature, at, t.end[min(body, n - 1)], _python_doc(t, body) if body < n else None, body >= n or not _does_nothing(t, body), bases.get(owner, ()))
                     out.append(s)
                     if block:
                         open_symbols.append((depth + 1, s))
@@ -215,10 +251,10 @@ def js_symbols(t: Lexed) -> list[Symbol]:
                 i = pairs[i] + 1 if i in pairs else i + 1
         return i, signature
 
-    def members(a: int, b: int, owner: str) -> None:
+    def members(a: int, b: int, owner: str, supers: tuple[str, ...], listed: bool = True) -> None:
         i = a
         while i < b:
-            if kinds[i] == ";":
+            if kinds[i] == ";" or not listed and kinds[i] == ",":
                 i += 1
                 continue
             first = i
@@ -237,10 +273,10 @@ def js_symbols(t: Lexed) -> list[Symbol]:
                 body = kinds[e] == "{"
                 end = pairs[e] if body else e
                 if words[name_at] != "constructor" and kinds[name_at] != "[":
-                    out.append(Symbol(owner, words[name_at].strip("\"'"), signature, t.start[first], t.end[min(end, n - 1)], doc(first, j), body))
+                    out.append(Symbol(owner, words[name_at].strip("\"'"), signature, t.start[first], t.end[min(end, n - 1)], doc(first, j), body, supers, listed))
                 i = end + 1
                 continue
-            while i < b and kinds[i] != ";":
+            while i < b and kinds[i] != ";" and (listed or kinds[i] != ","):
                 if t.nl[i] and kinds[i - 1] not in ("=", "=>", ",", ":", "|", "&", "+", "?") and kinds[i] not in ("=", ".", "?", ":", "+", "|", "&"):
                     break
                 i = pairs[i] + 1 if i in pairs else i + 1
@@ -258,10 +294,11 @@ def js_symbols(t: Lexed) -> list[Symbol]:
                 k = kinds[i]
                 if k == "class" or k == "interface":
                     name = words[i + 1] if kinds[i + 1] == "NAME" or kinds[i + 1] in JS_SOFT else ""
+                    head = i + 1 + bool(name)
                     while i < b and kinds[i] != "{":
                         i = pairs[i] + 1 if i in pairs else i + 1
-                    if i < b and k == "class":
-                        members(i + 1, pairs[i], name)
+                    if i < b:
+                        members(i + 1, pairs[i], name, tuple(x for x in _type_names(t, head, i)), k == "class")
                     i = pairs.get(i, i) + 1
                     continue
                 f = i + 1 if k == "async" and kinds[i + 1] == "function" else i
@@ -336,7 +373,7 @@ def java_symbols(t: Lexed) -> list[Symbol]:
                 break
         return i
 
-    def body(a: int, b: int, owner: str) -> None:
+    def body(a: int, b: int, owner: str, supers: tuple[str, ...] = ()) -> None:
         i = a
         while i < b:
             if kinds[i] in (";", ","):
@@ -362,6 +399,7 @@ def java_symbols(t: Lexed) -> list[Symbol]:
                 i += 1 + (kinds[i] == "@")
                 name = words[i]
                 is_enum = kinds[i - 1] == "enum"
+                head = i + 1
                 while i < b and kinds[i] != "{":
                     i = pairs[i] + 1 if kinds[i] == "(" else i + 1
                 if i >= b:
@@ -370,7 +408,7 @@ def java_symbols(t: Lexed) -> list[Symbol]:
                 if is_enum:  # the constants end at the semicolon
                     while inner < pairs[i] and kinds[inner] != ";":
                         inner = pairs[inner] + 1 if inner in pairs else inner + 1
-                body(inner, pairs[i], name)
+                body(inner, pairs[i], name, _type_names(t, head, i))
                 i = pairs[i] + 1
                 continue
             if kinds[i] == "<":
@@ -386,7 +424,7 @@ def java_symbols(t: Lexed) -> list[Symbol]:
                     e = pairs[e] + 1 if e in pairs else e + 1
                 has = e < b and kinds[e] == "{"
                 end = pairs[e] if has else e
-                out.append(Symbol(owner, name, signature, t.start[first], t.end[min(end, n - 1)], doc(first, later), has))
+                out.append(Symbol(owner, name, signature, t.start[first], t.end[min(end, n - 1)], doc(first, later), has, supers))
                 i = end + 1
             elif i < b and kinds[i] in ("(", "{"):  # constructor
                 while i < b and kinds[i] not in ("{", ";"):

@@ -65,3 +65,45 @@ def test_declarations_join_definitions_by_signature(spark):
     got = {(r.node_id, r.doc_source, r.description.strip()) for r in sf.documented_functions(files, texts).collect()}
     assert ("2", "declaration", "other text for numbers only") in got and len(got) == 3
     assert {r.node_id for r in sf.found_functions(files, texts).collect()} == {"1"}
+
+
+def described(spark, *texts):
+    files, table = tables(spark, [(str(i), p, t) for i, (p, t) in enumerate(texts)])
+    return {(r.node_id, r.type_name, r.method_name, r.doc_source, r.description.strip()) for r in sf.documented_functions(files, table).collect()}, sf.found_functions(files, table).collect()
+
+
+def test_interfaces_and_base_types_document_what_implements_them(spark):
+    ts = "export interface Store<T> {\n  /** keeps one value under its key */\n  put(key: string, v: T): void;\n  size: number\n}\n"
+    base = "export class Base implements Store<number> {\n  // later\n  put(key: string, v: number): void { }\n}\n"
+    far = "export class Far extends Base {\n  /** TODO */\n  put(k, x) { }\n  /** its own words stay here */\n  get(k) { }\n}\n"
+    got, found = described(spark, ("a.ts", ts), ("b.ts", base), ("c.js", far))
+    assert got == {("1", "Base", "put", "declaration", "keeps one value under its key"), ("2", "Far", "put", "declaration", "keeps one value under its key"), ("2", "Far", "get", "own", "its own words stay here")}
+    assert [(r.node_id, r.method_name) for r in found] == [("2", "get")]
+
+
+def test_overloads_abstract_methods_and_stubs(spark):
+    java = "package p;\ninterface Rule { /** tells whether the order passes now */ boolean check(Order o, int[] n);\n /** any other kind of thing */ boolean check(Thing t); }\n"
+    impl = "package p;\nclass Strict extends Other<Rule> implements Rule { public boolean check(Order order, int[] m) { return true; } public boolean check(String s) { return false; } }\n"
+    py = "class Abstract:\n    def run(self):\n        '''starts all waiting jobs again'''\n        raise NotImplementedError\n    def stop(self):\n        'halts every other job too'\n        return 1\n"
+    sub = "class Sub(pkg.Abstract, metaclass=M):\n    def run(self):\n        return 2\n    def stop(self):\n        return 3\n"
+    got, _ = described(spark, ("a.java", java), ("b.java", impl), ("c.py", py), ("d.py", sub))
+    assert {g for g in got if g[0] in "13"} == {
+        ("1", "Strict", "check", "declaration", "tells whether the order passes now"), ("1", "Strict", "check", "declaration", "any other kind of thing"), ("3", "Sub", "run", "declaration", "starts all waiting jobs again"),
+    }
+    assert {g[2] for g in got if g[0] in "02"} == {"check", "run", "stop"}
+
+
+def test_words_are_counted_against_the_names_of_the_definition(spark):
+    got, _ = described(spark, ("a.ts", "abstract class Loader { /** load the big file */ abstract go(a): void }\n"), ("b.ts", "class BigFile extends Loader { go(b) { } }\nclass Near extends Loader { go(b) { } }\n"))
+    assert ("1", "Near", "go", "declaration", "load the big file") in got and not any(g[1] == "BigFile" for g in got)
+
+
+def test_code_is_cut_by_offset_after_marks_and_line_ends_are_normal(spark):
+    files, texts = tables(spark, [("1", "a.py", "﻿x = 1\r\ndef f():\r\n    'gives back only ones'\r\n    return 1\r\n\r\ny = 2\r\n")])
+    (row,) = sf.documented_functions(files, texts).collect()
+    assert row.code == "def f():\n    'gives back only ones'\n    return 1\n"
+
+
+def test_types_that_extend_each_other_end(spark):
+    got, _ = described(spark, ("a.py", "class A(B):\n    def f(self):\n        pass\nclass B(A):\n    def f(self):\n        return 1\n"))
+    assert got == set()
