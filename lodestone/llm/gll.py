@@ -185,17 +185,32 @@ class Grammar:
         self.args = [x for _, x in self.code]
 
 
+#: Fingerprints of token runs: polynomials in BASE modulo a Mersenne prime.
+_PRIME = (1 << 127) - 1
+_BASE = 0x6C0B_93D1_57E4_2F1B_8A6D_35C9_E07F_4B25
+_powers = [1]
+
+
 class Tokens:
     """Token numbers of one text; ``nl[i]``: a line end stands before token i.
 
-    ``key`` has one character a token, of kind and line end, for keeping verdicts.
+    ``fingerprint(i, j)`` is 127 bits of the kinds and line ends of tokens i to j - 1,
+    under which their verdicts are kept: an entry of the memo has one size, however
+    long the run is.
     """
 
-    __slots__ = ("kinds", "nl", "key", "match")
+    __slots__ = ("kinds", "nl", "sums", "match", "_opening")
 
     def __init__(self, kinds: list[int], nl: list[bool], opens: dict[int, int]):
         self.kinds, self.nl = kinds, nl
-        self.key = "".join([chr(256 + k + 1024 * b) for k, b in zip(kinds, nl)])
+        h, sums = 0, [0]
+        for k, b in zip(kinds, nl):
+            h = (h * _BASE + k + 1024 * b + 1) % _PRIME
+            sums.append(h)
+        self.sums = sums
+        while len(_powers) <= len(kinds):
+            _powers.append(_powers[-1] * _BASE % _PRIME)
+        self._opening: dict[int, int] | None = None
         self.match: dict[int, int] = {}
         stack: list[tuple[int, int]] = []
         closers = set(opens.values())
@@ -207,22 +222,37 @@ class Tokens:
                     break  # what follows is parsed without islands
                 self.match[stack.pop()[1]] = i
 
+    def opening(self, i: int) -> int | None:
+        """The bracket that the one at i closes."""
+        if self._opening is None:
+            self._opening = {b: a for a, b in self.match.items()}
+        return self._opening.get(i)
+
+    def fingerprint(self, i: int, j: int) -> int:
+        return (self.sums[j] - self.sums[i] * _powers[j - i]) % _PRIME
 
+
+#: Entries of the memo, of about 200 bytes each.
 MEMO_LIMIT = 300_000
 _memo: dict[tuple, bool] = {}
 
 
+def _keep(key: tuple, verdict: bool) -> bool:
+    if len(_memo) >= MEMO_LIMIT:
+        _memo.clear()
+    _memo[key] = verdict
+    return verdict
+
+
 def accepts(g: Grammar, t: Tokens, starts: list[str]) -> bool:
     """Whether one of the start symbols derives all tokens (the last is EOF)."""
-    k = ("", id(g), tuple(starts), t.key)
+    k = (id(g), *starts, len(t.kinds), t.sums[-1])
     if (got := _memo.get(k)) is None:
-        if len(_memo) > MEMO_LIMIT:
-            _memo.clear()
         try:
             got = _run(g, t, [g.nts[s] for s in starts], 0, len(t.kinds), True)
         except RecursionError:  # brackets nested too deep for islands
             got = _run(g, t, [g.nts[s] for s in starts], 0, len(t.kinds), False)
-        _memo[k] = got
+        _keep(k, got)
     return got
 
 
@@ -278,9 +308,9 @@ def _run(g: Grammar, t: Tokens, starts: list[int], begin: int, goal: int, island
                 at, node = edges[0]
             else:
                 if op == ISLAND and islands and (j := match.get(i)) is not None:
-                    k = (id(g), x, t.key[i : j + 1])
+                    k = (id(g), x, j - i, t.fingerprint(i, j + 1))
                     if (got := _memo.get(k)) is None:
-                        got = _memo[k] = _run(g, t, [x], i, j + 1, True)
+                        got = _keep(k, _run(g, t, [x], i, j + 1, True))
                     if not got:
                         break
                     i = j + 1

@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from .gll import Grammar, Tokens, accepts, expand
 
 
 @dataclass
 class Lexed:
-    """words[i], kinds[i]: text and kind of token i, at start[i]:end[i]; comments: spans."""
+    """kinds[i]: kind of token i, at start[i]:end[i] (``words`` has the texts); nl[i]: a
+    line end stands before it; comments: spans."""
 
     text: str
-    words: list[str] = field(default_factory=list)
     kinds: list[str] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
@@ -29,12 +29,15 @@ class Lexed:
     comments: list[tuple[int, int]] = field(default_factory=list)
 
     def add(self, kind: str, a: int, b: int, nl: bool) -> None:
-        self.words.append(self.text[a:b])
         self.kinds.append(kind)
         self.start.append(a)
         self.end.append(b)
         self.nl.append(nl)
 
+    @cached_property
+    def words(self) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start, self.end)]
+
 
 def normalise(content: str) -> str:
     if content.startswith("﻿"):
@@ -53,8 +56,9 @@ PY_KEYWORDS = frozenset(
 PY_SOFT = frozenset({"match", "case", "type"})
 _PY = re.compile(
     r"""(?P<ws>[ \t\f]+|\\\n)|(?P<nl>\n)|(?P<com>\#[^\n]*)
-    |(?P<str>(?i:[rbuft]|br|rb|fr|rf|tr|rt)?(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*'))
-    |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)(?![\w]))
+    |(?P<fs>(?i:[ft]|[ft]r|r[ft])(?:\"\"\"|'''|\"|'))
+    |(?P<str>(?i:[rbu]|br|rb)?(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*'))
+    |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?|[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?[0-9])*)(?!\.))(?![\w]))
     |(?P<id>[^\W\d]\w*)
     |(?P<op>"""
     + _ops("... ** // >> << <= >= == != -> := += -= *= /= %= &= |= ^= @= **= //= >>= <<= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; =")
@@ -62,24 +66,93 @@ _PY = re.compile(
     re.X | re.S,
 )
 #: A number may stand directly before one of these words: 1if x else y
-_PY_RUN = re.compile(r"[0-9][0-9.]*(?=(?:and|else|for|if|in|is|not|or)\b)")
+_PY_RUN = re.compile(r"(?:(?:0|[1-9][0-9]*)(?:\.[0-9]*)?|\.[0-9]+)(?=(?:and|else|for|if|in|is|not|or)\b)")
+_PY_INDENT = re.compile(r"[ \t\f]*")
+_PY_KINDS = {w: w for w in PY_KEYWORDS | PY_SOFT}
+#: What a string that is not raw may hold; looked at only where one of these escapes is.
+_PY_ESCAPES = re.compile(r"\\[xuUN]")
+_PY_TEXT = re.compile(r"(?:[^\\]|\\(?:[^xuUN]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}|N\{[^{}]+\}))*", re.S)
+_PY_BYTES = re.compile(r"(?:[^\\]|\\(?:[^x]|x[0-9a-fA-F]{2}))*", re.S)
+#: Text of a string with fields up to the next field or the end: by quote.
+_PY_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\(?:N\{{[^{{}}]+\}}|[^{{}}])|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
+_PY_RAW_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\[^{{}}]|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
+#: The same in a format after a colon, where doubled braces are fields.
+_PY_FORMATS = {q: re.compile(rf"[^{{}}{q[0]}\n]*" if len(q) == 1 else rf"(?:[^{{}}{q[0]}]|{q[0]}(?!{q[0] * 2}))*") for q in ('"""', "\'\'\'", '"', "'")}
+
+
+def _python_text(word: str) -> str:
+    """Kind of a string: STR, BYTES, or ERR where it holds an escape that is none."""
+    q = min(k for k in (word.find("'"), word.find('"')) if k >= 0)
+    prefix = word[:q].lower()
+    if "b" in prefix:
+        return "BYTES" if word.isascii() and ("r" in prefix or _PY_BYTES.fullmatch(word)) else "ERR"
+    return "STR" if "r" in prefix or not _PY_ESCAPES.search(word) or _PY_TEXT.fullmatch(word) else "ERR"
 
 
 def lex_python(content: str) -> Lexed:
+    """Strings with fields become FS, the tokens of their fields between F{ and F}, and FE."""
     t = normalise(content)
     out, i, n, depth = Lexed(t), 0, len(t), 0
     indents, alts, line_start = [0], [0], True
+    kinds, add, match = out.kinds, out.add, _PY.match
+    fields: list[tuple[str, bool, int]] = []  # open strings with fields: quote, raw, depth outside
+    inside = 0  # depth of the field we are in, 0 for none
+
+    def literal(formats: bool) -> bool:
+        """Reads text of the innermost open string from i on; false if it does not end."""
+        nonlocal i, depth, inside
+        quote, raw, outer = fields[-1]
+        while True:
+            i = (_PY_FORMATS if formats else _PY_RAW_PARTS if raw else _PY_PARTS)[quote].match(t, i).end()
+            if i >= n:
+                return False
+            if t[i] == "{":
+                depth += 1
+                inside = depth
+                add("F{", i, i + 1, False)
+                i += 1
+                return True
+            if t[i] == "}":
+                if not formats:
+                    return False
+                i = close(i)
+                formats = bool(specs) and specs[-1] == depth  # a field within a format goes back to it
+                continue
+            if formats or not t.startswith(quote, i):
+                return False
+            add("FE", i, i + len(quote), False)
+            i += len(quote)
+            fields.pop()
+            depth = outer
+            inside = levels.pop()
+            return True
+
+    levels: list[int] = []
+    specs: list[int] = []  # depths of the fields whose format we are in
+
+    def close(at: int) -> int:
+        nonlocal depth
+        add("F}", at, at + 1, False)
+        if specs and specs[-1] == depth:
+            specs.pop()
+        depth -= 1
+        return at + 1
+
     while True:
         if line_start and depth == 0:
-            m = re.compile(r"[ \t\f]*").match(t, i)
+            m = _PY_INDENT.match(t, i)
             col = alt = 0
-            for ch in m[0]:
-                if ch == " ":
-                    col, alt = col + 1, alt + 1
-                elif ch == "\t":
-                    col, alt = (col // 8 + 1) * 8, alt + 1
-                else:
-                    col = alt = 0
+            w = m[0]
+            if "\t" in w or "\f" in w:
+                for ch in w:
+                    if ch == " ":
+                        col, alt = col + 1, alt + 1
+                    elif ch == "\t":
+                        col, alt = (col // 8 + 1) * 8, alt + 1
+                    else:
+                        col = alt = 0
+            else:
+                col = alt = len(w)
             j = m.end()
             if j < n and t[j] in "\n#":  # blank or comment line
                 e = t.find("\n", j)
@@ -96,63 +169,103 @@ def lex_python(content: str) -> Lexed:
             i, line_start = j, False
             if col == indents[-1]:
                 if alt != alts[-1]:
-                    out.add("ERR", i, i, False)
+                    add("ERR", i, i, False)
             elif col > indents[-1]:
                 if alt <= alts[-1]:
-                    out.add("ERR", i, i, False)
+                    add("ERR", i, i, False)
                 indents.append(col)
                 alts.append(alt)
-                out.add("INDENT", i, i, False)
+                add("INDENT", i, i, False)
             else:
                 while col < indents[-1]:
                     indents.pop()
                     alts.pop()
-                    out.add("DEDENT", i, i, False)
+                    add("DEDENT", i, i, False)
                 if col != indents[-1] or alt != alts[-1]:
-                    out.add("ERR", i, i, False)
+                    add("ERR", i, i, False)
         if i >= n:
             break
-        m = _PY.match(t, i)
+        if inside and depth == inside:  # what ends the expression of a field
+            c = t[i]
+            if c == "}":
+                i = close(i)
+                inside = 0
+                if not literal(bool(specs) and specs[-1] == depth):
+                    add("ERR", i, n, False)
+                    break
+                continue
+            if c == ":":
+                add("F:", i, i + 1, False)
+                i += 1
+                specs.append(depth)
+                inside = 0
+                if not literal(True):
+                    add("ERR", i, n, False)
+                    break
+                continue
+            if c == "!" and not t.startswith("!=", i):
+                m = _FIELD_FORM.match(t, i)
+                add("F!" if m else "ERR", i, i + 1, False)
+                i = m.end() if m else i + 1
+                continue
+            if c == "=" and not t.startswith("==", i) and _FIELD_ENDS.match(t, i + 1):
+                add("F=", i, i + 1, False)
+                i += 1
+                continue
+        m = match(t, i)
         if not m:
             m = _PY_RUN.match(t, i)
             if m:
-                out.add("NUM", i, m.end(), False)
+                add("NUM", i, m.end(), False)
                 i = m.end()
                 continue
-            out.add("ERR", i, i + 1, False)
+            add("ERR", i, i + 1, False)
             if t[i] in "\"'":  # a string that does not end: the rest is no code
                 break
             i += 1
             continue
         kind, a, i = m.lastgroup, i, m.end()
-        if kind == "com":
-            out.comments.append((a, i))
-        elif kind == "nl":
-            if depth == 0:
-                out.add("NEWLINE", a, i, False)
-                line_start = True
-        elif kind == "str":
-            out.add("STR", a, i, False)
-        elif kind == "num":
-            out.add("NUM", a, i, False)
-        elif kind == "id":
-            w = m[0]
-            out.add(w if w in PY_KEYWORDS or w in PY_SOFT else "NAME", a, i, False)
+        if kind == "id":
+            add(_PY_KINDS.get(m[0], "NAME"), a, i, False)
         elif kind == "op":
             w = m[0]
             if w in "([{":
                 depth += 1
             elif w in ")]}":
                 depth = max(0, depth - 1)
-            out.add(w, a, i, False)
-    if out.kinds and out.kinds[-1] not in ("NEWLINE", "DEDENT") and depth == 0:
-        out.add("NEWLINE", n, n, False)
+            add(w, a, i, False)
+        elif kind == "nl":
+            if depth == 0:
+                add("NEWLINE", a, i, False)
+                line_start = True
+        elif kind == "com":
+            out.comments.append((a, i))
+        elif kind == "str":
+            add(_python_text(m[0]), a, i, False)
+        elif kind == "num":
+            add("NUM", a, i, False)
+        elif kind == "fs":
+            w = m[0]
+            quote = w.lstrip("rRfFtT")
+            add("FS", a, i, False)
+            fields.append((quote, "r" in w.lower(), depth))
+            levels.append(inside)
+            depth += 1
+            inside = 0
+            if not literal(False):
+                add("ERR", i, n, False)
+                break
+    if kinds and kinds[-1] not in ("NEWLINE", "DEDENT") and depth == 0:
+        add("NEWLINE", n, n, False)
     for _ in indents[1:]:
-        out.add("DEDENT", n, n, False)
-    out.add("EOF", n, n, False)
+        add("DEDENT", n, n, False)
+    add("EOF", n, n, False)
     return out
 
 
+_FIELD_ENDS, _FIELD_FORM = re.compile(r"\s*[}!:]"), re.compile(r"![rsa](?=\s*[}:])")
+
+
 PY_GRAMMAR = r"""
 $Id = NAME 'match' 'case' 'type'
 $Aug = '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '@=' '**=' '//=' '>>=' '<<='
@@ -163,8 +276,8 @@ Stmt = Simple | Compound
 Simple = Small (';' Small)* ';'? NEWLINE
 Block = Simple | NEWLINE Suite
 Suite@ = INDENT Stmt+ DEDENT
-Small = Assign | StarL | 'pass' | 'break' | 'continue' | 'return' StarL? | 'raise' (Expr ('from' Expr)?)?
-  | 'del' Targets | 'global' $Id (',' $Id)* | 'nonlocal' $Id (',' $Id)* | 'assert' Expr (',' Expr)?
+Small = %EQ Assign | %PLAIN StarL | 'pass' | 'break' | 'continue' | 'return' StarL? | 'raise' (Expr ('from' Expr)?)?
+  | 'del' DTargets | 'global' $Id (',' $Id)* | 'nonlocal' $Id (',' $Id)* | 'assert' Expr (',' Expr)?
   | Import | Yield | 'type' $Id TParams? '=' Expr
 Import = 'import' Dotted ('as' $Id)? (',' Dotted ('as' $Id)?)*
   | 'from' (('.' | '...')* Dotted | ('.' | '...')+) 'import' ('*' | AsName (',' AsName)* | '(' AsName (',' AsName)* ','? ')')
@@ -173,11 +286,15 @@ Dotted = $Id ('.' $Id)*
 Assign = (Targets '=')+ (StarL | Yield) | Single ':' Expr ('=' (StarL | Yield))? | Single $Aug (StarL | Yield)
 Targets = Target (',' Target)* ','?
 Target = '*'? (Single | '(' Targets? ')' | '[' Targets? ']')
+DTargets = DTarget (',' DTarget)* ','?
+DTarget = Single | '(' DTargets? ')' | '[' DTargets? ']'
 Single = $Id | Post Access | '(' Single ')'
 Access = '.' $Id | Index
 Yield = 'yield' ('from' Expr | StarL)?
 StarL = StarE (',' StarE)* ','?
-StarE = '*' Ar | Named
+StarE = '*' Ar | Expr
+NamedL = NamedE (',' NamedE)* ','?
+NamedE = '*' Ar | Named
 Named = $Id ':=' Expr | Expr
 Expr = 'lambda' LParams? ':' Expr | Disj ('if' Disj 'else' Expr)?
 Disj = Inv (('and' | 'or') Inv)*
@@ -187,37 +304,63 @@ CmpOp = '<' | '>' | '<=' | '>=' | '==' | '!=' | 'in' | 'not' 'in' | 'is' 'not'?
 Ar = Fac ($Ar Fac)*
 Fac = $Sign* 'await'? Post ('**' Fac)?
 Post = Atom (Access | Args)*
-Atom = $Id | NUM | STR+ | '...' | 'None' | 'True' | 'False' | Paren | List | Dict
-Paren@ = '(' (StarL | Yield | Named CompFor)? ')'
-List@ = '[' (StarL | Named CompFor)? ']'
-Dict@ = '{' (Pair (',' Pair)* ','? | Expr ':' Expr CompFor | StarL | Named CompFor)? '}'
+Atom = $Id | NUM | (STR | Fields)+ | BYTES+ | '...' | 'None' | 'True' | 'False' | Paren | List | Dict
+Fields = FS Field* FE
+Field = 'F{' (StarL | Yield) 'F='? 'F!'? ('F:' Field*)? 'F}'
+Paren@ = '(' (Yield | Named (CompFor | ',' NamedL?)? | '*' Ar ',' NamedL?)? ')'
+List@ = '[' (Named (CompFor | (',' NamedE)* ','?) | '*' Ar (',' NamedE)* ','?)? ']'
+Dict@ = '{' (Expr ':' Expr (CompFor | (',' Pair)* ','?) | '**' Ar (',' Pair)* ','? | Named (CompFor | (',' NamedE)* ','?) | '*' Ar (',' NamedE)* ','?)? '}'
 Pair = Expr ':' Expr | '**' Ar
-CompFor = ('async'? 'for' Targets 'in' Disj ('if' (Disj | $Id ':=' Disj))*)+
-Args@ = '(' ((Pos (',' Pos)* (',' Key (',' Key)*)? | Key (',' Key)*) ','? | Named CompFor)? ')'
+CompFor = ('async'? 'for' Targets 'in' Disj ('if' Disj)*)+
+Args@ = '(' (Pos (',' Pos)* (',' Keys)? ','? | Keys ','? | Named CompFor)? ')'
 Pos = Named | '*' Expr
-Key = $Id '=' Expr | '*' Expr | '**' Expr
+Keys = KeyS (',' KeyS)* (',' KeyD (',' KeyD)*)? | KeyD (',' KeyD)*
+KeyS = $Id '=' Expr | '*' Expr
+KeyD = $Id '=' Expr | '**' Expr
 Index@ = '[' Slice (',' Slice)* ','? ']'
 Slice = Named | '*' Ar | Expr? ':' Expr? (':' Expr?)?
-LParams = LParam (',' LParam)* ','?
-LParam = $Id ('=' Expr)? | '*' $Id? | '**' $Id | '/'
-Params@ = '(' (Param (',' Param)* ','?)? ')'
-Param = $Id (':' Expr)? ('=' Expr)? | '*' ($Id (':' '*'? Expr)?)? | '**' $Id (':' Expr)? | '/'
+LParams = $Id LA | $Id '=' Expr LD | LStar
+LA = (',' ($Id LA | $Id '=' Expr LD | '/' LB | LStar)?)?
+LD = (',' ($Id '=' Expr LD | '/' LE | LStar)?)?
+LB = (',' ($Id LB | $Id '=' Expr LE | LStar)?)?
+LE = (',' ($Id '=' Expr LE | LStar)?)?
+LStar = '*' $Id LS | '*' ',' LKey LS | '**' $Id ','?
+LS = (',' (LKey LS | '**' $Id ','?)?)?
+LKey = $Id ('=' Expr)?
+Params@ = '(' (Plain PA | Default PD | Star)? ')'
+Plain = $Id (':' Expr)?
+Default = $Id (':' Expr)? '=' Expr
+PA = (',' (Plain PA | Default PD | '/' PB | Star)?)?
+PD = (',' (Default PD | '/' PE | Star)?)?
+PB = (',' (Plain PB | Default PE | Star)?)?
+PE = (',' (Default PE | Star)?)?
+Star = '*' $Id (':' '*'? Expr)? PS | '*' ',' (Plain | Default) PS | '**' $Id (':' Expr)? ','?
+PS = (',' ((Plain | Default) PS | '**' $Id (':' Expr)? ','?)?)?
 TParams@ = '[' TParam (',' TParam)* ','? ']'
-TParam = ('*' | '**')? $Id (':' Expr)? ('=' Expr)?
+TParam = ('*' | '**')? $Id (':' Expr)? ('=' '*'? Expr)?
 Compound = If | While | For | Try | With | Def | Class | Match | 'async' (For | With | Def) | ('@' Named NEWLINE)+ (Def | Class | 'async' Def)
 If = 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)?
 While = 'while' Named ':' Block ('else' ':' Block)?
 For = 'for' Targets 'in' StarL ':' Block ('else' ':' Block)?
-Try = 'try' ':' Block (Except+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block)
-Except = 'except' '*'? (Expr ('as' $Id)?)? ':' Block
+Try = 'try' ':' Block (Except+ ('else' ':' Block)? ('finally' ':' Block)? | ExceptG+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block)
+Except = 'except' (Expr ('as' $Id)?)? ':' Block
+ExceptG = 'except' '*' Expr ('as' $Id)? ':' Block
 With = 'with' (Item (',' Item)* | '(' Item (',' Item)* ','? ')') ':' Block
 Item = Expr ('as' Target)?
 Def = 'def' $Id TParams? Params ('->' Expr)? ':' Block
 Class = 'class' $Id TParams? Args? ':' Block
-Match = 'match' StarL ':' NEWLINE Cases
+Match = 'match' NamedL ':' NEWLINE Cases
 Cases@ = INDENT Case+ DEDENT
-Case = 'case' StarP (',' StarP)* ','? ('if' Named)? ':' Block
-StarP = '*'? Ar ('as' $Id)?
+Case = 'case' (OpenSeq | Pat) ('if' Named)? ':' Block
+OpenSeq = PItem ',' (PItem (',' PItem)* ','?)?
+PItem = '*' $Id | Pat
+Pat = Closed ('|' Closed)* ('as' $Id)?
+Closed = '-'? NUM (('+' | '-') NUM)? | (STR | Fields)+ | BYTES+ | 'None' | 'True' | 'False' | $Id ('.' $Id)* PArgs? | PSeq | PList | PMap
+PSeq@ = '(' (PItem (',' PItem)* ','?)? ')'
+PList@ = '[' (PItem (',' PItem)* ','?)? ']'
+PArgs@ = '(' (Pat (',' Pat)* (',' $Id '=' Pat)* ','? | $Id '=' Pat (',' $Id '=' Pat)* ','?)? ')'
+PMap@ = '{' (PPair (',' PPair)* ','?)? '}'
+PPair = ('-'? NUM (('+' | '-') NUM)? | STR+ | BYTES+ | 'None' | 'True' | 'False' | $Id ('.' $Id)+) ':' Pat | '**' $Id
 """
 
 
@@ -231,7 +374,7 @@ JS_SOFT = frozenset(
 JS_OPS = "... => === !== **= <<= &&= ||= ??= == != <= >= && || ?? ++ -- += -= *= /= %= &= |= ^= << ** + - * / % & | ^ ! ~ < = ? : , . ; ( ) [ ] { } @"
 _JS = re.compile(
     r"""(?P<ws>[ \t\f\v ﻿ -   　]+)|(?P<nl>[\n  ])|(?P<com>//[^\n  ]*|/\*.*?\*/)
-    |(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')
+    |(?P<str>\"(?:[^\"\\\n]|\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9])))*\"|'(?:[^'\\\n]|\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9])))*')
     |(?P<num>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?[0-9])*)n|(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)(?![\w$]))
     |(?P<id>\#?(?:[^\W\d]|\$)[\w$‌‍]*)
     |(?P<gt>>=?)|(?P<opt>\?\.(?![0-9]))
@@ -317,8 +460,9 @@ JS_GRAMMAR = (
     "$Id = NAME " + " ".join(sorted(f"'{w}'" for w in JS_SOFT)) + "\n$Prop = $Id " + " ".join(sorted(f"'{w}'" for w in JS_RESERVED)) + "\n"
     r"""
 $Asg = '=' '+=' '-=' '*=' '/=' '%=' '**=' '<<=' '&=' '|=' '^=' '&&=' '||=' '??='
-$Bin = '+' '-' '*' '/' '%' '**' '<<' '<' '<=' '>=' '==' '!=' '===' '!==' '&&' '||' '??' '&' '|' '^' 'in' 'instanceof' GT
-$Pre = 'delete' 'void' 'typeof' '+' '-' '~' '!' 'await' '++' '--'
+$Bin = '+' '-' '*' '/' '%' '**' '<<' '<' '<=' '>=' '==' '!=' '===' '!==' '&' '|' '^' 'in' 'instanceof' GT
+$Log = '&&' '||'
+$Pre = 'delete' 'void' 'typeof' '+' '-' '~' '!' 'await'
 $Lit = NUM STR REGEX 'this' 'super' 'null' 'true' 'false'
 $Jump = 'break' 'continue'
 $Var = 'var' 'let'
@@ -350,7 +494,7 @@ If§ = 'if' Paren Stmt§ ('else' Stmt§)?
 While§ = 'while' Paren Stmt§
 Do§ = 'do' Stmt§ 'while' Paren ';'?
 For§ = 'for' 'await'? ForHead Stmt§
-ForHead@ = '(' ((ForInit ';' | ';') Expr? ';' Expr? | (($Var | 'const') Binding | Postfix) ('of' Assign | 'in' Expr)) ')'
+ForHead@ = '(' ((ForInit ';' | ';') Expr? ';' Expr? | (($Var | 'const') Binding | Postfix %PLACE) ('of' Assign | 'in' Expr)) ')'
 ForInit = ($Var | 'const') VarDecl (',' VarDecl)* | Expr
 Switch§ = 'switch' Paren Cases§
 Cases§@ = '{' (('case' Expr | 'default') ':' Stmt§*)* '}'
@@ -369,11 +513,12 @@ Method = ('async' %NONL)? '*'? PropName <<ts '?'?>> Sig (Body <<ts | Semi>>)
 Accessor = ('get' | 'set') PropName Sig (Body <<ts | Semi>>)
 Field = PropName <<ts ('?' | '!')? TypeAnn?>> ('=' Assign)? Semi
 Expr = Assign (',' Assign)*
-Assign = Cond | Postfix $Asg Assign | Postfix (GTA '>=' | GTA GTA '>=') Assign | Arrow | 'yield' (%NONL '*'? Assign)?
+Assign = Cond | Postfix %PLACE ($Asg | GTA '>=' | GTA GTA '>=') Assign <<ts | '<' Type (GT | GTA) Postfix %PLACE $Asg Assign>> | Arrow | 'yield' (%NONL '*'? Assign)?
 Arrow = ('async' %NONL)? ($Id | <<ts TypeParams?>> Params <<ts RetType?>>) %NONL '=>' (%NOTBRACE Assign | Body)
-Cond = Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)* ('?' Assign ':' Assign)?
+Cond = Chain (($Log Chain)* | ('??' Chain)+) ('?' Assign ':' Assign)?
+Chain = Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)*
 BinOp = $Bin | GTA GT | GTA GTA GT
-Operand = $Pre* Postfix (%NONL ('++' | '--'))? | PRIV <<ts | '<' Type (GT | GTA) Operand>>
+Operand = $Pre* (Postfix (%NONL %PLACE ('++' | '--'))? | ('++' | '--') Postfix %PLACE) | PRIV <<ts | '<' Type (GT | GTA) Operand>>
 Postfix = Primary Suffix*
 Suffix = '.' ($Prop | PRIV) | '?.' ($Prop | PRIV | Index | Args) | Index | Args | Template <<ts | %NONL '!' | TypeArgs (Args | Template)>>
 Index@ = '[' Expr ']'
@@ -423,9 +568,9 @@ JAVA_SOFT = frozenset("record sealed permits yield non open module".split())
 JAVA_OPS = "... -> :: == != <= >= && || ++ -- += -= *= /= %= &= |= ^= <<= << + - * / % & | ^ ! ~ < = ? : , . ; ( ) [ ] { } @"
 _JAVA = re.compile(
     r"""(?P<ws>[ \t\f]+)|(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)
-    |(?P<str>\"\"\"[ \t\f]*\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n]|\\[^\n])*\"|\"\"(?!\"))
-    |(?P<chr>'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))')
-    |(?P<num>(?:0[xX](?:[0-9a-fA-F](?:_*[0-9a-fA-F])*\.?[0-9a-fA-F]*(?:[pP][+-]?[0-9]+[fFdD]?)?|\.[0-9a-fA-F]+[pP][+-]?[0-9]+[fFdD]?)|0[bB][01](?:_*[01])*|(?:[0-9](?:_*[0-9])*\.?(?:[0-9](?:_*[0-9])*)?|\.[0-9](?:_*[0-9])*)(?:[eE][+-]?[0-9]+)?[fFdD]?)[lL]?(?![\w$]))
+    |(?P<str>\"\"\"[ \t\f]*\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n]|\\(?:[btnfrs\"'\\0-7]|u+[0-9a-fA-F]{4}))*\"|\"\"(?!\"))
+    |(?P<chr>'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))')
+    |(?P<num>(?:0[xX](?:[0-9a-fA-F](?:_*[0-9a-fA-F])*\.?[0-9a-fA-F]*(?:[pP][+-]?[0-9]+[fFdD]?)?|\.[0-9a-fA-F]+[pP][+-]?[0-9]+[fFdD]?)|0[bB][01](?:_*[01])*|(?:[0-9](?:_*[0-9])*\.(?:[0-9](?:_*[0-9])*)?|\.[0-9](?:_*[0-9])*)(?:[eE][+-]?[0-9](?:_*[0-9])*)?[fFdD]?|[0-9](?:_*[0-9])*(?:[eE][+-]?[0-9](?:_*[0-9])*[fFdD]?|[fFdD])|0(?:_*[0-7])*|[1-9](?:_*[0-9])*)[lL]?(?![\w$]))
     |(?P<id>(?:[^\W\d]|\$)[\w$]*)
     |(?P<gt>>=?)
     |(?P<op>"""
@@ -440,7 +585,7 @@ $Prim = 'boolean' 'byte' 'char' 'double' 'float' 'int' 'long' 'short'
 $Lit = NUM STR CHR 'true' 'false' 'null'
 $Asg = '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<='
 $Bin = '+' '-' '*' '/' '%' '<<' '<' '<=' '>=' '==' '!=' '&&' '||' '&' '|' '^' GT
-$Pre = '+' '-' '~' '!' '++' '--'
+$Pre = '+' '-' '~' '!'
 $Kw = 'public' 'protected' 'private' 'static' 'abstract' 'final' 'native' 'synchronized' 'transient' 'volatile' 'strictfp' 'default' 'sealed'
 Unit = (Annot* 'package' QName ';')? (Import | ';')* (Top)* EOF | Annot* 'open'? 'module' QName ModBody EOF
 ModBody@ = '{' ($Id ('static' | $Id)? QName ($Id QName (',' QName)*)? ';')* '}'
@@ -492,13 +637,13 @@ ForHead@ = '(' ((Local | StmtExpr (',' StmtExpr)*)? ';' Expr? ';' (StmtExpr (','
 Switch = 'switch' Paren SwitchBody
 SwitchBody@ = '{' (Label (':' BStmt* | '->' (Block | Expr ';' | 'throw' Expr ';')))* '}'
 Label = 'case' Cond (',' Cond)* | 'default'
-StmtExpr = Postfix AsgOp Expr | ('++' | '--') Unary | Postfix ('++' | '--') | Postfix %CALLEND
+StmtExpr = Postfix (%PLACE (AsgOp Expr | '++' | '--') | %CALLEND) | ('++' | '--') Postfix %PLACE
 AsgOp = $Asg | GTA '>=' | GTA GTA '>='
-Expr = Cond | Lambda | Postfix AsgOp Expr
+Expr = Cond | Lambda | Postfix %PLACE AsgOp Expr
 Lambda = ($Id | Params | '(' $Id (',' $Id)* ')') '->' (Expr | Block)
 Cond = Unary (BinOp Unary | 'instanceof' 'final'? Type $Id?)* ('?' Expr ':' (Cond | Lambda))?
 BinOp = $Bin | GTA GT | GTA GTA GT
-Unary = $Pre* (Cast | Postfix ('++' | '--')*)
+Unary = $Pre* (Cast | Postfix (%PLACE ('++' | '--'))? | ('++' | '--') Postfix %PLACE)
 Cast = '(' Type ('&' Type)* ')' (Unary | Lambda)
 Postfix = Primary Suffix*
 Suffix = '.' (TypeArgs? $Id Args? | New | 'this' | 'class' | TypeArgs? 'super' Args?) | Index | '::' TypeArgs? ($Id | 'new')
@@ -517,9 +662,9 @@ GO_RESERVED = frozenset(
 GO_OPS = "<<= >>= &^= &^ ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> + - * / % & | ^ ~ ! < > = : , . ; ( ) [ ] { }"
 _GO = re.compile(
     r"""(?P<ws>[ \t]+)|(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)
-    |(?P<str>\"(?:[^\"\\\n]|\\[^\n])*\"|`[^`]*`)
-    |(?P<chr>'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[^\nxuU0-7]))')
-    |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9]+)?|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9]+)?)i?(?![\w]))
+    |(?P<str>\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}))*\"|`[^`]*`)
+    |(?P<chr>'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[abfnrtv\\']))')
+    |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9]+)?|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*|(?=i))|0(?:_?[0-7])*|[1-9](?:_?[0-9])*)i?(?![\w]))
     |(?P<id>[^\W\d]\w*)
     |(?P<op>"""
     + _ops(GO_OPS)
@@ -529,7 +674,7 @@ _GO = re.compile(
 _GO_ENDS = frozenset({"NAME", "NUM", "STR", "CHR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"})
 
 GO_GRAMMAR = r"""
-$Asg = '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '&^='
+$Asg = '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '&^='
 $Bin = '+' '-' '*' '/' '%' '&' '|' '^' '<<' '>>' '&^' '&&' '||' '==' '!=' '<' '<=' '>' '>='
 $Pre = '+' '-' '!' '^' '*' '&' '<-' '~'
 File = 'package' NAME ';' (Import ';')* (Top ';')* EOF
@@ -559,15 +704,14 @@ Field = (Names Type | '*'? TName) STR?
 Iface@ = '{' (IElem (';' IElem)* ';'?)? '}'
 IElem = NAME Sig | Constraint
 Sig = Params (Params | Type)?
-Params@ = '(' (Param (',' Param)* ','?)? ')'
-Param = NAME? '...'? Type
+Params@ = '(' ('...'? Type (',' '...'? Type)* ','? | Names '...'? Type (',' Names '...'? Type)* ','?)? ')'
 Block@ = '{' StmtL '}'
 StmtL = Stmt? (';' Stmt?)*
 Stmt = Decl | Simple | 'return' ExprL? | 'break' NAME? | 'continue' NAME? | 'goto' NAME | 'fallthrough' | Block | If | For | Switch | Select
   | 'go' Expr | 'defer' Expr | NAME ':' Stmt?
-Simple§ = ExprL§ ($Asg ExprL§ | ':=' ExprL§ | '++' | '--' | '<-' Expr§)?
+Simple§ = ExprL§ '=' ExprL§ | Names ':=' ExprL§ | Expr§ ($Asg Expr§ | '++' | '--' | '<-' Expr§)?
 If = 'if' (SimpleF? ';')? ExprF Block ('else' (If | Block))?
-For = 'for' (ExprF | SimpleF? ';' ExprF? ';' SimpleF? | (ExprLF ('=' | ':='))? 'range' ExprF)? Block
+For = 'for' (ExprF | SimpleF? ';' ExprF? ';' SimpleF? | (ExprLF '=' | Names ':=')? 'range' ExprF)? Block
 Switch = 'switch' (SimpleF? ';')? SimpleF? Cases
 Cases@ = '{' (('case' TypeL | 'default') ':' StmtL)* '}'
 TypeL = (Expr | Type) (',' (Expr | Type))*
@@ -641,6 +785,26 @@ def lex_go(content: str) -> Lexed:
 _JS_GOES_ON = "( [ + - * / % , . ?. = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= ** << < <= >= == != === !== && || ?? & | ^ ? : => in instanceof TSTR THEAD GT GTA ) ]".split()
 
 
+def _place_test(tid, never: str, unless_member: str):
+    """Whether what ends before token i may be assigned to: a name, a member, a bracketed
+    place or a pattern, but no call and no literal."""
+    get = lambda words: frozenset(map(tid, words.split()))
+    never_, literal, members, close = get(never), get(unless_member), get("."), tid(")")
+    operand, optional = get(never + " " + unless_member + " NAME PRIV ) ] } GT GTA ! " + " ".join(sorted(JS_SOFT | JAVA_SOFT))), tid("?.")
+
+    def place(t: Tokens, i: int) -> bool:
+        k = t.kinds[i - 1]
+        if k == close:
+            at = t.opening(i - 1)
+            return at is not None and (at == 0 or t.kinds[at - 1] not in operand)
+        if k in never_:
+            return False
+        before = t.kinds[i - 2] if i > 1 else 0
+        return before != optional and (k not in literal or before in members)
+
+    return place
+
+
 def _js_tests(tid) -> dict:
     get = lambda *w: frozenset(map(tid, w))
     goes_on, ends, brace = get(*_JS_GOES_ON), get("}", "EOF"), get("{")
@@ -660,12 +824,33 @@ def _js_tests(tid) -> dict:
         "XS": statement,
         "NONL": lambda t, i: i < len(t.kinds) and not t.nl[i],
         "NOTBRACE": lambda t, i: t.kinds[i] not in brace,
+        "PLACE": _place_test(tid, "NUM STR REGEX TSTR TTAIL", "this super null true false meta target"),
     }
 
 
 def _java_tests(tid) -> dict:
     ends = frozenset({tid(")"), tid("}")})
-    return {"CALLEND": lambda t, i: t.kinds[i - 1] in ends}
+    return {"CALLEND": lambda t, i: t.kinds[i - 1] in ends, "PLACE": _place_test(tid, "NUM STR CHR true false null this super class }", "")}
+
+
+def _python_tests(tid) -> dict:
+    """EQ, PLAIN: whether the small statement at i may be an assignment, or may not."""
+    end = frozenset(map(tid, ("NEWLINE", ";", "EOF")))
+    signs = frozenset(map(tid, "= : += -= *= /= %= &= |= ^= @= **= //= >>= <<=".split()))
+    equal, colon, function = tid("="), tid(":"), tid("lambda")
+
+    def signs_of(t: Tokens, i: int) -> tuple[bool, bool]:
+        kinds, match, assigns, plain = t.kinds, t.match, False, True
+        while i < len(kinds) and (k := kinds[i]) not in end:
+            if k in signs:
+                assigns = True
+                plain = plain and k == colon
+            elif k == function:  # its colon and defaults are its own
+                return True, True
+            i = match.get(i, i) + 1
+        return assigns, plain
+
+    return {"EQ": lambda t, i: signs_of(t, i)[0], "PLAIN": lambda t, i: signs_of(t, i)[1]}
 
 
 _PAIRS = [("(", ")"), ("[", "]"), ("{", "}"), ("INDENT", "DEDENT")]
@@ -675,7 +860,7 @@ _PAIRS = [("(", ")"), ("[", "]"), ("{", "}"), ("INDENT", "DEDENT")]
 def grammar(language: str) -> tuple[Grammar, dict[int, int]]:
     """The language's program (all its dialects) and its brackets."""
     g = {
-        "python": lambda: Grammar({"": PY_GRAMMAR}),
+        "python": lambda: Grammar({"": PY_GRAMMAR}, _python_tests),
         "javascript": lambda: Grammar({"": expand(JS_GRAMMAR)}, _js_tests),
         "typescript": lambda: Grammar({"Js": expand(JS_GRAMMAR), "": expand(JS_GRAMMAR, "ts")}, _js_tests),
         "java": lambda: Grammar({"": JAVA_GRAMMAR}, _java_tests),

@@ -89,3 +89,188 @@ def test_recogniser_takes_left_recursion_and_ambiguity():
 def test_deep_and_long_texts():
     assert ok("python", "x = " + "(" * 3000 + ")" * 3000 + "\n") and not ok("javascript", "(" * 5000)
     assert ok("javascript", "f(1);\n" * 20000)
+
+
+# ---------------------------------------------------------------- finer points of the languages
+INVALID = {
+    "python": [
+        'def f(a=1, b): pass',
+        'def f(*): pass',
+        'x = 08',
+        'x = f"{a b}"',
+        "x = f'{'",
+        'f(x for x in y, 1)',
+        'f(**k, *a)',
+        'f(a=1, b)',
+        'x = y := 1',
+        'y := 1',
+        '(*a)',
+        'del *a',
+        'x = b"é"',
+        'x = "\\x1"',
+        'lambda a=1, b: a',
+        'def f(a, /, b, /): pass',
+        'def f(**k, a): pass',
+        'x = f"}"',
+        'x = f"{}"',
+        'x = f"{a!}"',
+        'x = "a" b"c"',
+        'try: pass\nexcept a: pass\nexcept* b: pass\n',
+    ],
+    'javascript': [
+        '1 = x;',
+        'f() = 1',
+        'a ?? b || c',
+        'x = "\\x1"',
+        'this = 1',
+        'a?.b = 1',
+        '1++',
+        '++f()',
+        'x = 08',
+    ],
+    'typescript': [
+        '1 = x;',
+        'f() = 1',
+    ],
+    'java': [
+        'class A { void f() { 1 = x; } }',
+        'class A { void f() { f() = 1; } }',
+        'class A { int x = 08; }',
+        'class A { String s = "\\q"; }',
+        'class A { void f() { this = 1; } }',
+    ],
+    'go': [
+        'package p\nfunc f() { a, b++ }',
+        'package p\nfunc f(a int, string) {}',
+        'package p\nvar x = 08',
+        'package p\nvar x = "\\q"',
+        'package p\nfunc f() { a, b }',
+        'package p\nfunc f() { a.b := 1 }',
+        'package p\nfunc f() { a, b += 1, 2 }',
+    ],
+}
+
+VALID = {
+    "python": [
+        'def f(a, b=1, *, c, d=2, **k): pass',
+        'def f(a, /, b, *args: int, **k): pass',
+        'def f(*, a): pass',
+        'def f(*a, b=1,): pass',
+        'x = 0_0',
+        'x = 00',
+        'x = 08.5',
+        'x = 1_0e5j',
+        'x = f"{a!r:>{w}} {b=} {{}} {c[\'k\']}"',
+        'x = f"{x["a"]}"',
+        'x = f"{a:%H:%M}"',
+        "x = f'''{\na\n}'''",
+        'f(a, *b, c=1, **k)',
+        'f(a=1, *b)',
+        'x: int = lambda a=1: a',
+        'lambda a=1: a',
+        'lambda *, a: a',
+        'x = (y := 1)',
+        '(a, *b)',
+        'x = rf"\\{a}\\d"',
+        'x = f"\\N{DASH}{a}"',
+        'x = f"{a:{b}{c}}"',
+        'x = f"{lambda_}"',
+        'match x:\n    case {"a": 1, **r}: pass\n    case P(x=0, y=[a, *_]) | -1: pass\n    case a.b | "s" if z: pass\n    case 1, *r: pass\n',
+        'x = f"{a}" "b" f"{c}"',
+        'f"{x!r}"',
+        'f"{d[\'a\']:>{10}}"',
+        'f"{{}}{x}}}"',
+        'x = f"{a if b else c}"',
+        'x = f"{ {1:2}[1] }"',
+        "x = f'{a:\\n}'",
+        'a = b = c',
+        'a += yield',
+        'print(f"{x:,}")',
+        'f"{(lambda x: 1)(2)}"',
+        'f"{x:=5}"',
+        'f"{a!=b}"',
+        'f""" "{a}" """',
+    ],
+    'javascript': [
+        'a.b = 1',
+        '(a) = 1',
+        '[a,b] = c',
+        '({a} = b)',
+        'a[0] += 1',
+        'f().x = 1',
+        'f()[0]++',
+        '++a.b',
+        'a ?? b ?? c',
+        '(a ?? b) || c',
+        'a && b || c',
+        'x = "\\u{1F600}\\x41\\0"',
+        'for (a.b of c) {}',
+        'for (const [a,b] of c) {}',
+        'a = b = c',
+        'return_ = function(){ return (a) = 1 }',
+        'let x = 1, y = `${a}b`',
+        'x = a?.b',
+        'x++\ny--',
+        '`${a}` + f`x`',
+        'if (a) b = 1; else c = 2',
+        'a.this = 1',
+    ],
+    'typescript': [
+        'a! = 1',
+        '(a as any) = 1',
+        'let x = <any>y',
+        'x = y as const',
+        '(<any>a).b = 1',
+    ],
+    'java': [
+        'class A { void f() { a.b = 1; a[0]++; ++x; x--; f().y = 2; (a) = 1; this.x = 3; int y = a = 5; } }',
+        'class A { double d = 08.5, e = 1e5, f = 0x1F, g = 017, h = 1_000L, i = 0f; }',
+        'class A { String s = "\\n\\t\\"\\u0041\\\\d\\0"; char c = \'\\\'\'; }',
+        'class A { void f() { int i = (x)++ ; } }',
+    ],
+    'go': [
+        'package p\nfunc f(a, b int, c ...string) (x int, err error) { a, b = b, a; a++; c <- 1; x := 1; for i, v := range x {}; for a[0], b = range c {}; a += 1 }',
+        'package p\nfunc f(int, ...string) (int, error)',
+        'package p\nvar x = 0o17 + 017 + 08.5 + 1e5 + 09i + 0x1p-2',
+        'package p\nvar s = "\\n\\x41\\u1234\\\\"',
+        'package p\nfunc f(func(int) error, map[string]int, []a, *b)',
+    ],
+}
+
+
+@pytest.mark.parametrize("language", INVALID)
+def test_finer_points(language):
+    assert [t for t in INVALID[language] if ok(language, t)] == [] and [t for t in VALID[language] if not ok(language, t + "\n")] == []
+
+
+STATEMENTS = [
+    "a, *b = c if d else e, not f is not g not in h", "x: int = lambda *a, k=1, **w: (a, k)", "print(f\"{a!r:>{w}} {b=} {{}} {c['k']}\", *z, sep='', **k)", "def f(a, /, b=1, *c, d, **e) -> int: pass",
+    "x[i:j, ::k, *l] = i ** -j @ k // m", "y = {**a, 'b': 1, **{c: d for c, d in e.items()}}, {1, *s}, [*a, (yield)]", "with (a as b, c): pass", "from . import (a, b as c,)", "assert (n := f(a=1, *b)) and True, 'x'",
+    "match x:\n    case [1, *_] | {'a': b, **c} if d: pass\n    case P(0, y=-1.5) as p: pass", "try: pass\nexcept (A, B) as e: raise E from None\nelse: del a[0], b.c\nfinally: global g", "s = rb'q' b\"x\"; u = 0x_f + 1_0.5e-3j + .5 + 0 if 1if a else 2",
+]
+PARTS = "* ** , = := : ( ) [ ] { } lambda yield await not in is if else for async def / -> ... @ 1 08 'a' f'{a}' b'x' None ; . as from import x case match _ != ~ -".split()
+
+
+def test_changed_python_as_its_own_parser():
+    """Statements with parts taken out, put in and swapped: the verdict is that of Python's own parser."""
+    import random
+    import re
+
+    r, wrong, good = random.Random(3), [], 0
+    for _ in range(3000):
+        parts = re.findall(r"\w+|\s+|\S", r.choice(STATEMENTS) + "\n")
+        for _ in range(r.randrange(1, 4)):
+            i = r.randrange(len(parts))
+            parts[i : i + r.randrange(2)] = r.choice(([], [r.choice(PARTS)], [" " + r.choice(PARTS) + " "], [parts[r.randrange(len(parts))]])) or [""]
+        text = "".join(parts)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                ast.parse(text)
+                valid = True
+            except (SyntaxError, ValueError):
+                valid = False
+        good += valid
+        if ok("python", text) != valid:
+            wrong.append(text)
+    assert wrong == [] and 100 < good < 2900
