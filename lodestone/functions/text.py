@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import IRREGULAR, NOUN_ENDINGS, PACKAGE_ENDINGS, PACKAGES, SYNONYMS, UNCOUNTABLE, VERB_ENDINGS
+
+
+def lookup(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
 
 def stripped(x: Column) -> Column:
     """Without white space of any kind around it (trim takes blanks only)."""
@@ -63,21 +67,17 @@ def xml_name(x: Column) -> Column:
     return F.when(y.rlike(r"^[\p{L}_]"), y).otherwise(F.concat(F.lit("id_"), y))
 
 
-# Words without or with an irregular singular.
-UNCOUNTABLE = ("data", "metadata", "information", "software", "hardware", "news", "series", "species", "status", "analysis", "basis", "access", "process", "address", "business", "class")
-IRREGULAR = {"people": "person", "children": "child", "men": "man", "women": "woman", "indices": "index", "vertices": "vertex", "matrices": "matrix", "criteria": "criterion", "analyses": "analysis"}
-
-
 def singular(word: Column) -> Column:
-    """The singular of an English noun by its ending, case kept at the first letter."""
+    """The singular of an English noun by its ending.  Words without one stay, irregular
+    ones keep a capital at their begin."""
     low = F.lower(word)
-    odd = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])[low]
+    odd = lookup(IRREGULAR)[low]
     odd = F.when(word.rlike(r"^\p{Lu}"), F.initcap(odd)).otherwise(odd)
     cut = lambda n: word.substr(F.lit(1), F.length(word) - n)
     return (
         F.when(low.isin(*UNCOUNTABLE), word)
         .when(odd.isNotNull(), odd)
-        .when(low.rlike(r"[^aeiou]ies$") & (F.length(word) > 3), F.concat(cut(3), F.lit("y")))
+        .when(low.rlike(r"[^aeiou]ies$"), F.concat(cut(3), F.when(word.rlike(r"I..$"), "Y").otherwise("y")))
         .when(low.rlike(r"(s|x|z|ch|sh)es$"), cut(2))
         .when(low.rlike(r"[^s]s$") & (F.length(word) > 2), cut(1))
         .otherwise(word)
@@ -93,17 +93,22 @@ def concept_name(x: Column) -> Column:
     return F.concat(F.array_join(init, ""), F.coalesce(F.initcap(singular(last)), F.lit("")))
 
 
-# Endings that a package name may lose, and names that mean one package.
-PACKAGE_ENDINGS = ("-python", "-py", ".js", "-js", "-client", "-sdk", "-core")
-PACKAGES = {"postgres": "postgresql", "psycopg2": "postgresql", "mongo": "mongodb", "node": "nodejs", "sklearn": "scikit-learn", "bs4": "beautifulsoup4", "yaml": "pyyaml", "cv2": "opencv"}
+def package_name(x: Column) -> Column:
+    """The name less the first ending that fits, in the spelling known for it, else as it
+    is written."""
+    low = F.lower(x)
+    base = None
+    for e in PACKAGE_ENDINGS:
+        less = x.substr(F.lit(1), F.length(x) - len(e))
+        base = F.when(low.endswith(e), less) if base is None else base.when(low.endswith(e), less)
+    base = base.otherwise(x)
+    return F.coalesce(lookup(PACKAGES)[F.lower(base)], base)
 
 
-def package_name(x: Column) -> Column:
-    """The name less the first known ending, its canonical form if it has one, else as
-    it was written."""
-    low = F.lower(F.trim(x))
-    base = reduce(lambda y, e: F.when(low.endswith(e) & (F.length(low) > len(e)), low.substr(F.lit(1), F.length(low) - len(e))).otherwise(y), reversed(PACKAGE_ENDINGS), low)
-    return F.coalesce(F.create_map(*[F.lit(v) for kv in PACKAGES.items() for v in kv])[base], x)
+def dependency_id(repository: Column, name: Column) -> Column:
+    """Node id of a dependency, of its normal name: blanks, dashes and slashes become
+    underscores, other signs stay."""
+    return F.concat(F.lit("extdep_"), repository, F.lit("_"), F.translate(F.lower(name), "- /", "___"))
 
 
 def content_hash(x: Column) -> Column:
@@ -127,32 +132,25 @@ def run_parts(x: Column) -> Column:
     return F.when((F.size(p) >= 4) & it.isNotNull(), F.struct(p[0].alias("session"), p[1].alias("model"), p[2].alias("repository"), it.alias("iteration")))
 
 
-# Verb and noun endings, longest first within a family, and what replaces them.
-VERB_ENDINGS = (("ications", "y"), ("ication", "y"), ("izations", "ize"), ("ization", "ize"), ("ations", "ate"), ("ation", "ate"), ("izing", "ize"), ("ating", "ate"), ("ying", "y"), ("ements", "e"), ("ement", "e"), ("ments", ""), ("ment", ""), ("ings", ""), ("ing", ""), ("ied", "y"), ("ed", ""), ("ers", ""), ("er", ""))
-NOUN_ENDINGS = (("ies", "y"), ("sses", "ss"), ("ses", "s"), ("s", ""))
-
-
-def lemma(word: Column, least: int = 4) -> Column:
-    """The word with the first matching ending replaced, if enough of it is left."""
-    out = None
+def lemma(word: Column) -> Column:
+    """The word with the first ending that fits replaced: verbs' endings, then nouns'.
+    Three letters must be left of it, and three before the ending; shorter words stay."""
+    out = F.when(F.length(word) <= 3, word)
     for end, new in (*VERB_ENDINGS, *NOUN_ENDINGS):
-        fits = word.endswith(end) & (F.length(word) - len(end) >= (least - 1 if len(end) > 1 else least - 2))
-        got = F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(new))
-        out = F.when(fits, got) if out is None else out.when(fits, got)
+        fits = word.endswith(end) & (F.length(word) > len(end) + 2)
+        out = out.when(fits, F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(new)))
     return out.otherwise(word)
 
 
-#: Words that mean the same.  Fixed values.
-SYNONYMS = {"customer": "client", "user": "client", "repo": "repository", "db": "database", "auth": "authentication", "config": "configuration", "mgmt": "management", "svc": "service", "docs": "document", "app": "application"}
-
-
 def normal_name(x: Column, synonyms: dict[str, str] | None = None, lemmas: bool = False) -> Column:
-    """Lower case, without a leading article, underscores and dashes as blanks, each
-    word replaced by its synonym (and lemma)."""
-    table = SYNONYMS | (synonyms or {})
-    y = F.regexp_replace(F.lower(stripped(x)), r"^(the|a|an)\s+", "")
+    """Lower case, without leading articles, underscores and dashes as blanks, each word
+    replaced by its lemma (if asked for), then by its synonym; null and empty names give
+    an empty one.  Synonyms of several words match no single word."""
+    means = lookup(SYNONYMS | (synonyms or {}))
+    y = stripped(F.lower(F.coalesce(x, F.lit(""))))
+    for article in ("the", "a", "an"):
+        y = F.regexp_replace(y, f"^{article} ", "")
     y = F.trim(F.regexp_replace(y, r"[_\-\s]+", " "))
-    means = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
     one = (lambda w: F.coalesce(means[lemma(w)], lemma(w))) if lemmas else (lambda w: F.coalesce(means[w], w))
     return F.array_join(F.transform(F.split(y, " "), one), " ")
 
@@ -173,8 +171,20 @@ def json_of(response: Column) -> Column:
 
 
 def without_fence(x: Column) -> Column:
-    inner = F.regexp_extract(stripped(x), r"(?s)^```\w*\s*\n(.*?)\n?```$", 1)
-    return F.when(inner == "", x).otherwise(inner)
+    """The text within a code fence that holds all of it, with or without line ends."""
+    inside = stripped(x)
+    return F.when(inside.rlike(r"(?s)^```(\w*)\s*(.*?)\s*```$"), F.regexp_extract(inside, r"(?s)^```(?:\w*)\s*(.*?)\s*```$", 1)).otherwise(x)
+
+
+def iso_time(t: Column) -> Column:
+    """UTC time as text of ISO 8601, with microseconds where there are any."""
+    u = F.to_utc_timestamp(t, F.current_timezone())
+    return F.concat(F.date_format(u, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(u, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(u, "SSSSSS"))).otherwise(""), F.lit("Z"))
+
+
+def duration_ms(begin: Column, end: Column) -> Column:
+    """Whole milliseconds from begin to end."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(begin)) / 1000)
 
 
 def token_estimate(x: Column) -> Column:
@@ -189,7 +199,8 @@ def shortened(x: Column, tokens: int) -> Column:
     tail = target - head
     lines = F.split(x, "\n")
     n = F.size(lines)
-    cut = F.concat_ws("\n", F.array_join(F.slice(lines, 1, head), "\n"), F.concat(F.lit("... ("), (n - target).cast("string"), F.lit(" lines left out) ...")), F.array_join(F.slice(lines, n - tail + 1, tail), "\n"))
+    mark = F.concat(F.lit("\n\n... ["), (n - target).cast("string"), F.lit(" lines truncated] ...\n\n"))
+    cut = F.concat(F.array_join(F.slice(lines, 1, head), "\n"), mark, F.array_join(F.slice(lines, n - tail + 1, tail), "\n"))
     return F.when((token_estimate(x) > tokens) & (n > target), cut).otherwise(x)
 
 

@@ -6,19 +6,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.values import MODEL_LIMITS
 from ..plans.lineage import for_every_core
+from .ranking import first_of
 
-# Context sizes by model name, tried in this order.
-MODEL_LIMITS = (("gpt-4o-mini", 128000), ("gpt-4o", 128000), ("gpt-4", 8192), ("claude", 200000), ("mistral", 32000), ("llama", 8192))
-
-
-def model_limit(model: str, share: float = 0.8, default: int = 4000) -> int:
-    """Tokens a chunk may have: the limit of the name, or of one that is part of it or
-    that it is part of, times the share."""
-    exact = dict(MODEL_LIMITS).get(model)
-    near = next((n for m, n in MODEL_LIMITS if m in model or model in m), default)
-    return int((exact or near) * share)
+def model_limit(model: str | None, share: float = 0.8) -> int:
+    """Tokens a chunk may have: the limit of the model's name in any case, else of the
+    first name that is part of it or that it is part of, else the default, times the share."""
+    low = "default" if model is None else model.lower()
+    near = (n for m, n in MODEL_LIMITS.items() if m in low or low in m)
+    return int(MODEL_LIMITS.get(low, next(near, MODEL_LIMITS["default"])) * share)
 
 
 def by_lines(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, str]]:
@@ -39,27 +38,57 @@ def by_lines(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, st
 
 
 def by_delimiter(text: str, limit: int, delimiter: str, overlap: int = 0) -> list[tuple[int, int, str]]:
-    """Like by_lines with sections that begin at the delimiter; a section over the limit
-    is cut by lines."""
-    parts = text.split(delimiter)
-    sections = [parts[0]] + [delimiter + p for p in parts[1:]]
-    out, held, line = [], "", 1
+    """Like by_lines with sections that begin at the delimiter (the first at the text's
+    begin; a delimiter with nothing behind it is dropped).  A section over the limit is
+    cut by lines.  A chunk begins with the last ``overlap`` sections of the one before if
+    that had so many.  Tokens are counted section by section; a chunk's last line is its
+    first plus its line ends, the next chunk's first the one after."""
+    first, *rest = text.split(delimiter)
+    sections = [first] * bool(first) + [delimiter + x for x in rest if x]
+    out: list[tuple[int, int, str]] = []
+    held: list[str] = []
     begin = 1
-    for s in [x for x in sections if x]:
-        if held and (len(held) + len(s)) // 4 > limit:
-            out.append((begin, line, held))
-            held = ""
+
+    def flush() -> None:
+        nonlocal begin
+        chunk = "".join(held)
+        end = begin + chunk.count("\n")
+        out.append((begin, end, chunk))
+        begin = end + 1
+
+    for s in sections:
         if len(s) // 4 > limit:
-            out += [(line + a - 1, line + b - 1, c) for a, b, c in by_lines(s, limit, overlap)]
-        else:
-            begin = begin if held else line
-            held += s
-        line += s.count("\n")
+            if held:
+                flush()
+                held = []
+            out += [(begin + a - 1, begin + b - 1, c) for a, b, c in by_lines(s, limit, overlap)]
+            begin += s.count("\n") + 1
+            continue
+        if held and (_tokens(held) + len(s) // 4) > limit:
+            flush()
+            held = held[-overlap:] if 0 < overlap <= len(held) else []
+        held.append(s)
     if held:
-        out.append((begin, line, held))
+        flush()
     return out
 
 
+def _tokens(sections: list[str]) -> int:
+    return sum(len(x) // 4 for x in sections)
+
+
+def labelled(chunks: DataFrame, path: str = "file_path") -> DataFrame:
+    """The chunks with ``label``: the path, and of a file in several chunks the lines as well."""
+    lines = F.concat(F.col(path), F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
+    return chunks.withColumn("label", F.when(F.col("chunks") > 1, lines).otherwise(F.col(path)))
+
+
+def once_per_file(nodes: DataFrame, order: str = "chunk_no") -> DataFrame:
+    """Nodes read from the chunks of files (file, node_id, ...): each once per file, that
+    of the first chunk; nodes without id are dropped."""
+    return first_of(nodes, ["file", "node_id"], [F.col(order)])
+
+
 def chunked(texts: DataFrame, limit: int, delimiter: str | None = None, overlap: int = 0) -> DataFrame:
     """node_id, chunk_no, chunks, start_line, end_line, content.  A text within the limit
     is one chunk; null and empty texts give none."""

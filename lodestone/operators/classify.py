@@ -88,18 +88,35 @@ def with_classification(files: DataFrame, classification: DataFrame) -> DataFram
     return j.withColumn("found_subtype", F.when(F.col("found_type").isNull(), suffix).otherwise(F.col("found_subtype"))).withColumn("found_type", F.coalesce("found_type", F.lit("unknown")))
 
 
-def test_targets(files: DataFrame) -> DataFrame:
-    """test_id, source_id, candidate_no: the source file of a test, by the first of the
-    candidate paths that exists in the repository: the name without its test mark, in
-    the same folder, then with ``tests/`` taken out of the path, then below ``src/``."""
+def test_targets(files: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """test_id, source_id, candidate_no: the source file of a test (all files are tried
+    unless ``tests`` names them), by the first of the candidate paths that exists in the
+    repository: in the same folder without ``test_`` before or ``_test`` behind the name
+    or ``.spec``/``.test`` in it; for files below a folder of tests also the same path
+    with src/ for tests/, the root, and the folder above."""
     f = files.where("node_id is not null and file_path is not null").groupBy("repository_name", "file_path").agg(F.min("node_id").alias("node_id"))
-    name = F.substring_index("file_path", "/", -1)
-    plain = F.regexp_replace(F.regexp_replace(name, r"^test_", ""), r"(_test|\.test|\.spec)(\.\w+)$", "$2")
-    folder = F.regexp_replace(F.col("file_path"), r"[^/]*$", "")
-    bare = F.regexp_replace(folder, r"(^|/)tests?/", "$1")
-    tests = f.where(name != plain).select("repository_name", F.col("node_id").alias("test_id"), F.posexplode(F.array(F.concat(folder, plain), F.concat(bare, plain), F.concat(F.lit("src/"), bare, plain))).alias("candidate_no", "file_path"))
-    j = tests.join(f.select("repository_name", "file_path", F.col("node_id").alias("source_id")), ["repository_name", "file_path"])
-    return j.where("test_id <> source_id").groupBy("test_id").agg(F.min_by("source_id", "candidate_no").alias("source_id"), F.min("candidate_no").alias("candidate_no"))
+    own = f if tests is None else f.join(tests.select(F.col("node_id")).distinct(), "node_id", "left_semi")
+    path = F.col("file_path")
+    last = F.substring_index(path, "/", -1)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(".")
+    above = F.when(folder.contains("/"), F.regexp_replace(folder, r"/[^/]*$", "")).otherwise(".")
+    ext = F.regexp_extract(last, r"[^.](\.[^.]*)$", 1)
+    name = last.substr(F.lit(1), F.length(last) - F.length(ext))
+    plain = F.when(name.startswith("test_"), F.regexp_replace(name, "^test_", "")).otherwise(F.regexp_replace(name, "_test$", ""))
+    below_tests = folder.contains("/tests/") | folder.contains("/test/") | folder.startswith("tests")
+    at = lambda where, stem: F.concat(where, F.lit("/"), stem, ext)
+    tries = F.array(
+        F.when(name.startswith("test_"), at(folder, F.regexp_replace(name, "^test_", ""))),
+        F.when(name.endswith("_test"), at(folder, F.regexp_replace(name, "_test$", ""))),
+        F.when(name.contains(".spec") | name.contains(".test"), at(folder, F.regexp_replace(name, r"\.(spec|test)$", ""))),
+        F.when(below_tests, at(F.regexp_replace(folder, "tests?/?", "src/"), plain)),
+        F.when(below_tests, F.concat(plain, ext)),
+        F.when(below_tests & (above != "."), at(above, plain)),
+    )
+    normal = F.transform(tries, lambda x: F.replace(F.regexp_replace(x, r"^[./]+", ""), F.lit("//"), F.lit("/")))
+    each = own.select("repository_name", F.col("node_id").alias("test_id"), F.posexplode(normal).alias("candidate_no", "file_path")).where("file_path is not null")
+    j = each.join(f.select("repository_name", "file_path", F.col("node_id").alias("source_id")), ["repository_name", "file_path"])
+    return j.groupBy("test_id").agg(F.min_by("source_id", "candidate_no").alias("source_id"), F.min("candidate_no").alias("candidate_no"))
 
 
 def directories(files: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ from ..plans.lineage import for_every_core
 from .ranking import first_of
 
 
-def method_of(name: Column, subtype: Column) -> Column:
-    """How dependencies are read from a file of that name."""
-    n = F.lower(name)
+def method_of(path: Column, subtype: Column) -> Column:
+    """How dependencies are read from a file: ``requirements_txt``, ``pyproject_toml``,
+    ``package_json`` by its name in any case, ``python_ast``, else ``llm``."""
+    n = F.regexp_extract(F.lower(path), r"([^/\\\\]*)$", 1)
     return (
-        F.when(n.rlike(r"^requirements.*\.txt$"), "requirements").when(n == "pyproject.toml", "pyproject").when(n == "package.json", "package_json")
-        .when(subtype == "python", "imports").otherwise("llm")
+        F.when((n == "requirements.txt") | n.endswith("-requirements.txt"), "requirements_txt").when(n == "pyproject.toml", "pyproject_toml").when(n == "package.json", "package_json")
+        .when(F.lower(subtype) == "python", "python_ast").otherwise("llm")
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
+from ..functions.text import normal_name, similarity
 
 # Element types by layer and aspect, and the aspects each relationship joins.
 ELEMENTS = {
@@ -47,20 +47,47 @@ def metamodel(spark: SparkSession) -> DataFrame:
 
 def current(elements: DataFrame) -> DataFrame:
     """One row per identifier: the last delivered (ties: enabled ones first)."""
-    every = F.struct(*[F.col(c) for c in elements.columns if not c == "properties"])
+    every = F.struct(*[F.col(c) for c in elements.columns])
     return elements.where("identifier is not null").groupBy("identifier").agg(F.max_by(every, F.struct("loaded_at", "enabled", "name")).alias("r")).select("r.*")
 
 
+def relationships_between(relationships: DataFrame, elements: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    """The relationships whose two ends are elements, of a source, to a target, both or any."""
+    ids = elements.select("identifier").distinct()
+    some = relationships if source is None else relationships.where(F.col("source_id") == source)
+    some = some if target is None else some.where(F.col("target_id") == target)
+    return some.join(ids.select(F.col("identifier").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("identifier").alias("target_id")), "target_id", "left_semi")
+
+
 def relationship_validity(relationships: DataFrame, elements: DataFrame) -> DataFrame:
-    """identifier, valid, reason of each relationship whose ends exist: ``unknown type``,
-    ``not allowed`` or null.  The metamodel has a few hundred rows at most."""
+    """identifier, valid, reason of each relationship whose ends exist.  The reason is the
+    first of: ``unknown source type``, ``unknown target type``, ``unknown relationship
+    type``, ``source not allowed``, ``target not allowed``; else null.  The metamodel has
+    a few hundred rows at most."""
     e = elements.select("identifier", "element_type")
     s = e.select(F.col("identifier").alias("source_id"), F.col("element_type").alias("source_type"))
     t = e.select(F.col("identifier").alias("target_id"), F.col("element_type").alias("target_type"))
-    m = metamodel(relationships.sparkSession).withColumn("allowed", F.lit(True))
-    j = relationships.join(s, "source_id").join(t, "target_id").join(m, ["relationship_type", "source_type", "target_type"], "left")
-    known = F.col("relationship_type").isin(*RELATIONSHIPS)
-    return j.select("identifier", F.coalesce("allowed", F.lit(False)).alias("valid"), F.when(~known, "unknown type").when(F.col("allowed").isNull(), "not allowed").alias("reason"))
+    aspect = lambda c: F.create_map(*[F.lit(x) for k, (_, a) in ELEMENTS.items() for x in (k, a)])[c]
+    allows = lambda side: F.create_map(*[x for k, v in RELATIONSHIPS.items() for x in (F.lit(k), F.array(*map(F.lit, v[side])))])[F.col("relationship_type")]
+    j = relationships.join(s, "source_id").join(t, "target_id")
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    reason = (
+        F.when(~known("source_type", ELEMENTS), "unknown source type").when(~known("target_type", ELEMENTS), "unknown target type")
+        .when(~known("relationship_type", RELATIONSHIPS), "unknown relationship type")
+        .when(~F.array_contains(allows(0), aspect(F.col("source_type"))), "source not allowed").when(~F.array_contains(allows(1), aspect(F.col("target_type"))), "target not allowed")
+    )
+    return j.select("identifier", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def relationships_from(spark: SparkSession, element_type: str) -> DataFrame:
+    """relationship_type, target_type that may begin at an element of the type."""
+    return metamodel(spark).where(F.col("source_type") == element_type).select("relationship_type", "target_type")
+
+
+def flow_serving(elements: DataFrame, relationships: DataFrame) -> DataFrame:
+    """One row, relationships: how many Flow and Serving relationships join enabled elements."""
+    some = relationships.where(F.col("relationship_type").isin("Flow", "Serving"))
+    return relationships_between(some, elements.where("enabled")).agg(F.count(F.lit(1)).alias("relationships"))
 
 
 def without_relationships(elements: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -105,40 +132,54 @@ def redundant_relationships(relationships: DataFrame) -> DataFrame:
     return g.select("source_id", "target_id", F.explode(found).alias("pair"))
 
 
-def similar_elements(elements: DataFrame, fuzzy: float = 0.85) -> DataFrame:
-    """a, b, tier of pairs of unequal names within an element type and repository whose
-    similarity is at least ``fuzzy``.  Names are compared once each: distinct names are
-    paired by blocks of equal length and equal pieces, which loses no pair: a pair
-    within d edits shares one of d + 1 pieces of the shorter name at about its place."""
-    names = elements.where("enabled and name is not null and name <> ''").select("repository_name", "element_type", F.lower(F.trim("name")).alias("name")).distinct()
-    names = names.withColumn("n", F.length("name"))
+def similar_elements(elements: DataFrame, fuzzy: float = 0.85, by: tuple[str, ...] = ("repository_name", "element_type"), synonyms: dict[str, str] | None = None, lemmas: bool = False) -> DataFrame:
+    """by, name, other, similarity of unequal normal names (see text.normal_name) of the
+    enabled elements in one group, whose similarity is at least ``fuzzy``; the shorter
+    name first, at equal length the lesser.  Elements with one normal name but unequal
+    names have that name twice in a row, with similarity 1.
+
+    Names are compared once each: distinct names are paired by blocks of equal length
+    and equal pieces, which loses no pair: a pair within d edits shares one of the d + 1
+    pieces of the shorter name, at its place give or take as many characters as the
+    edits before and after it can shift it by."""
+    by = list(by)
+    raw = elements.where("enabled and name is not null and name <> ''").select(*by, normal_name(F.col("name"), synonyms, lemmas).alias("normal"), "name").distinct()
+    names = raw.groupBy(*by, F.col("normal").alias("name")).agg(F.count(F.lit(1)).alias("spellings")).where("name <> ''").withColumn("n", F.length("name"))
+    same = names.where("spellings > 1").select(*by, "name", F.col("name").alias("other"), F.lit(1.0).alias("similarity"))
     # edits allowed for the longer length, and pieces of the shorter one
     longest = F.floor(F.col("n") / fuzzy + 1e-9).cast("int")
     edits = F.floor(longest * (1 - fuzzy) + 1e-9).cast("int")
-    a = names.withColumn("edits", edits).withColumn("pieces", F.col("edits") + 1)
+    a = names.drop("spellings").withColumn("edits", edits).withColumn("pieces", F.col("edits") + 1)
     a = a.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("k"))
     begin = F.floor(F.col("k") * F.col("n") / F.col("pieces")).cast("int")
     a = a.withColumn("begin", begin).withColumn("piece", F.expr("substring(name, begin + 1, cast(floor((k + 1) * n / pieces) as int) - begin)")).where(F.length("piece") > 0)
-    b = names.select("repository_name", "element_type", F.col("name").alias("other"), F.col("n").alias("m"))
-    # each longer name offers every piece that a shorter one could hold there
+    b = names.select(*by, F.col("name").alias("other"), F.col("n").alias("m"))
+    # each longer name offers the pieces that a name of s characters could hold there: the
+    # k-th piece has k edits before it at most if it is the first that is whole, and its
+    # place in the longer name differs by what is left of the difference in length
     b = b.withColumn("s", F.explode(F.sequence(F.ceil(F.col("m") * fuzzy - 1e-9).cast("int"), F.col("m"))))
     b = b.withColumn("e", F.floor(F.floor(F.col("s") / fuzzy + 1e-9) * (1 - fuzzy) + 1e-9).cast("int"))
     b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("e"))))
     b = b.withColumn("from", F.floor(F.col("k") * F.col("s") / (F.col("e") + 1)).cast("int")).withColumn("len", F.floor((F.col("k") + 1) * F.col("s") / (F.col("e") + 1)).cast("int") - F.col("from"))
-    b = b.where("len > 0").withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - F.col("e")), F.col("from") + F.col("e"))))
-    b = b.withColumn("piece", F.expr("substring(other, at + 1, len)")).select("repository_name", "element_type", F.col("s").alias("n"), "k", "piece", "other").distinct()
-    pairs = a.select("repository_name", "element_type", "name", "n", "k", "piece").join(b, ["repository_name", "element_type", "n", "k", "piece"])
-    both = pairs.where((F.length("name") < F.length("other")) | ((F.length("name") == F.length("other")) & (F.col("name") < F.col("other")))).select("repository_name", "element_type", "name", "other").distinct()
-    return both.withColumn("similarity", similarity(F.col("name"), F.col("other"))).where(F.col("similarity") >= fuzzy)
+    longer = F.col("m") - F.col("s")
+    left, right = F.floor((F.col("e") - longer) / 2), F.floor((F.col("e") + longer) / 2)
+    b = b.where("len > 0 and m - s <= e").withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - left).cast("int"), (F.col("from") + right).cast("int"))))
+    b = b.withColumn("piece", F.expr("substring(other, at + 1, len)")).select(*by, F.col("s").alias("n"), "k", "piece", "other").distinct()
+    pairs = a.select(*by, "name", "n", "k", "piece").join(b, [*by, "n", "k", "piece"])
+    both = pairs.where((F.length("name") < F.length("other")) | ((F.length("name") == F.length("other")) & (F.col("name") < F.col("other")))).select(*by, "name", "other").distinct()
+    return both.withColumn("similarity", similarity(F.col("name"), F.col("other"))).where(F.col("similarity") >= fuzzy).unionByName(same)
 
 
 def equal_elements(elements: DataFrame) -> DataFrame:
     """identifier, kept_id of enabled elements that repeat a name within type and
-    repository: the one with the longest documentation stays, then the least id."""
+    repository: the one with the highest ``source_pagerank`` among its properties (0 if
+    there is none) stays, of these the one with the longest documentation, then the least
+    identifier."""
     key = ["repository_name", "element_type", "name"]
     e = elements.where("enabled and name is not null")
-    best = e.groupBy(*key).agg(F.max(F.coalesce(F.length("documentation"), F.lit(0))).alias("_most"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    top = e.join(best, key).where(F.coalesce(F.length("documentation"), F.lit(0)) == F.col("_most")).groupBy(*key).agg(F.min("identifier").alias("kept_id"))
+    rank = F.coalesce(F.col("properties")["source_pagerank"].try_cast("double"), F.lit(0.0)) if "properties" in e.columns else F.lit(0.0)
+    e = e.select(*key, "identifier", F.struct((-rank).alias("rank"), (-F.coalesce(F.length("documentation"), F.lit(0))).alias("length"), F.col("identifier").alias("id")).alias("_by"))
+    top = e.groupBy(*key).agg(F.min("_by")["id"].alias("kept_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return e.join(top, key).where("identifier <> kept_id").select("identifier", "kept_id")
 
 

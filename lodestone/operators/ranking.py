@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import ESSENTIAL
 from .numbering import numbered
 
 
@@ -24,6 +25,12 @@ def likely(name: Column, include: list[str], exclude: list[str], capital_default
     return F.when(name.isNull() | (name == ""), False).when(contains_any(low, exclude), False).when(contains_any(low, include), True).otherwise(other)
 
 
+def named(df: DataFrame, name: str = "name", without: str = "") -> DataFrame:
+    """Rows with a name, and none that begins with ``without`` (such as ``_`` or ``__``)."""
+    some = df.where(F.col(name) != "")
+    return some.where(~F.col(name).startswith(without)) if without else some
+
+
 def with_labels(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Rows with any of the included labels and none of the excluded ones."""
     if include:
@@ -39,6 +46,11 @@ def in_communities(df: DataFrame, ids: list[str] | None = None, only_roots: bool
     return df.where("node_id = louvain_community") if only_roots else df
 
 
+def cut_nodes(df: DataFrame) -> DataFrame:
+    """The articulation points."""
+    return df.where("is_articulation_point")
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; rows whose key is null or blank are dropped.  The
     rows meet as one candidate per partition and key (map-side), never in one group."""
@@ -93,9 +105,6 @@ def community_batches(df: DataFrame, order: list[Column], size: int, community:
     return batches(both, [F.col("_first"), F.col("_row")], size).drop("_first", "_row")
 
 
-ESSENTIAL = ("methodName", "typeName", "filePath", "visibility", "docstring", "category", "name")
-
-
 def essential(df: DataFrame, kept: tuple[str, ...] = ESSENTIAL) -> DataFrame:
     """Candidates with pagerank at four places and the kept properties only."""
     return df.withColumn("pagerank", F.round("pagerank", 4)).withColumn("properties", F.map_filter("properties", lambda k, v: k.isin(*kept)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, model, ranking, responses
+from .lineage import cut
 
 #: Refine steps by name: (elements, relationships, params) -> findings.
 REFINE: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
@@ -17,15 +18,17 @@ REFINE: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
     "redundant_relationships": lambda e, r, p: model.redundant_relationships(r),
     "orphan_elements": lambda e, r, p: model.orphan_actions(e, r, p.get("importance"), p.get("least", 0.0), p.get("disable", False)),
     "cross_layer": lambda e, r, p: model.layer_gaps(e, r),
+    "structural_consistency": lambda e, r, p: model.contained_pairs(e, p["edges"], r, F.col("properties")["source"], p.get("most", 100)),
     "validation": lambda e, r, p: model.violations(e, r, p.get("strict", False)),
 }
 
 
 def refine(name: str, elements: DataFrame, relationships: DataFrame, params: dict | None = None) -> dict:
-    """Result of a step: success, findings (a table), error.  An unknown name or a step
-    that cannot be planned is a failed result, not an exception."""
+    """Result of a step: success, findings (a table, materialised), error.  An unknown name
+    or a step that fails, while it is planned or while it runs, is a failed result, not an
+    exception."""
     try:
-        return {"step": name, "success": True, "findings": REFINE[name](elements, relationships, params or {}), "error": None}
+        return {"step": name, "success": True, "findings": cut(REFINE[name](elements, relationships, params or {})), "error": None}
     except Exception as e:  # noqa: BLE001
         return {"step": name, "success": False, "findings": None, "error": f"{type(e).__name__}: {e}"}
 

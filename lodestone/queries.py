@@ -611,9 +611,9 @@ def a20_next_id(t):
     return versioning.next_id(t("extraction_config"))
 
 
-@query("SELECT name, loaded_at FROM repositories ORDER BY cloned_at DESC LIMIT 10")
+@query("SELECT name, loaded_at FROM repositories ORDER BY cloned_at DESC, name LIMIT 10")
 def k4_latest(t):
-    return consistency.latest(t("repositories"), "cloned_at", 10).select("name", "loaded_at")
+    return consistency.latest(t("repositories"), "cloned_at", 10, "name").select("name", "loaded_at")
 
 
 @query("SELECT identifier, name, confidence FROM relationships WHERE name IS NOT NULL AND name <> '' AND source_id IS NOT NULL AND identifier <> ''")
