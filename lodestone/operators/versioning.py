@@ -26,9 +26,12 @@ def deleted(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFr
     return left, e
 
 
-def soft_disabled(elements: DataFrame, ids: list[str], reason: str) -> DataFrame:
-    hit = F.col("identifier").isin(ids)
-    return elements.withColumn("enabled", F.col("enabled") & ~hit).withColumn("disabled_reason", F.when(hit, reason).otherwise(F.col("disabled_reason")))
+def soft_disabled(elements: DataFrame, gone: DataFrame, reason: str) -> DataFrame:
+    """The elements, those named in ``gone`` (identifier) disabled for the reason."""
+    g = gone.select("identifier").distinct().withColumn("_hit", F.lit(True))
+    hit = F.coalesce("_hit", F.lit(False))
+    j = elements.join(g, "identifier", "left")
+    return j.withColumn("enabled", F.col("enabled") & ~hit).withColumn("disabled_reason", F.when(hit, reason).otherwise(F.col("disabled_reason"))).drop("_hit")
 
 
 def active_versions(config: DataFrame, key: str) -> DataFrame:

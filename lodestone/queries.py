@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import chunks, classify, consistency, extract, graph, model, numbering, ranking, references, responses, versioning
+from .functions.values import ALLOWED, DEPENDENCY_KEYS, IRREGULAR, NOUN_ENDINGS, PACKAGE_ENDINGS, PACKAGES, SYNONYMS, UNCOUNTABLE, VERB_ENDINGS
+from .operators import catalogue, chunks, classify, consistency, extract, graph, model, numbering, ranking, references, responses, versioning
 from .plans.lineage import checkpoint_folder
 from .sources import eventlog, files
 from .sources.tables import table
@@ -230,6 +231,16 @@ def pred_labels(t):
     return ranking.essential(ranking.with_labels(t("candidates"), ["Method"], ["Graph:Method"])).select("node_id", "pagerank", F.col("properties")["methodName"].alias("method"))
 
 
+@query("SELECT node_id, name FROM candidates WHERE name <> '' AND NOT starts_with(name, '__')")
+def pred_named(t):
+    return ranking.named(t("candidates"), without="__").select("node_id", "name")
+
+
+@query("SELECT node_id FROM candidates WHERE is_articulation_point")
+def pred_cut_nodes(t):
+    return ranking.cut_nodes(t("candidates")).select("node_id")
+
+
 @query("SELECT node_id FROM candidates WHERE node_id = louvain_community OR is_articulation_point")
 def pred_roots_or_cut_nodes(t):
     c = t("candidates")
@@ -281,16 +292,95 @@ def a10_stage_consistency(t):
     return consistency.stage_consistency(daily, ["event_type"], "n").withColumn("variance", F.round("variance", 6)).withColumn("consistency", F.round("consistency", 6))
 
 
-@query()
+# one run per month and kind of node: which repositories had nodes of which kind
+_KIND_RUNS = "SELECT DISTINCT date_trunc('month', loaded_at) AS run, relationship_type || '_' || split_part(target_id, '_', 2) AS object FROM graph_edges WHERE target_id IS NOT NULL AND relationship_type IN ('USES', 'IMPLEMENTS', 'TESTS')"
+_KINDS = f"WITH p AS ({_KIND_RUNS}), n AS (SELECT count(DISTINCT run) AS runs FROM p), o AS (SELECT object, count(*) AS k FROM p GROUP BY 1), g AS (SELECT split_part(object, '_', 1) AS kind, any_value(runs) AS runs, count(*) AS objects, CAST(sum(CASE WHEN k = runs THEN 1 ELSE 0 END) AS BIGINT) AS stable FROM o, n WHERE runs >= 2 GROUP BY 1)"
+
+
+def _kind_runs(t):
+    e = t("graph_edges").where("target_id is not null and relationship_type in ('USES', 'IMPLEMENTS', 'TESTS')")
+    return e.select(F.date_trunc("month", "loaded_at").alias("run"), F.concat_ws("_", "relationship_type", F.get(F.split("target_id", "_"), 1)).alias("object"))
+
+
+@query(_KINDS + " SELECT kind, runs, objects, stable, stable / objects AS score, objects - stable AS deviations FROM g")
 def a12_type_breakdown(t):
-    ids = t("candidates").select(consistency.type_of(F.col("node_id")).alias("kind"), F.col("louvain_community").alias("run"), F.col("node_id").alias("object")).where("run is not null")
-    return consistency.scores(ids, ["kind"])
+    return consistency.by_inferred_type(_kind_runs(t), consistency.type_of(F.col("object")))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT date_trunc('month', loaded_at) AS run, name AS object FROM elements WHERE name IS NOT NULL), n AS (SELECT count(DISTINCT run) AS runs FROM p), o AS (SELECT object, lower(object) AS l, count(*) AS k FROM p GROUP BY 1, 2), "
+    "x AS (SELECT CASE WHEN contains(l, 'component') OR starts_with(l, 'ac_') THEN 'ApplicationComponent' WHEN contains(l, 'service') OR starts_with(l, 'as_') THEN 'ApplicationService' WHEN contains(l, 'data') OR starts_with(l, 'do_') THEN 'DataObject' WHEN contains(l, 'artifact') OR starts_with(l, 'art_') THEN 'Artifact' ELSE split_part(object, '_', 1) END AS kind, k FROM o) "
+    "SELECT kind, any_value(runs) AS runs, count(*) AS objects, CAST(sum(CASE WHEN k = runs THEN 1 ELSE 0 END) AS BIGINT) AS stable FROM x, n WHERE runs >= 2 GROUP BY 1"
+)
+def u6_element_types(t):
+    rows = t("elements").select(F.date_trunc("month", "loaded_at").alias("run"), F.col("name").alias("object"))
+    return consistency.by_inferred_type(rows, consistency.element_type_of(F.col("object"))).select("kind", "runs", "objects", "stable")
+
+
+# documents as runs: a model is a language, a repository a source, a run a month; a run made the
+# repositories that its documents name
+_WITHIN_ROWS = "SELECT DISTINCT lang AS model, source AS repository, date_trunc('quarter', created_at) AS run, repository_name AS object FROM documents WHERE lang IS NOT NULL"
+_WITHIN = f"""WITH p AS ({_WITHIN_ROWS}), m AS (SELECT model, repository, run, count(object) AS made FROM p GROUP BY ALL), n AS (SELECT model, repository, count(*) AS runs, var_pop(made) AS v FROM m GROUP BY ALL HAVING count(*) >= 2),
+o AS (SELECT model, repository, object, count(*) AS k FROM p WHERE object IS NOT NULL GROUP BY ALL), g AS (SELECT model, repository, count(*) AS objects, CAST(sum(CASE WHEN k = runs THEN 1 ELSE 0 END) AS BIGINT) AS stable FROM o JOIN n USING (model, repository) GROUP BY ALL),
+w AS (SELECT model, repository, runs, coalesce(objects, 0) AS objects, coalesce(stable, 0) AS stable, v AS count_variance, CASE WHEN coalesce(objects, 0) = 0 THEN 100.0 ELSE 100.0 * stable / objects END AS consistency FROM n LEFT JOIN g USING (model, repository)),
+d AS (SELECT event_type AS name, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), st AS (SELECT name, CASE WHEN count(*) < 2 OR avg(n) = 0 THEN 100.0 ELSE greatest(0.0, 100 - stddev_pop(n) / avg(n) * 100) END AS score FROM d GROUP BY 1),
+kp AS ({_KIND_RUNS}), kn AS (SELECT count(DISTINCT run) AS runs FROM kp), ko AS (SELECT object, count(*) AS k FROM kp GROUP BY 1), kk AS (SELECT split_part(object, '_', 1) AS name, 100.0 * sum(CASE WHEN k = runs THEN 1 ELSE 0 END) / count(*) AS score FROM ko, kn GROUP BY 1),
+loc AS (SELECT 'model' AS dimension, model AS name, avg(consistency) AS score FROM w GROUP BY model UNION ALL SELECT 'repository', repository, avg(consistency) FROM w GROUP BY repository UNION ALL SELECT 'stage', name, score FROM st UNION ALL SELECT 'object_type', name, score FROM kk)
+"""
+
 
+def _within_rows(t):
+    return t("documents").where("lang is not null").select(F.col("lang").alias("model"), F.col("source").alias("repository"), F.date_trunc("quarter", "created_at").alias("run"), F.col("repository_name").alias("object"))
 
-@query(_SCORES + ", g AS (SELECT 1 AS group_no, event_type AS name, score * 100 AS score FROM f) SELECT group_no, name, round(score, 6) AS score, CASE WHEN score < 50 THEN 'high' ELSE 'medium' END AS severity FROM g WHERE score < 80 ORDER BY group_no, score, name LIMIT 10")
+
+def _within(t):
+    rows = _within_rows(t)
+    runs = rows.distinct().groupBy("model", "repository", "run").agg(F.count("object").alias("made"))
+    return consistency.within_models(rows, runs)
+
+
+def _located(t):
+    daily = t("events").groupBy(F.col("event_type").alias("name"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = consistency.by_inferred_type(_kind_runs(t), consistency.type_of(F.col("object"))).select(F.col("kind").alias("name"), "score")
+    return consistency.localised(_within(t), consistency.stage_consistency(daily, ["name"], "n"), kinds)
+
+
+@query(_WITHIN + "SELECT model, repository, runs, objects, stable, round(count_variance, 6) AS count_variance, round(consistency, 6) AS consistency FROM w")
+def u8_within_models(t):
+    return _within(t).withColumn("count_variance", F.round("count_variance", 6)).withColumn("consistency", F.round("consistency", 6))
+
+
+@query(_WITHIN + "SELECT name, round(score, 6) AS score FROM loc WHERE dimension = 'model'")
+def a11_mean_by_model(t):
+    return consistency.mean_consistency(_within(t), "model").withColumn("score", F.round("score", 6))
+
+
+@query(_WITHIN + "SELECT dimension, name, round(score, 6) AS score FROM loc")
+def u14_localised(t):
+    return _located(t).withColumn("score", F.round("score", 6))
+
+
+@query(_WITHIN + ", h AS (SELECT CASE dimension WHEN 'model' THEN 1 WHEN 'stage' THEN 2 ELSE 3 END AS group_no, name, score FROM loc WHERE dimension IN ('model', 'stage') OR dimension = 'object_type' AND name IN ('USES', 'TESTS')) SELECT group_no, name, round(score, 6) AS score, CASE WHEN score < 50 THEN 'high' ELSE 'medium' END AS severity FROM h WHERE score < 80 ORDER BY h.group_no, h.score, h.name LIMIT 10")
 def k5_hotspots(t):
-    g = consistency.scores(_runs(t), ["event_type"]).select(F.lit(1).alias("group_no"), F.col("event_type").alias("name"), (F.col("score") * 100).alias("score"))
-    return consistency.hotspots(g).withColumn("score", F.round("score", 6))
+    return consistency.weak_spots(_located(t), ("USES", "TESTS")).withColumn("score", F.round("score", 6))
+
+
+@query(_WITHIN + ", q AS (SELECT DISTINCT repository, model, object FROM p), qn AS (SELECT repository, count(DISTINCT model) AS models FROM q GROUP BY 1), qo AS (SELECT repository, object, count(*) AS k FROM q WHERE object IS NOT NULL GROUP BY ALL), qj AS (SELECT qn.repository, CASE WHEN count(object) = 0 THEN 1.0 ELSE sum(CASE WHEN k = models THEN 1 ELSE 0 END) / count(object) END AS jaccard FROM qn LEFT JOIN qo USING (repository) GROUP BY 1) SELECT round(avg(x), 6) AS overall FROM (SELECT consistency AS x FROM w UNION ALL SELECT jaccard * 100 FROM qj)")
+def a21_overall(t):
+    across = consistency.across_models(_within_rows(t).select("repository", "model", "object"), ["repository"])
+    return consistency.overall_of(_within(t), across).withColumn("overall", F.round("overall", 6))
+
+
+@query(f"WITH p AS ({_RUNS}), n AS (SELECT event_type, count(DISTINCT run) AS runs FROM p GROUP BY 1), o AS (SELECT event_type, object, count(*) AS k FROM p GROUP BY ALL), s AS (SELECT event_type, CASE WHEN k = runs THEN 'stable' ELSE 'deviating' END AS side, object FROM o JOIN n USING (event_type)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_type, side ORDER BY object) AS INTEGER) AS place FROM s) SELECT event_type, side, place, object FROM r WHERE place <= 50")
+def k7_stability_lists(t):
+    return consistency.stability_lists(_runs(t), ["event_type"], 50).select("event_type", "side", "place", "object")
+
+
+@query("WITH p AS (SELECT DISTINCT 's:m:r:' || CAST(month(ts) AS VARCHAR) AS run, event_type || '_' || CAST(user_id AS VARCHAR) AS object FROM events), n AS (SELECT count(DISTINCT run) AS n FROM p) SELECT object, count(*) AS present, any_value(n) - count(*) AS missing, count(*) / any_value(n) AS consistency, CAST(max(CAST(split_part(run, ':', 4) AS INTEGER)) AS INTEGER) AS last_iteration FROM p, n WHERE starts_with(object, 'click_') GROUP BY 1")
+def u11_details(t):
+    rows = t("events").select(F.concat(F.lit("s:m:r:"), F.month("ts").cast("string")).alias("run"), F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("object"))
+    d = consistency.details(rows, consistency.type_of(F.col("object")), "click")
+    return d.select("object", "present", "missing", "consistency", F.array_max(F.transform("present_runs", lambda r: r["iteration"])).alias("last_iteration"))
 
 
 @query(_SCORES + " SELECT CAST(sum(objects) AS BIGINT) AS objects, CAST(sum(deviations) AS BIGINT) AS deviations, (sum(objects) - sum(deviations)) / sum(objects) AS overall FROM f")
@@ -308,23 +398,34 @@ def u10_recommendations(t):
     return consistency.recommendations(consistency.scores(_runs(t), ["event_type"]), "event_type").select("event_type", "priority")
 
 
-@query("WITH p AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS run, CAST(user_id AS VARCHAR) AS object, event_type FROM events), a AS (SELECT object FROM p WHERE event_type = 'click' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run) FROM p WHERE event_type = 'click')), b AS (SELECT object FROM p WHERE event_type <> 'click' GROUP BY object HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM p WHERE event_type <> 'click')) SELECT object, 'newly stable' AS change FROM b WHERE object NOT IN (SELECT object FROM a) UNION ALL SELECT object, 'became unstable' FROM a WHERE object NOT IN (SELECT object FROM b)")
+@query("WITH p AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS run, CAST(user_id AS VARCHAR) AS object, event_type FROM events), a AS (SELECT object FROM p WHERE event_type = 'click' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run) FROM p WHERE event_type = 'click')), b AS (SELECT object FROM p WHERE event_type <> 'click' GROUP BY object HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM p WHERE event_type <> 'click')) SELECT object, 'newly stable' AS change FROM b WHERE object NOT IN (SELECT object FROM a) UNION ALL SELECT object, 'became unstable' FROM a WHERE object NOT IN (SELECT object FROM b)")
 def u13_stability_change(t):
-    e = t("events").select("event_type", F.to_date(F.date_trunc("month", "ts")).alias("run"), F.col("user_id").cast("string").alias("object"))
+    e = t("events").select("event_type", F.to_date(F.date_trunc("week", "ts")).alias("run"), F.col("user_id").cast("string").alias("object"))
     return consistency.stability_change(e.where("event_type = 'click'"), e.where("event_type <> 'click'"))
 
 
+@query("WITH a AS (SELECT lang, count(DISTINCT source) AS n FROM documents GROUP BY 1), p AS (SELECT DISTINCT date_trunc('month', ts) AS run, CAST(user_id AS VARCHAR) AS object, event_type FROM events), s AS (SELECT side, count(*) AS objects, sum(CASE WHEN k = runs THEN 1 ELSE 0 END) AS stable FROM (SELECT event_type = 'click' AS side, object, count(DISTINCT run) AS k FROM p GROUP BY ALL) JOIN (SELECT event_type = 'click' AS side, count(DISTINCT run) AS runs FROM p GROUP BY 1) USING (side) GROUP BY 1), v AS (SELECT max(CASE WHEN side THEN stable / objects END) AS before, max(CASE WHEN NOT side THEN stable / objects END) AS after FROM s) SELECT before, after, CASE WHEN after >= 0.8 THEN 'accepted' WHEN after > before THEN 'better' ELSE 'not better' END AS verdict FROM v")
+def u13_verdict(t):
+    e = t("events").select("event_type", F.date_trunc("month", "ts").alias("run"), F.col("user_id").cast("string").alias("object"))
+    return consistency.stability_verdict(e.where("event_type = 'click'"), e.where("event_type <> 'click'"))
+
+
 @query(f"WITH p AS ({_RUNS}), r AS (SELECT DISTINCT run FROM p), o AS (SELECT unnest(['1', '2', '3']) AS object) SELECT object, run, EXISTS (SELECT 1 FROM p WHERE p.run = r.run AND p.object = o.object) AS present FROM r, o")
 def u12_presence(t):
     return consistency.presence(_runs(t), ["1", "2", "3"])
 
 
 # ---------------------------------------------------------------- model
-_CURRENT = "SELECT identifier, arg_max(struct_pack(n := name, t := element_type, d := documentation, r := repository_name, e := enabled), struct_pack(a := loaded_at, b := enabled, c := name)) AS x FROM elements GROUP BY identifier"
-_ELEMENTS = f"SELECT identifier, x.n AS name, x.t AS element_type, x.d AS documentation, x.r AS repository_name, x.e AS enabled FROM ({_CURRENT})"
+_CURRENT = "SELECT identifier, arg_max(struct_pack(n := name, t := element_type, d := documentation, r := repository_name, e := enabled), struct_pack(a := loaded_at, b := enabled, c := name)) AS x, arg_max(properties, struct_pack(a := loaded_at, b := enabled, c := name)) AS pr FROM elements GROUP BY identifier"
+_ELEMENTS = f"SELECT identifier, x.n AS name, x.t AS element_type, x.d AS documentation, x.r AS repository_name, x.e AS enabled, pr AS properties FROM ({_CURRENT})"
 _TYPES = "(VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in model.ELEMENTS.items()) + ") AS ty(element_type, layer, aspect)"
 
 
+def _second_words(elements):
+    second = F.coalesce(F.get(F.split("name", " "), 1), F.lit(""))
+    return elements.withColumn("name", F.when(F.col("name").isNotNull(), second)).withColumn("repository_name", F.left("repository_name", F.lit(1)))
+
+
 def _model(t):
     return model.current(t("elements")), t("relationships")
 
@@ -356,38 +457,96 @@ def a13_redundant_relationships(t):
     return model.redundant_relationships(t("relationships"))
 
 
-@query(f"WITH e AS (SELECT * FROM ({_ELEMENTS}) WHERE enabled), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE name IS NOT NULL) SELECT identifier, kept_id FROM k WHERE identifier <> kept_id")
+@query(f"WITH e AS (SELECT * REPLACE (split_part(name, ' ', 2) AS name, left(repository_name, 1) AS repository_name) FROM ({_ELEMENTS}) WHERE enabled), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(TRY_CAST(properties['source_pagerank'] AS DOUBLE), 0) DESC, coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE name IS NOT NULL) SELECT identifier, kept_id FROM k WHERE identifier <> kept_id")
 def r1_equal_elements(t):
-    return model.equal_elements(_model(t)[0])
+    """Over the second words of the names and the first letters of repositories, so that some repeat."""
+    return model.equal_elements(_second_words(_model(t)[0]))
 
 
-@query(f"WITH e AS ({_ELEMENTS}), n AS (SELECT DISTINCT repository_name, element_type, lower(trim(name)) AS name FROM e WHERE enabled AND name <> ''), p AS (SELECT a.repository_name, a.element_type, a.name, b.name AS other FROM n a JOIN n b ON a.repository_name = b.repository_name AND a.element_type = b.element_type AND (length(a.name) < length(b.name) OR length(a.name) = length(b.name) AND a.name < b.name) WHERE length(a.name) >= 0.85 * length(b.name) - 1), s AS (SELECT *, 1 - levenshtein(name, other) / length(other) AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.85")
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _map(table: dict) -> str:
+    return "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in table.items()) + "}"
+
+
+def _normal_sql(x: str) -> str:
+    """SQL of text.normal_name without lemmas."""
+    y = f"regexp_replace(lower(coalesce({x}, '')), '^\\s+|\\s+$', '', 'g')"
+    for article in ("the", "a", "an"):
+        y = f"regexp_replace({y}, '^{article} ', '')"
+    y = f"trim(regexp_replace({y}, '[_\\-\\s]+', ' ', 'g'))"
+    return f"array_to_string(list_transform(string_split({y}, ' '), lambda w: coalesce({_map(SYNONYMS)}[w], w)), ' ')"
+
+
+@query(
+    f"WITH e AS ({_ELEMENTS}), r AS (SELECT DISTINCT element_type, {_normal_sql('name')} AS normal, name FROM e WHERE enabled AND name <> ''), n AS (SELECT element_type, normal AS name, count(*) AS spellings FROM r WHERE normal <> '' GROUP BY 1, 2), "
+    "p AS (SELECT a.element_type, a.name, b.name AS other FROM n a JOIN n b ON a.element_type = b.element_type AND (length(a.name) < length(b.name) OR length(a.name) = length(b.name) AND a.name < b.name) WHERE length(a.name) >= 0.75 * length(b.name) - 1), s AS (SELECT *, 1 - levenshtein(name, other) / length(other) AS similarity FROM p) "
+    "SELECT * FROM s WHERE similarity >= 0.75 UNION ALL SELECT element_type, name, name, 1.0 FROM n WHERE spellings > 1"
+)
 def r1_similar_elements(t):
-    return model.similar_elements(_model(t)[0])
+    return model.similar_elements(_model(t)[0], 0.75, by=("element_type",))
 
 
 @query(
-    f"WITH e AS ({_ELEMENTS}), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE enabled AND name IS NOT NULL) "
+    f"WITH e AS (SELECT * REPLACE (split_part(name, ' ', 2) AS name, left(repository_name, 1) AS repository_name) FROM ({_ELEMENTS})), k AS (SELECT identifier, first_value(identifier) OVER (PARTITION BY repository_name, element_type, name ORDER BY coalesce(TRY_CAST(properties['source_pagerank'] AS DOUBLE), 0) DESC, coalesce(length(documentation), 0) DESC, identifier) AS kept_id FROM e WHERE enabled AND name IS NOT NULL) "
     "SELECT e.identifier, e.enabled AND (k.kept_id IS NULL OR k.kept_id = e.identifier) AS enabled FROM e LEFT JOIN k USING (identifier)"
 )
 def r1b_disabled(t):
-    e = _model(t)[0]
+    e = _second_words(_model(t)[0])
     return model.disabled(e, model.equal_elements(e)).select("identifier", "enabled")
 
 
-def _triples() -> str:
-    return ", ".join(f"('{r}', '{a}', '{b}')" for r, (x, y) in model.RELATIONSHIPS.items() for a in x for b in y)
+_ALLOWED_ASPECTS = "(VALUES " + ", ".join(f"('{r}', {list(x)}, {list(y)})" for r, (x, y) in model.RELATIONSHIPS.items()) + ") AS m(relationship_type, a, b)"
 
 
 @query(
-    f"WITH e AS ({_ELEMENTS}), y AS (SELECT e.*, aspect FROM e LEFT JOIN {_TYPES} USING (element_type)) SELECT r.identifier, m.r IS NOT NULL AS valid, CASE WHEN r.relationship_type NOT IN ({', '.join(repr(x) for x in model.RELATIONSHIPS)}) THEN 'unknown type' WHEN m.r IS NULL THEN 'not allowed' END AS reason "
-    f"FROM relationships r JOIN y s ON s.identifier = r.source_id JOIN y t ON t.identifier = r.target_id LEFT JOIN (VALUES {_triples()}) AS m(r, a, b) ON m.r = r.relationship_type AND m.a = s.aspect AND m.b = t.aspect"
+    f"WITH e AS ({_ELEMENTS}), y AS (SELECT e.*, aspect FROM e LEFT JOIN {_TYPES} USING (element_type)), c AS (SELECT r.identifier, CASE WHEN s.aspect IS NULL THEN 'unknown source type' WHEN t.aspect IS NULL THEN 'unknown target type' WHEN m.a IS NULL THEN 'unknown relationship type' "
+    f"WHEN NOT list_contains(m.a, s.aspect) THEN 'source not allowed' WHEN NOT list_contains(m.b, t.aspect) THEN 'target not allowed' END AS reason FROM relationships r JOIN y s ON s.identifier = r.source_id JOIN y t ON t.identifier = r.target_id LEFT JOIN {_ALLOWED_ASPECTS} ON m.relationship_type = r.relationship_type) SELECT identifier, reason IS NULL AS valid, reason FROM c"
 )
 def j13_relationship_validity(t):
     e, r = _model(t)
     return model.relationship_validity(r, e)
 
 
+@query(f"WITH e AS (SELECT identifier FROM ({_ELEMENTS})) SELECT identifier, source_id, target_id FROM relationships WHERE source_id IN (SELECT identifier FROM e) AND target_id IN (SELECT identifier FROM e)")
+def s8_relationships(t):
+    e, r = _model(t)
+    return model.relationships_between(r, e).select("identifier", "source_id", "target_id")
+
+
+@query(f"WITH e AS (SELECT identifier FROM ({_ELEMENTS}) WHERE enabled) SELECT count(*) AS relationships FROM relationships WHERE relationship_type IN ('Flow', 'Serving') AND source_id IN (SELECT identifier FROM e) AND target_id IN (SELECT identifier FROM e)")
+def a14_flow_serving(t):
+    return model.flow_serving(*_model(t))
+
+
+_RULES = "(VALUES " + ", ".join(str(x) for x in responses.RULES) + ") AS ru(element_type, direction, other_type, relationship_type)"
+
+
+@query(f"WITH e AS ({_ELEMENTS}) SELECT element_type, direction, other_type, relationship_type FROM {_RULES} WHERE other_type IN (SELECT element_type FROM e WHERE enabled AND repository_name = 'atlas-platform')")
+def j15_applicable_rules(t):
+    e = _model(t)[0].where("enabled and repository_name = 'atlas-platform'")
+    return responses.applicable_rules(responses.relationship_rules(e.sparkSession), e).select("element_type", "direction", "other_type", "relationship_type")
+
+
+# nodes stand for the elements that came from them
+_PLACES = "(SELECT node_id FROM file_nodes UNION SELECT node_id FROM dependency_nodes UNION SELECT node_id FROM technology_nodes)"
+
+
+@query(f"WITH p AS {_PLACES}, o AS (SELECT DISTINCT node_id FROM file_nodes WHERE subtype = 'python'), c AS (SELECT DISTINCT source_id, target_id, relationship_type AS k FROM graph_edges WHERE source_id IN (SELECT node_id FROM o) AND target_id IN (SELECT node_id FROM p)), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY target_id, k) AS n FROM c) SELECT source_id, target_id, CASE k WHEN 'CONTAINS' THEN 'Composition' WHEN 'CALLS' THEN 'Flow' WHEN 'IMPORTS' THEN 'Serving' WHEN 'USES' THEN 'Access' ELSE 'Association' END AS relationship_type FROM r WHERE n <= 5")
+def j14_proposed(t):
+    places = _nodes(t).select("node_id", F.col("node_id").alias("identifier")).distinct()
+    orphans = t("file_nodes").where("subtype = 'python'").select(F.col("node_id").alias("identifier"))
+    return model.proposed_relationships(orphans, t("graph_edges"), places)
+
+
+@query(f"WITH e AS (SELECT DISTINCT node_id FROM ({_NODES}) WHERE active UNION SELECT node_id FROM repositories), j AS (SELECT DISTINCT source_id AS parent, target_id AS child FROM graph_edges WHERE relationship_type = 'CONTAINS' AND source_id IN (SELECT node_id FROM e) AND target_id IN (SELECT node_id FROM e)) SELECT parent, child FROM j WHERE NOT EXISTS (SELECT 1 FROM relationships r WHERE r.source_id = parent AND r.target_id = child) ORDER BY parent, child LIMIT 100")
+def j7_contained_pairs(t):
+    e = _nodes(t).where("active").select("node_id").unionByName(t("repositories").select("node_id")).distinct().select(F.col("node_id").alias("identifier"), F.lit(True).alias("enabled"))
+    return model.contained_pairs(e, t("graph_edges"), t("relationships"), F.col("identifier"))
+
+
 @query(
     f"WITH e AS (SELECT * FROM elements) SELECT identifier AS subject, 'repeated identifier' AS rule FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT identifier, 'source does not exist' FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.identifier = r.source_id) UNION ALL SELECT identifier, 'target does not exist' FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.identifier = r.target_id) "
     f"UNION ALL SELECT identifier, 'unknown element type' FROM e WHERE element_type NOT IN ({', '.join(repr(x) for x in model.ELEMENTS)}) UNION ALL SELECT identifier, 'unknown relationship type' FROM relationships WHERE relationship_type NOT IN ({', '.join(repr(x) for x in model.RELATIONSHIPS)}) "
@@ -429,9 +588,9 @@ def a18_classification_stats(t):
     return done.groupBy(F.coalesce("reason", F.lit("classified")).alias("status")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query(_FILE_SQL + " SELECT ext AS extension, count(*) AS files FROM c WHERE found_type IS NULL AND ext <> '' GROUP BY 1")
+@query(_FILE_SQL.replace("FROM file_type_registry WHERE", "FROM file_type_registry WHERE file_type <> 'docs' AND") + " SELECT ext AS extension, count(*) AS files FROM c WHERE found_type IS NULL AND ext <> '' GROUP BY 1")
 def e5_unknown_suffixes(t):
-    return classify.unknown_suffixes(classify.classified(t("file_nodes"), t("file_type_registry")))
+    return classify.unknown_suffixes(classify.classified(t("file_nodes"), t("file_type_registry").where("file_type <> 'docs'")))
 
 
 @query(
@@ -459,9 +618,27 @@ def e15_structure(t):
     return classify.structure(t("file_nodes"))[0].groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+# every Python file with a test beside it, made of its path
+_TESTED = r"""WITH f AS (SELECT repository_name, file_path, min(node_id) AS node_id FROM file_nodes WHERE file_path LIKE '%.py' GROUP BY 1, 2), g AS (SELECT repository_name, node_id, file_path, regexp_replace(file_path, '([^/]*)\.py$', 'test_\1.py') AS test FROM f WHERE NOT regexp_matches(file_path, '(^|/)test_[^/]*$|_test\.py$|\.(spec|test)')),
+a AS (SELECT repository_name, file_path, node_id FROM f UNION ALL SELECT repository_name, test, 'test of ' || node_id FROM g), t AS (SELECT repository_name, min(node_id) AS test_id, file_path AS test FROM a WHERE starts_with(node_id, 'test of ') GROUP BY 1, 3) SELECT t.test_id, s.node_id AS source_id FROM t JOIN (SELECT repository_name, file_path, min(node_id) AS node_id FROM a GROUP BY 1, 2) s ON s.repository_name = t.repository_name AND s.file_path = regexp_replace(t.test, '(^|/)test_([^/]*)$', '\1\2')"""
+
+
+@query(_TESTED)
 def j11_test_targets(t):
-    return classify.test_targets(t("file_nodes"))
+    files_ = t("file_nodes").where("file_path like '%.py'").select("repository_name", "file_path", "node_id")
+    plain = files_.where(~F.col("file_path").rlike(r"(^|/)test_[^/]*$|_test\.py$|\.(spec|test)"))
+    tests = plain.select("repository_name", F.regexp_replace("file_path", r"([^/]*)\.py$", "test_$1.py").alias("file_path"), F.concat(F.lit("test of "), "node_id").alias("node_id"))
+    return classify.test_targets(files_.unionByName(tests), tests).select("test_id", "source_id")
+
+
+@query("SELECT count(DISTINCT file_type) AS types, count(DISTINCT subtype) AS subtypes, count(*) AS total FROM file_type_registry")
+def a4_registry_facts(t):
+    return versioning.registry_facts(t("file_type_registry"))
+
+
+@query("SELECT node_id, CASE WHEN n = 'requirements.txt' OR n LIKE '%-requirements.txt' THEN 'requirements_txt' WHEN n = 'pyproject.toml' THEN 'pyproject_toml' WHEN n = 'package.json' THEN 'package_json' WHEN lower(subtype) = 'python' THEN 'python_ast' ELSE 'llm' END AS method FROM (SELECT *, regexp_extract(lower(file_path), '([^/]*)$', 1) AS n FROM file_nodes)")
+def e6_methods(t):
+    return t("file_nodes").select("node_id", extract.method_of(F.col("file_path"), F.col("subtype")).alias("method"))
 
 
 @query("SELECT repository_name, count(DISTINCT file_path) AS files, count(DISTINCT file_type) AS types, sum(size_bytes) / 1048576.0 AS mb FROM (SELECT DISTINCT repository_name, file_path, file_type, size_bytes FROM file_nodes) GROUP BY 1")
@@ -543,10 +720,66 @@ def f15_similarity(t):
     return p.select("p_partkey", F.levenshtein("p_name", "p_type").cast("bigint").alias("edits"), text.similarity(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
-@query()
-def f7_names(t):
-    e = t("elements").where("name is not null")
-    return e.select("identifier", text.concept_name(F.col("name")).alias("concept"), text.normal_name(F.col("name")).alias("plain"), text.normal_name(F.col("name"), lemmas=True).alias("lemmas"), text.package_name(F.col("name")).alias("package"))
+_NAMES = "SELECT identifier, name FROM elements WHERE name IS NOT NULL"
+
+
+def _word_sql(sql: str) -> str:
+    return f"WITH x AS (SELECT DISTINCT unnest(string_split(lower(name), ' ')) AS w FROM elements WHERE name IS NOT NULL UNION SELECT DISTINCT unnest(string_split(lower(text), ' ')) FROM documents WHERE text IS NOT NULL), y AS (SELECT w FROM x WHERE regexp_full_match(w, '[a-z]+')) SELECT w AS word, {sql} AS form FROM y"
+
+
+def _words(t):
+    """Different words of the names of elements and of documents."""
+    each = lambda name, c: t(name).where(F.col(c).isNotNull()).select(F.explode(F.split(F.lower(c), " ")).alias("word"))
+    return each("elements", "name").unionByName(each("documents", "text")).where(F.col("word").rlike(r"^[a-z]+\z")).distinct()
+
+
+_SINGULAR = (
+    f"CASE WHEN w IN ({', '.join(map(_text, UNCOUNTABLE))}) THEN w WHEN {_map(IRREGULAR)}[w] IS NOT NULL THEN {_map(IRREGULAR)}[w] WHEN regexp_matches(w, '[^aeiou]ies$') THEN left(w, -3) || 'y' "
+    "WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, -2) WHEN regexp_matches(w, '[^s]s$') AND length(w) > 2 THEN left(w, -1) ELSE w END"
+)
+_LEMMA = "CASE WHEN length(w) <= 3 THEN w " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) > {len(e) + 2} THEN left(w, -{len(e)}) || '{n}'" for e, n in (*VERB_ENDINGS, *NOUN_ENDINGS)) + " ELSE w END"
+
+
+@query(_word_sql(_SINGULAR))
+def f7_singular(t):
+    return _words(t).select("word", text.singular(F.col("word")).alias("form"))
+
+
+@query(_word_sql(_LEMMA))
+def f13_lemma(t):
+    return _words(t).select("word", text.lemma(F.col("word")).alias("form"))
+
+
+def _package_sql(x: str) -> str:
+    base = "CASE " + " ".join(f"WHEN ends_with(lower({x}), {_text(e)}) THEN left({x}, length({x}) - {len(e)})" for e in PACKAGE_ENDINGS) + f" ELSE {x} END"
+    return f"coalesce({_map(PACKAGES)}[lower({base})], {base})"
+
+
+@query(f"SELECT node_id, {_package_sql('dependency_name')} AS package FROM dependency_nodes UNION ALL SELECT node_id, {_package_sql('tech_name')} FROM technology_nodes")
+def f8_packages(t):
+    one = lambda name, c: t(name).select("node_id", text.package_name(F.col(c)).alias("package"))
+    return one("dependency_nodes", "dependency_name").unionByName(one("technology_nodes", "tech_name"))
+
+
+@query(f"WITH x AS (SELECT identifier, list_filter(regexp_split_to_array(name, '[_\\s]+'), lambda v: v <> '') AS p FROM elements WHERE name IS NOT NULL), y AS (SELECT identifier, p, p[-1] AS v, lower(p[-1]) AS w FROM x), z AS (SELECT identifier, p, v, {_SINGULAR} AS s FROM y) SELECT identifier, array_to_string(list_transform(list_append(p[:-2], s), lambda v: upper(v[1]) || lower(v[2:])), '') AS concept FROM z")
+def f9_concepts(t):
+    return t("elements").where("name is not null").select("identifier", text.concept_name(F.col("name")).alias("concept"))
+
+
+@query(f"SELECT record_id, 'extdep_' || repository_name || '_' || translate(lower(n), '- /', '___') AS node_id, n AS dependency_name FROM (SELECT record_id, repository_name, {_package_sql('dependency_name')} AS n FROM dependency_nodes)")
+def f10_normalised_nodes(t):
+    return responses.normalised_nodes(t("dependency_nodes"), "ExternalDependency", "dependency_name").select("record_id", "node_id", "dependency_name")
+
+
+@query(f"SELECT identifier, {_normal_sql('name')} AS plain FROM elements")
+def f14_normal_names(t):
+    return t("elements").select("identifier", text.normal_name(F.col("name")).alias("plain"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END || 'Z' AS iso, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000) AS BIGINT) AS ms FROM events")
+def f21_times(t):
+    begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return t("events").select("event_id", text.iso_time(F.col("ts").cast("timestamp")).alias("iso"), text.duration_ms(begin, F.col("ts").cast("timestamp")).alias("ms"))
 
 
 @query("SELECT CAST(props->>'k' AS INTEGER) AS k, count(*) AS events FROM events GROUP BY 1")
@@ -583,6 +816,41 @@ def pred_events_of_object(t):
     return eventlog.with_object(_log(t), "User", "7").where("startswith(activity, 'c')").select("event_id")
 
 
+@query("SELECT DISTINCT unnest(['value', 'kind']) AS name FROM events")
+def a7_attribute_names(t):
+    log = _log(t).withColumn("attributes", F.map_concat("attributes", F.create_map(F.lit("kind"), F.col("activity"))))
+    return eventlog.attribute_names(log)
+
+
+_MADE = "SELECT repository_name, min(created_at) AS at, list(DISTINCT node_id ORDER BY node_id) AS objects FROM technology_nodes GROUP BY 1"
+
+
+@query(f"WITH m AS ({_MADE}) SELECT 'ExtractConfig' AS activity, repository_name AS repository, CAST(len(objects) AS BIGINT) AS objects, CAST(len(objects) AS VARCHAR) AS said FROM m")
+def m11_config_events(t):
+    made = t("technology_nodes").groupBy("repository_name").agg(F.min("created_at").cast("timestamp").alias("at"), F.collect_set("node_id").alias("objects"))
+    none = F.lit(None).cast("array<string>")
+    rows = made.select(F.lit("s").alias("session"), F.lit("r").alias("run"), F.col("repository_name").alias("repository"), F.lit("m").alias("model"), F.lit("Technology").alias("config"), "at", "objects", none.alias("edges"), none.alias("relationships"))
+    e = eventlog.config_events(rows, True)
+    return e.select("activity", F.col("objects")["Repository"][0].alias("repository"), F.size(F.col("objects")["GraphNode"]).cast("bigint").alias("objects"), F.col("attributes")["objects_created"].alias("said"))
+
+
+@query("SELECT event_type AS model, CAST(event_id AS VARCHAR) AS event_id, CAST(props->>'k' AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS edges FROM events")
+def a19_run_totals(t):
+    stats = F.concat(F.lit('{"extraction": {"nodes_created": '), F.get_json_object("props", "$.k"), F.lit("}}"))
+    runs = t("events").select(F.col("event_id").cast("string").alias("event_id"), F.lit("CompleteRun").alias("activity"), F.create_map(F.lit("Model"), F.array("event_type")).alias("objects"), F.create_map(F.lit("stats"), stats).alias("attributes"))
+    return eventlog.run_totals(runs)
+
+
+@query("SELECT node_type AS name, sequence, enabled, coalesce(instruction, '') <> '' AS has_instruction FROM extraction_config WHERE is_active")
+def m6_steps(t):
+    return versioning.steps(t("extraction_config"), "node_type")
+
+
+@query("SELECT id, enabled AND NOT (node_type = 'File' AND is_active) AS enabled FROM extraction_config")
+def m6_disabled_step(t):
+    return versioning.with_step(t("extraction_config"), "node_type", "File", False).select("id", "enabled")
+
+
 @query("SELECT node_type, extraction_method, max(version) AS version FROM extraction_config WHERE is_active GROUP BY 1, 2")
 def w7_active_versions(t):
     c = t("extraction_config").withColumn("key", F.concat_ws("|", "node_type", "extraction_method"))
@@ -594,10 +862,18 @@ def m5_new_version(t):
     return versioning.new_version(t("extraction_config"), "node_type", {"node_type": "Test", "instruction": "List tests."}).select("id", "node_type", "version", "is_active", "instruction")
 
 
-@query("WITH l AS (SELECT edge_id, arg_max(relationship_type, loaded_at) AS k, max(loaded_at) AS m FROM graph_edges GROUP BY 1) SELECT edge_id, k AS relationship_type, m AS loaded_at FROM l")
+@query("WITH o AS (SELECT edge_id, max({'m': loaded_at, 'k': relationship_type}) AS r FROM graph_edges WHERE loaded_at < TIMESTAMP '2025-04-01' GROUP BY 1), n AS (SELECT edge_id, max({'m': loaded_at, 'k': relationship_type}) AS r FROM graph_edges WHERE loaded_at >= TIMESTAMP '2025-04-01' GROUP BY 1) SELECT coalesce(n.edge_id, o.edge_id) AS edge_id, coalesce(n.r.k, o.r.k) AS relationship_type, coalesce(n.r.m, o.r.m) AS loaded_at FROM o FULL JOIN n ON n.edge_id = o.edge_id")
 def m1_upserted_edges(t):
     e = t("graph_edges").select("edge_id", "loaded_at", "relationship_type")
-    return versioning.upserted(e.where("false"), e, ["edge_id"]).select("edge_id", "relationship_type", "loaded_at")
+    early = F.col("loaded_at") < F.lit("2025-04-01").cast("timestamp_ntz")
+    base = versioning.upserted(e.where("false"), e.where(early), ["edge_id"])
+    return versioning.upserted(base, e.where(~early), ["edge_id"]).select("edge_id", "relationship_type", "loaded_at")
+
+
+@query("WITH x AS (SELECT identifier FROM elements WHERE enabled GROUP BY 1 HAVING count(*) > 1) SELECT identifier, loaded_at, enabled AND identifier NOT IN (SELECT identifier FROM x) AS enabled, CASE WHEN identifier IN (SELECT identifier FROM x) THEN 'twice' ELSE disabled_reason END AS disabled_reason FROM elements")
+def m4_soft_disabled(t):
+    twice = t("elements").where("enabled").groupBy("identifier").count().where("count > 1").select("identifier")
+    return versioning.soft_disabled(t("elements"), twice, "twice").select("identifier", "loaded_at", "enabled", "disabled_reason")
 
 
 @query("WITH g AS (SELECT DISTINCT node_id FROM file_nodes WHERE deleted_at IS NOT NULL) SELECT edge_id, loaded_at FROM graph_edges WHERE NOT EXISTS (SELECT 1 FROM g WHERE node_id = source_id) AND NOT EXISTS (SELECT 1 FROM g WHERE node_id = target_id)")
@@ -616,6 +892,37 @@ def k4_latest(t):
     return consistency.latest(t("repositories"), "cloned_at", 10, "name").select("name", "loaded_at")
 
 
+_CATEGORY = "CASE WHEN lower(trim({0})) IN ({1}) THEN lower(trim({0})) ELSE '{2}' END"
+
+
+def _category(field: str, x: str) -> str:
+    allowed, default = ALLOWED[field]
+    return _CATEGORY.format(x, ", ".join(map(_text, allowed)), default)
+
+
+@query(f"WITH d AS (SELECT *, row_number() OVER (PARTITION BY repository_name, translate(lower(dependency_name), '- /', '___') ORDER BY node_id, dependency_name) AS k FROM dependency_nodes WHERE trim(dependency_name) <> '' AND dependency_category <> '') SELECT 'extdep_' || repository_name || '_' || translate(lower(dependency_name), '- /', '___') AS node_id, node_id AS file_path, {_category('dependencyCategory', 'dependency_category')} AS category FROM d WHERE k = 1")
+def e16_dependency_nodes(t):
+    d = t("dependency_nodes").where("trim(dependency_name) <> '' and dependency_category <> ''")
+    item = F.struct(F.col("dependency_name").alias("dependencyName"), F.col("dependency_category").alias("dependencyCategory"))
+    keys = F.array(*map(F.lit, ("dependencies", *DEPENDENCY_KEYS)))
+    key = F.get(keys, (F.col("record_id") % F.size(keys)).cast("int"))
+    stub = d.select("repository_name", F.col("node_id").alias("file_path"), F.to_json(F.create_map(key, F.array(item))).alias("content"))
+    return responses.extracted_nodes(stub, "dependencies")[0].select("node_id", "file_path", F.col("dependencyCategory").alias("category"))
+
+
+@query("SELECT node_id, coalesce(tech_name, '') AS name, coalesce(tech_category, 'service') AS category FROM technology_nodes")
+def e18_nodes(t):
+    camel = F.to_json(F.struct(F.col("tech_name").alias("techName"), F.col("tech_category").alias("techCategory")))
+    plain = F.to_json(F.struct(F.col("tech_name").alias("name"), F.col("tech_category").alias("category")))
+    n = t("technology_nodes").select("node_id", responses.node_of("Technology", F.when(F.col("record_id") % 2 == 0, camel).otherwise(plain)).alias("n"))
+    return n.select("node_id", "n.name", "n.category")
+
+
+@query("SELECT count(text) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(sum(strlen(text)) / 1048576.0, 2) AS mb FROM documents WHERE text IS NOT NULL")
+def a23_stored_facts(t):
+    return catalogue.stored_facts(t("documents").where("text is not null"), "text")
+
+
 @query("SELECT identifier, name, confidence FROM relationships WHERE name IS NOT NULL AND name <> '' AND source_id IS NOT NULL AND identifier <> ''")
 def l5_parsed_responses(t):
     item = F.struct("identifier", "name", F.col("source_id").alias("source"), "confidence")
