@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..plans.lineage import cut
 
 #: Documents of a source that one window orders.
 SHARD_ROWS = 20_000
+#: Shards, or groups of shards, among which one task apportions blocks.
+FAN = 1_000
 #: Blocks that the whole mix consists of, about.
 BLOCKS = 20_000
 
@@ -46,6 +49,34 @@ def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
     return got
 
 
+def _apportioned(size: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(map(int, group["child"]), map(int, group["tokens"])))
+        most = {k: n * int(group["most"].iloc[0]) // size + 1 for k, n in own.items()}
+        got = sainte_lague(own, int(group["seats"].iloc[0]), most)
+        return pd.DataFrame({"source": group["source"].iloc[0], "child": list(got), "seats": list(got.values())})
+
+    return run
+
+
+def shard_seats(held: DataFrame, facts: DataFrame, size: int, shards: int, fan: int = FAN) -> DataFrame:
+    """source, shard, tokens, seats: the seats of each source apportioned to its shards by
+    the tokens they hold.  With more than ``fan`` shards, seats go to groups of shards
+    first, then within each group, so that no task sees more than ``fan`` of them and
+    none of them is sent to the driver."""
+    held = cut(held)
+    levels = 1
+    while fan**levels < shards:
+        levels += 1
+    seats = facts.select("source", F.lit(0).cast("bigint").alias("parent"), "seats")
+    for level in range(levels - 1, -1, -1):
+        child = F.floor(F.col("shard") / fan**level).cast("bigint")
+        groups = held.groupBy("source", child.alias("child")).agg(F.sum("tokens").alias("tokens")).withColumn("parent", F.floor(F.col("child") / fan).cast("bigint"))
+        asked = groups.join(seats, ["source", "parent"]).join(facts.select("source", "most"), "source")
+        seats = asked.groupBy("source", "parent").applyInPandas(_apportioned(size), "source string, child bigint, seats bigint").withColumnRenamed("child", "parent")
+    return held.join(seats.withColumnRenamed("parent", "shard"), ["source", "shard"])
+
+
 def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, copies) and its report (source, target_share,
     max_repeats, available_tokens, chosen_tokens, reached_share, documents).
@@ -62,8 +93,8 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     Targets without documents reach 0 and leave their share to the others in
     proportion; documents whose source has no target, or of no tokens, are not chosen.
     Targets of null source or share count as none; a null or negative max_repeats is 0;
-    of several targets for a source the largest counts.  Everything that is sent to the
-    driver is one row per source or shard of a source.
+    of several targets for a source the largest counts.  All that is sent to the driver
+    is one row per source with a target.
     """
     goal = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max(F.struct("target_share", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))).alias("g"))
     goal = goal.select("source", "g.target_share", "g.max_repeats")
@@ -77,23 +108,17 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     size = max(1, total // blocks)
     quota = sainte_lague(present, round(total / size) if total else 0, {s: room[s] // size for s in present})
 
-    shards = {s: max(1, -(-have[s]["n"] // SHARD_ROWS)) for s in present}
     spark = sizes.sparkSession
-    facts = spark.createDataFrame([(s, n) for s, n in shards.items()], "source string, shards int")
+    facts = spark.createDataFrame([(s, max(1, -(-have[s]["n"] // SHARD_ROWS)), wanted[s][1], quota[s]) for s in present], "source string, shards bigint, most bigint, seats bigint")
     order = F.xxhash64(F.lit(seed), "doc_id")
-    placed = rows.join(facts, "source").withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")).cast("int")).drop("shards")
-    held = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()
-    plan = []
-    for s in sorted(present):
-        own = {r["shard"]: r["tokens"] for r in held if r["source"] == s}
-        most = wanted[s][1]
-        for shard, q in sainte_lague(own, quota[s], {k: n * most // size + 1 for k, n in own.items()}).items():
-            # q blocks of size tokens, out of own[shard] tokens: whole rounds, then the first of the seeded order
-            rounds, rest = divmod(q * size, own[shard])
-            if rounds >= most:
-                rounds, rest = most, 0
-            plan.append((s, shard, int(rounds), int(rest)))
-    quotas = spark.createDataFrame(plan, "source string, shard int, rounds int, rest bigint")
+    placed = rows.join(facts.select("source", "shards"), "source").withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards"))).drop("shards")
+    seats = shard_seats(placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")), facts, size, max((-(-have[s]["n"] // SHARD_ROWS) for s in present), default=1))
+    # q blocks of size tokens, out of the shard's tokens: whole rounds, then the first of the seeded order
+    whole = F.floor(F.col("seats") * size / F.col("tokens"))
+    full = whole >= F.col("most")
+    quotas = seats.join(facts.select("source", "most"), "source").select(
+        "source", "shard", F.when(full, F.col("most")).otherwise(whole).cast("int").alias("rounds"), F.when(full, 0).otherwise(F.col("seats") * size - whole * F.col("tokens")).alias("rest")
+    )
     before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     ordered = placed.withColumn("before", F.coalesce(before, F.lit(0))).join(quotas, ["source", "shard"])
     # a document belongs to the block in which its middle lies

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +13,8 @@ from ..plans.lineage import cut
 
 #: Items that one task packs.  A larger group packs tighter, a smaller one sooner.
 SHARD_ITEMS = 40_000
-#: Partly filled containers that one task packs in the second round.
-OPEN_ITEMS = 200_000
+#: Partly filled containers whose items one task packs in the second round.
+OPEN_CONTAINERS = 20_000
 
 
 class SumOfSquares:
@@ -73,10 +75,37 @@ def _first_round(shard: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> list[int]:
+    """Container of each item: in the order given, where the least room is left over."""
+    rooms: list[int] = []  # different amounts of room, in order
+    boxes: dict[int, list[int]] = {}
+    out, made = [], 0
+    for s in map(int, sizes):
+        k = bisect_left(rooms, s)
+        if k < len(rooms):
+            room = rooms[k]
+            box = boxes[room].pop()
+            if not boxes[room]:
+                del boxes[room], rooms[k]
+        else:
+            room, box, made = capacity, made, made + 1
+        if room > s:
+            if room - s not in boxes:
+                insort(rooms, room - s)
+                boxes[room - s] = []
+            boxes[room - s].append(box)
+        out.append(box)
+    return out
+
+
 def _second_round(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["fill", "shard", "box"], ascending=[False, True, True])
-    boxes, _ = _pack(group["fill"].to_numpy(), int(group["capacity"].iloc[0]))
-    return pd.DataFrame({"container_kind": group["container_kind"], "shard": group["shard"], "box": group["box"], "to_part": group["part"], "to_box": boxes})
+    group = group.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True])
+    before = group.drop_duplicates(["shard", "box"])
+    boxes = best_fit(group["size"].to_numpy(), int(group["capacity"].iloc[0]))
+    if len(group) and max(boxes) + 1 > len(before):  # no better: as they were
+        number = {k: n for n, k in enumerate(zip(before["shard"], before["box"]))}
+        boxes = [number[k] for k in zip(group["shard"], group["box"])]
+    return pd.DataFrame({"container_kind": group["container_kind"], "doc_id": group["doc_id"], "piece": group["piece"], "tokens": group["size"], "to_part": group["part"], "to_box": boxes})
 
 
 def packed(sizes: DataFrame, capacities: DataFrame, seed: int = 7) -> DataFrame:
@@ -86,9 +115,11 @@ def packed(sizes: DataFrame, capacities: DataFrame, seed: int = 7) -> DataFrame:
     A longer document is divided into full pieces and a rest; full pieces and items as
     large as the capacity have a container for themselves.  The others are packed
     online by sum of squares, in shards drawn by a hash of the document, so that any
-    number of documents is packed by tasks of like size.  A shard leaves at most one
-    partly filled container or a few per fill level; these are packed again, whole,
-    in the same way, so that nothing is lost at the borders of shards.
+    number of documents is packed by tasks of like size.  What a shard leaves are the
+    partly filled containers, as many as its level array holds at its end, however many
+    documents there are; their items are packed again, the largest first, each where the
+    least room is left over, so that little is lost at the borders of shards and none of
+    a small table.
 
     Documents of no tokens are in no container, kinds without a positive capacity give
     no rows; of equal kinds the least capacity counts.  The same input and seed give
@@ -116,15 +147,16 @@ def packed(sizes: DataFrame, capacities: DataFrame, seed: int = 7) -> DataFrame:
             _first_round, "container_kind string, capacity bigint, shard bigint, doc_id bigint, piece bigint, size bigint, box bigint, fill bigint"
         )
     )
-    left = first.where("fill < capacity").select("container_kind", "capacity", "shard", "box", "fill").distinct()
-    parts = max(1, -(-left.count() // OPEN_ITEMS))
+    left = first.where("fill < capacity")
+    parts = max(1, -(-left.select("container_kind", "shard", "box").distinct().count() // OPEN_CONTAINERS))
     again = left.withColumn("part", F.pmod(F.xxhash64("shard", "box"), F.lit(parts))).groupBy("container_kind", "part").applyInPandas(
-        _second_round, "container_kind string, shard bigint, box bigint, to_part bigint, to_box bigint"
+        _second_round, "container_kind string, doc_id bigint, piece bigint, tokens bigint, to_part bigint, to_box bigint"
     )
-    moved = first.join(again, ["container_kind", "shard", "box"], "left")
-    name = F.when(F.col("to_box").isNotNull(), F.concat_ws("-", F.lit("m"), "to_part", "to_box")).otherwise(F.concat_ws("-", F.lit("s"), "shard", "box"))
-    return moved.select("container_kind", "doc_id", "piece", F.col("size").alias("tokens"), name.alias("container_id")).unionByName(
-        full.select("container_kind", "doc_id", "piece", "tokens", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container_id"))
+    out = lambda df, tokens, *name: df.select("container_kind", "doc_id", "piece", F.col(tokens).alias("tokens"), F.concat_ws("-", *name).alias("container_id"))
+    return (
+        out(first.where("fill = capacity"), "size", F.lit("s"), "shard", "box")
+        .unionByName(out(again, "tokens", F.lit("m"), "to_part", "to_box"))
+        .unionByName(out(full, "tokens", F.lit("f"), "doc_id", "piece"))
     )
 
 

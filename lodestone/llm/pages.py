@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import for_every_core
+from ..plans.lineage import cut, for_every_core
 
 STATES = ("prose", "link list", "tag list", "menu")
 #: Longest unit in words; longer lines are cut at sentence ends, else at this length.
@@ -36,15 +36,34 @@ _HEADING = re.compile(r"#{1,6}\s")
 _LEAD = re.compile(r"^(?:[-*+•>]+|\d+[.)]|\[[\d: ]+\]|\|)\s+")
 
 
+_LINES = re.compile(r"\r\n|\n|\r|\u2028|\u2029|<br\s*/?>")
+
+
+def _without_code(lines: list[str]) -> list[str]:
+    """Lines less those in code fences.  A fence ends at a line of its own mark and nothing
+    else; one that ends on its own line, or never, is text."""
+    ends: list[dict[str, int]] = [{}] * len(lines)  # per line: the next end of each mark
+    near: dict[str, int] = {}
+    for i in range(len(lines) - 1, -1, -1):
+        ends[i] = near
+        if lines[i][:3] in ("```", "~~~") and not lines[i].strip(lines[i][0]):
+            near = {**near, lines[i][0]: i}
+    out, i = [], 0
+    while i < len(lines):
+        line = lines[i]
+        if line[:3] in ("```", "~~~") and line[:3] not in line.lstrip(line[0]) and line[0] in ends[i]:
+            i = ends[i][line[0]] + 1
+            continue
+        out.append(line)
+        i += 1
+    return out
+
+
 def units(text: str) -> list[str]:
     """Lines without those in code fences; long lines in stretches of sentences."""
-    out, code = [], False
-    for line in re.split(r"\r\n|\n|\r| | |<br\s*/?>", text):
-        line = " ".join(line.split())
-        if line.startswith(("```", "~~~")):
-            code = not code
-            continue
-        if code or not line:
+    out = []
+    for line in _without_code([" ".join(x.split()) for x in _LINES.split(text)]):
+        if not line:
             continue
         if line.count(" ") < UNIT_WORDS:
             out.append(line)
@@ -135,33 +154,99 @@ def seed(x: tuple[int, ...]) -> int | None:
 
 #: Number of values of each feature.
 VALUES = (3, 6, 5, 2, 4, 4, 2, 2)
+#: Rounds of expectation and maximisation.
+ROUNDS = 4
 _COUNTS = "kind string, a int, b int, c int, n double"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The observations of each document, one number per unit."""
     for b in batches:
-        seen: Counter = Counter()
+        codes = []
         for text in b["text"]:
-            previous = None
-            for n, x in features(units(text)):
-                s = seed(x)
-                if s is not None:
-                    for f, v in enumerate(x):
-                        seen["emit", s, f, v] += 1
-                    if previous is not None:
-                        seen["step", previous, s, 0] += 1
-                previous = s
-        yield pd.DataFrame([(*k, float(n)) for k, n in seen.items()], columns=["kind", "a", "b", "c", "n"])
-
-
-def fit(documents: DataFrame, sample: int = FIT_DOCUMENTS) -> dict:
-    """Log-probabilities of the hidden Markov model, estimated from the units of at most
-    ``sample`` documents (those with the least hash of their id) whose state leaves no
-    doubt.  Only the counts per state and value reach the driver.  One count is added
-    to each, two tenths of all steps stay in the state, so that states seen nowhere in
-    the sample keep a chance."""
-    some = documents.where("text is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = some.select("text").mapInPandas(_count, _COUNTS).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+            row = []
+            for _, x in features(units(text)):
+                code = 0
+                for n, v in zip(VALUES, x):
+                    code = code * n + v
+                row.append(code)
+            codes.append(row)
+        yield pd.DataFrame({"codes": codes})
+
+
+def _values(code: int) -> tuple[int, ...]:
+    out = []
+    for n in reversed(VALUES):
+        code, v = divmod(code, n)
+        out.append(v)
+    return tuple(reversed(out))
+
+
+def _expected(model: dict | None):
+    """Expected counts of values per state and of steps under the model, forward and
+    backward over each document.  A unit that leaves no doubt is in its state; without
+    a model, only such units count."""
+    k = len(STATES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        moves = np.exp(np.array(model["step"])) if model else np.full((k, k), 1 / k)
+        moves /= moves.sum(axis=1, keepdims=True)
+        steps = np.zeros((k, k))
+        held: dict[int, np.ndarray] = {}  # per observation: likelihood of each state
+        seen: dict[int, np.ndarray] = {}  # and how often it was in each
+        for b in batches:
+            for codes in b["codes"]:
+                at = []
+                for code in codes:
+                    if code not in held:
+                        x = _values(code)
+                        s = seed(x)
+                        if model is None:
+                            row = np.zeros(k)
+                            row[s if s is not None else slice(0)] = 1.0
+                        else:
+                            logs = np.array([sum(model["emit"][j][f][v] for f, v in enumerate(x)) for j in range(k)])
+                            row = np.exp(logs - logs.max()) if s is None else np.eye(k)[s]
+                        held[code], seen[code] = row, np.zeros(k)
+                    at.append(held[code])
+                if not at:
+                    continue
+                if model is None:
+                    for code, row in zip(codes, at):
+                        seen[code] += row
+                    for before, after in zip(at, at[1:]):
+                        steps += np.outer(before, after)
+                    continue
+                forward = [at[0] / at[0].sum()]
+                for row in at[1:]:
+                    v = forward[-1] @ moves * row
+                    forward.append(v / v.sum())
+                back = np.ones(k)
+                for i in range(len(at) - 1, -1, -1):
+                    both = forward[i] * back
+                    seen[codes[i]] += both / both.sum()
+                    if i:
+                        ahead = at[i] * back
+                        pairs = forward[i - 1][:, None] * moves * ahead[None, :]
+                        steps += pairs / pairs.sum()
+                        back = moves @ ahead
+                        back /= back.sum()
+        counts: Counter = Counter()
+        for code, row in seen.items():
+            for f, v in enumerate(_values(code)):
+                for s in range(k):
+                    counts["emit", s, f, v] += float(row[s])
+        rows = [(*key, n) for key, n in counts.items()] + [("step", a, b, 0, float(steps[a, b])) for a in range(k) for b in range(k)]
+        yield pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n"])
+
+    return run
+
+
+def _model_of(rows: list) -> dict:
+    """Log-probabilities from counts.  One count is added to each, two tenths of all steps
+    stay in the state, so that states seen nowhere in the sample keep a chance."""
     emit = {(r["a"], r["b"], r["c"]): r["n"] for r in rows if r["kind"] == "emit"}
     step = {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == "step"}
     k = range(len(STATES))
@@ -180,6 +265,20 @@ def fit(documents: DataFrame, sample: int = FIT_DOCUMENTS) -> dict:
     return {"emit": log_emit, "step": log_step}
 
 
+def fit(documents: DataFrame, sample: int = FIT_DOCUMENTS, rounds: int = ROUNDS) -> dict:
+    """The hidden Markov model, estimated by expectation and maximisation on the units of
+    at most ``sample`` documents (those with the least hash of their id).  The units that
+    leave no doubt give the first estimate; then, each round, every unit counts for each
+    state as much as it is expected to be in it, given the whole document.  Only the
+    counts per state and value reach the driver."""
+    some = documents.where("text is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    seen = cut(some.select("text").mapInPandas(_observed, "codes array<int>"))
+    model = None
+    for _ in range(rounds + 1):
+        model = _model_of(seen.mapInPandas(_expected(model), _COUNTS).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect())
+    return model
+
+
 def viterbi(observed: list[tuple[int, ...]], model: dict) -> list[int]:
     """The likeliest states; of equal ones the first."""
     if not observed:

@@ -16,9 +16,12 @@ from ..plans.lineage import for_every_core
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the tokenizer splits text before its merges.  A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest stretch that one call encodes; the next begins at a line end or blank, so
-#: that a very long text costs time in proportion to its length.
+#: Characters after which a call's stretch ends at the next place where no token can reach
+#: across, so that a very long text costs time in proportion to its length and its tokens
+#: are those of the whole: before a blank that follows something, and behind a run of
+#: letters or of digits.
 STRETCH = 200_000
+_BETWEEN = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
 
 
 @lru_cache(maxsize=2)
@@ -36,15 +39,20 @@ def count_tokens(text: str, path: str = VOCABULARY) -> int:
     """Tokens of the whole text; 0 for an empty one."""
     enc, n, at = encoding(path), 0, 0
     while at < len(text):
-        end = at + STRETCH
-        if end < len(text):
-            cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
-            end = cut if cut > at else end
+        m = _between().search(text, at + STRETCH) if len(text) - at > STRETCH else None
+        end = m.start() if m else len(text)
         n += len(enc.encode_ordinary(text[at:end]))
         at = end
     return n
 
 
+@lru_cache(maxsize=1)
+def _between():
+    import regex
+
+    return regex.compile(_BETWEEN)
+
+
 def document_sizes(documents: DataFrame, *columns: str, path: str = VOCABULARY) -> DataFrame:
     """doc_id, the named columns, tokens.  A null text has 0 tokens.  A row without
     doc_id is no document; a document that is there twice (same id) counts once, with

@@ -165,10 +165,41 @@ def test_mix_meets_shares_and_limits(spark):
     assert none.collect() == [] and {r.chosen_tokens for r in rep.collect()} == {0}
 
 
-def test_token_counts_of_long_texts_are_those_of_the_whole():
-    enc = tokens.encoding(tokens.VOCABULARY)
-    t = "some words, here\nand there. " * 30_000
-    assert abs(tokens.count_tokens(t) - len(enc.encode_ordinary(t))) <= len(t) // tokens.STRETCH + 1 and tokens.count_tokens("") == 0
+def test_token_counts_of_long_texts_are_those_of_the_whole(monkeypatch):
+    enc, r = tokens.encoding(tokens.VOCABULARY), random.Random(5)
+    texts = ["some words, here\nand there. " * 3000, "\n" * 5000, " \n\t" * 900 + "x", "a1b2" * 700, "don't we'll 12.5 \u00e9t\u00e9 \u3000\u4e2d\u6587 " * 300]
+    texts += ["".join(r.choice(["a", "Z", "7", " ", "  ", "\n", "'s", "'", ".", "\u00e9", "\u0301", "\u00bd", "\u4e2d", "_", "\x1c", "\u00a0"]) for _ in range(600)) for _ in range(200)]
+    for stretch in (1, 7, 50, 200_000):
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        assert all(tokens.count_tokens(t) == len(enc.encode_ordinary(t)) for t in texts)
+    assert tokens.count_tokens("") == 0
+
+
+def test_best_fit_leaves_the_least_room():
+    r = random.Random(4)
+    for _ in range(50):
+        sizes = [r.randint(1, 20) for _ in range(60)]
+        room: list[int] = []
+        for s, box in zip(sizes, packing.best_fit(sizes, 20)):
+            fits = [x for x in room if x >= s]
+            if box == len(room):
+                assert not fits
+                room.append(20)
+            else:
+                assert room[box] == min(fits)
+            room[box] -= s
+
+
+def test_seats_go_down_a_tree_of_shards(spark):
+    r = random.Random(9)
+    held = spark.createDataFrame([("s", i, r.randint(1, 500)) for i in range(100)] + [("t", 0, 10)], "source string, shard bigint, tokens bigint")
+    facts = spark.createDataFrame([("s", 100, 2, 700), ("t", 1, 3, 5)], "source string, shards bigint, most bigint, seats bigint")
+    total = sum(x.tokens for x in held.where("source = 's'").collect())
+    for fan in (1000, 5):
+        got = mixing.shard_seats(held, facts, 10, 100, fan).collect()
+        assert len(got) == 101 and sum(x.seats for x in got if x.source == "s") == 700 and [x.seats for x in got if x.source == "t"] == [4]
+        # shares by tokens, give or take a seat per level of the tree
+        assert all(abs(x.seats - 700 * x.tokens / total) <= (1.01 if fan == 1000 else 3) for x in got if x.source == "s")
 
 
 def test_document_sizes_with_nulls_and_repeats(spark):
@@ -197,6 +228,42 @@ def test_pairs_among_fresh_words_count():
     assert {x[2] for _, x in pages.features(pages.units(listed))} == {4} and pages.seed(pages.features([listed])[0][1]) == 2
 
 
+def test_expected_counts_as_over_all_paths():
+    """One round of the estimation against the sum over all paths of states."""
+    import itertools
+    import math
+
+    import pandas as pd
+
+    r = random.Random(12)
+    model = {"emit": [[[math.log(r.random()) for _ in range(n)] for n in pages.VALUES] for _ in range(4)], "step": [[math.log(x / 10) for x in (1, 2, 3, 4)] for _ in range(4)]}
+    free = [x for x in itertools.product(*map(range, pages.VALUES)) if pages.seed(x) is None]
+    sure = [x for x in itertools.product(*map(range, pages.VALUES)) if pages.seed(x) is not None]
+    code = lambda x: sum(v * math.prod(pages.VALUES[f + 1 :]) for f, v in enumerate(x))
+    assert pages._values(code(free[7])) == free[7]
+    seen = [r.choice(free), r.choice(free), r.choice(sure), r.choice(free)]
+    (got,) = pages._expected(model)(iter([pd.DataFrame({"codes": [[code(x) for x in seen], []]})]))
+    want, every = collections.Counter(), 0.0
+    for path in itertools.product(range(4), repeat=4):
+        if any(pages.seed(x) not in (None, s) for s, x in zip(path, seen)):
+            continue
+        w = math.exp(sum(model["emit"][s][f][v] for s, x in zip(path, seen) if pages.seed(x) is None for f, v in enumerate(x)) + sum(model["step"][a][b] for a, b in zip(path, path[1:])))
+        every += w
+        for s, x in zip(path, seen):
+            for f, v in enumerate(x):
+                want["emit", s, f, v] += w
+        for a, b in zip(path, path[1:]):
+            want["step", a, b, 0] += w
+    found = {(x.kind, x.a, x.b, x.c): x.n for x in got.itertuples() if x.n > 1e-12}
+    assert found.keys() == {k for k, n in want.items() if n / every > 1e-12} and all(abs(found[k] - want[k] / every) < 1e-9 for k in found)
+
+
+def test_fences_that_do_not_end_are_text():
+    assert pages.units("a\n```py\nx\n~~~\n```\nb") == ["a", "b"]
+    assert pages.units("```x```\na\n```\nb") == ["```x```", "a", "```", "b"]
+    assert pages.units("~~~\n```\na\n~~~\nc\n```") == ["c", "```"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
     import math
