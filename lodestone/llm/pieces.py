@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import width
+from ..plans.lineage import cut, width
 
 #: Characters per token where only lengths are known.
 TOKEN_CHARS = 4
@@ -65,7 +66,7 @@ def boundaries(text: str, begin: int, length: int, delimiter: str | None) -> tup
     """Cuts at line ends and at delimiters that lie in (begin, begin + length] of a
     file, found in one range of it; ``text`` holds the range and its halos, as far as
     there is text before and after."""
-    base, last = begin - min(begin, halo_chars(delimiter)), begin + length
+    base, last = begin - min(begin, halo_chars(delimiter)), begin + length  # what lies beyond is looked at, not cut at
     lines = [c for m in _LINE_END.finditer(text) if begin < (c := base + m.end()) <= last]
     sections = []
     if delimiter:
@@ -79,13 +80,35 @@ def boundaries(text: str, begin: int, length: int, delimiter: str | None) -> tup
     return lines, sections
 
 
+def _step(max_tokens: Column) -> Column:
+    """Characters of a range: RANGE_CHARS, or a whole piece where that is longer."""
+    return F.greatest(F.lit(RANGE_CHARS), max_tokens * TOKEN_CHARS + TOKEN_CHARS).cast("int")
+
+
+def range_table(large: DataFrame) -> DataFrame:
+    """node_id, begin, chars, left, delimiter, max_tokens, text: the ranges of each text,
+    with halos: ``left`` characters before it, and after it as many as the longest piece
+    that begins in it may still take.  The text of a row is walked through once, by the
+    task that reads it; all that follows sees ranges only, so a giant text is as many
+    tasks as it has ranges."""
+    step = _step(F.col("max_tokens"))
+    halo = F.greatest(F.length(F.coalesce("delimiter", F.lit(""))) - 1, F.lit(1))
+    whole = large.withColumn("step", step).withColumn("parts", F.regexp_extract_all("content", F.concat(F.lit("(?s).{1,"), F.col("step").cast("string"), F.lit("}+")), 0))
+    each = whole.select("node_id", "delimiter", "max_tokens", "step", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("k"))
+    own, near = F.get("parts", F.col("k")), lambda d: F.coalesce(F.get("parts", F.col("k") + d), F.lit(""))
+    left = F.right(near(-1), halo)
+    text = F.concat(left, own, F.left(near(1), F.greatest(halo, F.col("max_tokens") * TOKEN_CHARS + TOKEN_CHARS)))
+    rows = each.select("node_id", (F.col("k") * F.col("step")).cast("int").alias("begin"), F.length(own).alias("chars"), F.length(left).alias("left"), "delimiter", "max_tokens", text.alias("text"))
+    return rows.repartition(width(large.sparkSession, 2, large), "node_id", "begin")
+
+
 def _range_boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = [boundaries(t, a, n, d) for t, a, n, d in zip(b["text"], b["begin"], b["chars"], b["delimiter"])]
         yield pd.DataFrame({"node_id": b["node_id"], "begin": b["begin"], "lines": [x[0] for x in found], "sections": [x[1] for x in found]})
 
 
-def plan_pieces(n_chars: int, lines: list[int], sections: list[int], max_tokens: int, overlap: int) -> list[tuple[int, int, int]]:
+def plan_pieces(n_chars: int, lines: Sequence[int], sections: Sequence[int], max_tokens: int, overlap: int) -> list[tuple[int, int, int]]:
     """Pieces (begin, end, characters shared with the piece before) of at most
     max_tokens tokens, from the cuts of the whole file.
 
@@ -95,7 +118,7 @@ def plan_pieces(n_chars: int, lines: list[int], sections: list[int], max_tokens:
     new unit to fit as well.
     """
     limit = max_tokens * TOKEN_CHARS + TOKEN_CHARS - 1
-    ends: list[int] = []
+    ends = array("q")
     start, k = 0, 0
     for end in [*sections, n_chars] if not sections or sections[-1] < n_chars else sections:
         if end <= start:
@@ -112,7 +135,7 @@ def plan_pieces(n_chars: int, lines: list[int], sections: list[int], max_tokens:
                     ends.append(cut)
                     start = cut
         start = end
-    begins = [0, *ends[:-1]]
+    begins = array("q", [0]) + ends[:-1]
     out, i, shared = [], 0, 0
     while i < len(ends):
         j = bisect_right(ends, begins[i] + limit) - 1
@@ -127,46 +150,48 @@ def plan_pieces(n_chars: int, lines: list[int], sections: list[int], max_tokens:
 
 
 def _stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Boundary tables of a text's ranges to its pieces, listed by the range they begin in."""
     for b in batches:
         out = []
-        for node, chars, most, overlap, ranges in zip(b["node_id"], b["n_chars"], b["max_tokens"], b["overlap"], b["ranges"]):
-            lines = [int(x) for r in ranges for x in r["lines"]]
-            sections = [int(x) for r in ranges for x in r["sections"]]
+        for node, chars, most, overlap, step, ranges in zip(b["node_id"], b["n_chars"], b["max_tokens"], b["overlap"], b["step"], b["ranges"]):
+            lines, sections = array("q"), array("q")
+            for r in ranges:
+                lines.extend(map(int, r["lines"]))
+                sections.extend(map(int, r["sections"]))
             plan = plan_pieces(int(chars), lines, sections, int(most), int(overlap))
-            out.append((node, [p[0] for p in plan], [p[1] for p in plan], [p[2] for p in plan]))
-        yield pd.DataFrame(out, columns=["node_id", "begins", "ends", "shared"])
+            at = 0
+            while at < len(plan):
+                begin, to = plan[at][0] // step * step, at
+                while to < len(plan) and plan[to][0] < begin + step:
+                    to += 1
+                own = plan[at:to]
+                out.append((node, begin, at, len(plan), [p[0] for p in own], [p[1] for p in own], [p[2] for p in own]))
+                at = to
+        yield pd.DataFrame(out, columns=["node_id", "begin", "first", "pieces", "begins", "ends", "shared"])
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for node, text, begins, ends, shared in zip(b["node_id"], b["content"], b["begins"], b["ends"], b["shared"]):
+        for node, text, at, left, first, begins, ends, shared in zip(b["node_id"], b["text"], b["begin"], b["left"], b["first"], b["begins"], b["ends"], b["shared"]):
+            base = at - left
             yield pd.DataFrame(
-                {"node_id": node, "piece_no": range(len(begins)), "begin_char": begins, "end_char": ends, "shared_chars": shared, "text": [text[x:y] for x, y in zip(begins, ends)]}
+                {"node_id": node, "piece_no": range(first, first + len(begins)), "begin_char": begins, "end_char": ends, "shared_chars": shared, "text": [text[x - base : y - base] for x, y in zip(begins, ends)]}
             )
 
 
-def boundary_table(large: DataFrame) -> DataFrame:
-    """node_id, begin, lines, sections: the cuts of every range of every text."""
-    n = width(large.sparkSession, 2)
-    halo = "greatest(length(coalesce(delimiter, '')) - 1, 1)"
-    ranges = large.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_chars") - 1, F.lit(0)), F.lit(RANGE_CHARS))).alias("begin")).select(
-        "node_id", "begin", "delimiter",
-        F.least(F.lit(RANGE_CHARS), F.col("n_chars") - F.col("begin")).alias("chars"),
-        F.expr(f"substring(content, begin - least(begin, {halo}) + 1, least(begin, {halo}) + {RANGE_CHARS} + {halo})").alias("text"),
-    )
-    return ranges.repartition(n, "node_id", "begin").mapInPandas(_range_boundaries, "node_id string, begin int, lines array<int>, sections array<int>")
-
-
-def planned(large: DataFrame) -> DataFrame:
-    """node_id, begins, ends, shared: the pieces of each oversized text by offset."""
-    facts = large.select("node_id", "n_chars", "max_tokens", "overlap")
-    tables = boundary_table(large).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("begin", "lines", "sections"))).alias("ranges"))
-    return tables.join(facts, "node_id").mapInPandas(_stitch, "node_id string, begins array<int>, ends array<int>, shared array<int>")
+def planned(large: DataFrame, ranges: DataFrame) -> DataFrame:
+    """node_id, begin, first, pieces, begins, ends, shared: the pieces of each oversized
+    text by offset, one row for each range that a piece begins in: the number of its
+    first piece, and of all pieces of the text."""
+    facts = large.select("node_id", "n_chars", "max_tokens", "overlap", _step(F.col("max_tokens")).alias("step"))
+    found = ranges.mapInPandas(_range_boundaries, "node_id string, begin int, lines array<int>, sections array<int>")
+    tables = found.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("begin", "lines", "sections"))).alias("ranges"))
+    return tables.join(facts, "node_id").mapInPandas(_stitch, "node_id string, begin int, first int, pieces int, begins array<int>, ends array<int>, shared array<int>")
 
 
 def cut_files(large: DataFrame) -> DataFrame:
     """node_id of the texts that are cut into more than one piece."""
-    return planned(large).where(F.size("begins") > 1).select("node_id")
+    return planned(large, range_table(large)).where("first = 0 and pieces > 1").select("node_id")
 
 
 def pieces(files: DataFrame, texts: DataFrame, registry: DataFrame) -> DataFrame:
@@ -175,14 +200,15 @@ def pieces(files: DataFrame, texts: DataFrame, registry: DataFrame) -> DataFrame
     where the limit allows it, and beginning with the last ``overlap`` units of the one
     before.  Pieces without their first shared_chars characters give back the text.
 
-    Workers look for boundaries in ranges of a text with halos as wide as a delimiter,
-    so one giant file is many tasks; the boundary tables of its ranges are stitched
-    (offsets are kept, so lengths are their differences), and pieces are then cut out
-    of the text by offset.  A boundary table holds eight bytes a line and, a cell being
-    at most two gigabytes, fits one task.  Texts within the limit give no rows.
+    Workers look for boundaries in ranges of a text with halos, so one giant file is
+    many tasks; the boundary tables of its ranges are stitched (offsets are kept, so
+    lengths are their differences), and each range emits the pieces that begin in it by
+    their offsets, its halo being as long as the longest piece.  Only a boundary table
+    is ever gathered per text: eight bytes a line.  Texts within the limit give no rows.
     """
     large = oversized(files, texts, registry)
-    plan = planned(large)
-    return large.select("node_id", "content").join(plan, "node_id").mapInPandas(
+    ranges = cut(range_table(large))
+    plan = planned(large, ranges)
+    return ranges.select("node_id", "begin", "left", "text").join(plan, ["node_id", "begin"]).mapInPandas(
         _emit, "node_id string, piece_no int, begin_char int, end_char int, shared_chars int, text string"
     )

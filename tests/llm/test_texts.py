@@ -92,6 +92,24 @@ def test_pieces_of_tables(spark):
     assert pieces.pieces(files.where("false"), texts, reg).collect() == []
 
 
+def test_a_giant_text_is_many_ranges(spark, monkeypatch):
+    r = random.Random(3)
+    text = "".join("word é \U0001f600 " * r.randrange(9) + r.choice(["\n", "\r\n", "\n## part ", "\n"]) for _ in range(60_000))
+    files = spark.createDataFrame([("a", "a.md"), ("b", "b.md"), ("c", "c.md")], "node_id string, file_path string")
+    texts = spark.createDataFrame([("a", text), ("b", "y" * 5000), ("c", "\n## s" * 400)], "node_id string, content string")
+    reg = spark.createDataFrame([(".md", "\n##", 90, 1)], "extension string, chunk_delimiter string, chunk_max_tokens int, chunk_overlap int")
+    whole = {n: pieces.plan_pieces(len(t), *pieces.boundaries(t, 0, len(t), "\n##"), 90, 1) for n, t in (("a", text), ("b", "y" * 5000), ("c", "\n## s" * 400))}
+    for chars in (1 << 20, 3000, 100):
+        monkeypatch.setattr(pieces, "RANGE_CHARS", chars)
+        got = collections.defaultdict(list)
+        for x in pieces.pieces(files, texts, reg).collect():
+            got[x.node_id].append((x.piece_no, x.begin_char, x.end_char, x.shared_chars, x.text))
+        for n, t in (("a", text), ("b", "y" * 5000), ("c", "\n## s" * 400)):
+            assert sorted(got[n]) == [(k, a, b, s, t[a:b]) for k, (a, b, s) in enumerate(whole[n])]
+    ranges = pieces.range_table(pieces.oversized(files, texts, reg)).where("node_id = 'a'")
+    assert ranges.count() == -(-len(text) // 364) and ranges.agg({"chars": "max"}).first()[0] == 364
+
+
 # ---------------------------------------------------------------- packing and mixing
 def test_packing_keeps_every_token_and_no_container_overflows(spark):
     r = random.Random(6)
