@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.lineage import cut, width
-
-#: Bits of one bitmap; the size that Spark's bitmap functions build.
-BITS = 32768
+from ..plans.lineage import width
+from .bitmaps import Bitmap
 
 
 def references(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -68,70 +66,62 @@ def _month_begin(m: Column) -> Column:
     return F.make_date(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1)).cast("timestamp_ntz")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _and_not(refs: pd.Series, parents: pd.Series) -> pd.Series:
-    """Bits set in the first bitmap and not in the second."""
-    import numpy as np
-
-    out = []
-    for r, p in zip(refs, parents):
-        bits = np.frombuffer(r, dtype=np.uint8)
-        if p is not None:
-            bits = bits & ~np.frombuffer(p, dtype=np.uint8)
-        out.append(np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype("int64"))
-    return pd.Series(out)
+def _open_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """space, id, month of one key range where a key is referred to in a month that it does
+    not live through: the range's keys as integers, a bitmap of references and one of
+    living keys per month, and what the first has and the second has not."""
+    code, keys = pd.factorize(group["id"])
+    keys = np.asarray(keys, dtype=object)
+    month, first, last = (group[c].to_numpy(dtype=np.float64) for c in ("month", "first", "last"))
+    refers, lives = ~np.isnan(month), first <= last
+    by_first = np.flatnonzero(lives)[np.argsort(first[lives], kind="stable")]
+    by_last = np.flatnonzero(lives)[np.argsort(last[lives], kind="stable")]
+    alive = np.zeros(len(keys), dtype=np.int64)  # lives of each key that hold through the month
+    begun = ended = 0
+    ids, months = [], []
+    for m in np.unique(month[refers]):
+        to = int(np.searchsorted(first[by_first], m, side="right"))
+        np.add.at(alive, code[by_first[begun:to]], 1)
+        gone = int(np.searchsorted(last[by_last], m, side="left"))
+        np.subtract.at(alive, code[by_last[ended:gone]], 1)
+        begun, ended = to, gone
+        asked = Bitmap.of(np.unique(code[refers & (month == m)]))
+        left = asked.and_not(Bitmap.of(np.flatnonzero(alive > 0))).numbers()
+        ids.append(keys[left])
+        months.append(np.full(len(left), int(m)))
+    if not ids:
+        return pd.DataFrame({"space": [], "id": [], "month": []})
+    return pd.DataFrame({"space": group["space"].iloc[0], "id": np.concatenate(ids), "month": np.concatenate(months)})
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
     """table_name, record_id, endpoint, at of the references whose parent does not live
     at the moment of the record (born <= at, and not gone or gone > at).
 
-    Keys become integers: a hash puts each id into a key range, its rank there is its
-    number, so no dictionary is joined.  For every key range and month one bitmap says
-    which keys are referred to, and one which keys live through the whole month.
-    Reference AND-NOT parent leaves the keys that are missing or are born or go within
-    the month; only their references are held against the exact times, and only
-    lifetimes that begin or end in that month take part, so a key's list there is
-    short.  Hubs: references reach the bitmaps as distinct (id, month), and the join
-    back to single references is one that adaptive execution splits where skewed.
+    A hash puts each id into a key range; a range numbers its keys, builds for every
+    month a compressed bitmap of the keys that are referred to and one of those that
+    live through the whole month, and takes reference AND-NOT parent.  The keys that
+    are left are missing, or are born or go within the month; only their references are
+    held against the exact times, and only lifetimes that begin or end in that month
+    take part, so a key's list there is short.  A key comes to its range once per month
+    of references and once per lifetime, however many references it has, and there are
+    as many ranges as keep one small.  Hubs: the join back to single references is one
+    that adaptive execution splits where skewed.
 
     A reference with a null time is an orphan.  Empty inputs give no rows.
     """
     spark = refs.sparkSession
-    ranges = ranges or 4 * width(spark)
     refs = refs.withColumn("month", F.coalesce(month_number(F.col("at")), F.lit(-1)))
-    pairs = refs.select("space", "id", "month").distinct()
-    none = F.lit(None).cast("timestamp_ntz")
-    both = pairs.select("space", "id", "month", none.alias("born"), none.alias("gone")).unionByName(
-        parents.select("space", "id", F.lit(None).cast("int").alias("month"), "born", "gone")
-    )
-    by = ["space", "range"]
-    coded = both.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
-    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("id")) - 1
-    coded = cut(
-        coded.withColumn("n", number)
-        .withColumn("block", F.floor(F.col("n") / BITS).cast("int"))
-        .withColumn("bit", F.pmod("n", F.lit(BITS)).cast("bigint"))
-        .drop("n")
-    )
-    ref_keys = coded.where("month is not null").select(*by, "block", "bit", "month", "id")
-    last = ref_keys.agg(F.max("month")).first()[0]
-    where = [*by, "block", "month"]
-    ref_maps = ref_keys.groupBy(*where).agg(F.bitmap_construct_agg("bit").alias("refs"))
+    ranges = ranges or width(spark, 4, refs.unionByName(parents, allowMissingColumns=True))
     # the months through which a key lives: from the first that begins after its birth
     # to the last that ends before it goes
     first = month_number(F.col("born")) + F.when(_month_begin(month_number(F.col("born"))) < F.col("born"), 1).otherwise(0)
-    end = F.least(F.lit(last if last is not None else -1), F.coalesce(month_number(F.col("gone")) - 1, F.lit(2**30)))
-    living = (
-        coded.where("born is not null")
-        .withColumn("first", first)
-        .withColumn("last", end)
-        .where("first <= last")
-        .select(*by, "block", "bit", F.explode(F.sequence("first", "last")).alias("month"))
-    )
-    parent_maps = living.groupBy(*where).agg(F.bitmap_construct_agg("bit").alias("parents"))
-    left = ref_maps.join(parent_maps, where, "left").select(*where, F.explode(_and_not("refs", "parents")).alias("bit"))
-    open_keys = left.join(ref_keys, [*where, "bit"]).select("space", "id", "month")
+    last = F.coalesce(month_number(F.col("gone")) - 1, F.lit(2**30))
+    none = F.lit(None).cast("int")
+    pairs = refs.select("space", "id", "month").distinct().withColumns({"first": none, "last": none})
+    living = parents.select("space", "id", none.alias("month"), first.cast("int").alias("first"), last.cast("int").alias("last")).where("first <= last")
+    both = pairs.unionByName(living).withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
+    open_keys = both.groupBy("space", "range").applyInPandas(_open_keys, "space string, id string, month int")
 
     edge = parents.select("space", "id", "born", "gone", F.explode(F.array_distinct(F.array(month_number(F.col("born")), F.coalesce(month_number(F.col("gone")), month_number(F.col("born")))))).alias("month"))
     lives = (

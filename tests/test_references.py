@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from lodestone.operators.bitmaps import Bitmap
 from lodestone.operators import references
 
 T = lambda d, h=0: dt.datetime(2025, 1, 1) + dt.timedelta(days=d, hours=h)
@@ -52,3 +53,16 @@ def test_null_times_null_ids_and_empty_tables(spark):
     assert references.orphan_references(*none).collect() == []
     assert references.orphan_references(none[0], some[1]).collect() == []
     assert references.orphan_references(some[0], none[1]).count() == 5
+
+
+def test_bitmaps_are_sets_and_small():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    shapes = [np.arange(200_000), np.arange(0, 300_000, 2), r.choice(400_000, 900, replace=False), np.array([], dtype=int), np.array([0, 65535, 65536, 131071]), np.concatenate((np.arange(5000), np.arange(70_000, 140_000, 3)))]
+    for a in shapes:
+        x = Bitmap.of(np.sort(a))
+        assert (x.numbers() == np.sort(a)).all()
+        for b in shapes:
+            assert (x.and_not(Bitmap.of(np.sort(b))).numbers() == np.setdiff1d(a, b)).all()
+    assert Bitmap.of(np.arange(10**6)).size() < 100 and Bitmap.of(np.sort(shapes[2])).size() == 1800 and Bitmap.of(np.arange(0, 65536, 2)).size() == 8192
