@@ -11,6 +11,9 @@ from .numbering import percentiles_by_mean_rank, percentiles_by_place
 
 #: Rounds after which an iterative operator cuts its lineage.
 CUT_EVERY = 4
+#: Edges (both directions counted) up to which a component is searched by one task; a
+#: larger one is searched by all.
+LOCAL_EDGES = 500_000
 
 
 def active_edges(edges: DataFrame, nodes: DataFrame, repository: str | None = None) -> DataFrame:
@@ -66,7 +69,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     return ranks
 
 
-def kcore(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def kcore(edges: DataFrame) -> DataFrame:
     """node, core: the largest k such that the node is in a subgraph of minimum degree
     k, loops aside.  Each node takes the H-index of its neighbours' values, from its
     degree on, until nothing changes.  Neighbours are counted by value, so a hub sends
@@ -76,32 +79,31 @@ def kcore(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     from pyspark.sql import Window
 
     down = Window.partitionBy("node").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(0, max_rounds, CUT_EVERY):
+    changed = True
+    while changed:  # values only fall, and never below 0
         before = value
-        for _ in range(CUT_EVERY):  # values only fall, so rounds without change cost nothing else
+        for _ in range(CUT_EVERY):
             counts = adj.join(value.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
             value = counts.withColumn("m", F.sum("n").over(down)).groupBy("node").agg(F.max(F.least("v", "m")).alias("core"))
         value = cut(value)
-        if not value.join(before.withColumnRenamed("core", "old"), "node").where("core <> old").limit(1).count():
-            break
+        changed = not value.join(before.withColumnRenamed("core", "old"), "node").where("core <> old").isEmpty()
     lone = clean(edges).where("source = target").select(F.col("source").alias("node")).join(value, "node", "left_anti").withColumn("core", F.lit(0).cast("bigint"))
     return value.unionByName(lone)
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that can be reached.  Each round a node takes the
-    least label around it and then its label's label."""
+    least label around it and then its label's label, until no label changes."""
     adj = cut(neighbours(edges))
     label = adj.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
-    for _ in range(max_rounds):
+    changed = True
+    while changed:  # labels only fall
         near = adj.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         stepped = label.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = stepped.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = cut(stepped.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
+        changed = not new.where("component <> old").isEmpty()
         label = new.drop("old")
-        if not changed:
-            break
     return label
 
 
@@ -148,14 +150,58 @@ def _cut_nodes(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "is_articulation_point": [n in points for n in nodes]})
 
 
-def _per_component(edges: DataFrame) -> DataFrame:
-    return neighbours(edges).join(components(edges), "node")
+def _by_size(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """Neighbours with their component: those of the components that fit one task, and
+    those of the others (null if there are none)."""
+    adj = cut(neighbours(edges).join(components(edges), "node"))
+    large = cut(adj.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges).select("component"))
+    if large.isEmpty():
+        return adj, None
+    return adj.join(large, "component", "left_anti"), adj.join(large, "component", "left_semi").where("node <> other")
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
+def articulation_points(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, is_articulation_point: whether the graph falls apart without the node.
-    Components are searched in parallel, each by one depth-first search in one task."""
-    return _per_component(edges).groupBy("component").applyInPandas(_cut_nodes, "node string, is_articulation_point boolean")
+    Components of up to ``local_edges`` edges are searched in parallel, each by one
+    depth-first search in one task, larger ones by all tasks; both are exact."""
+    small, large = _by_size(edges, local_edges)
+    found = small.groupBy("component").applyInPandas(_cut_nodes, "node string, is_articulation_point boolean")
+    return found if large is None else found.unionByName(_cut_nodes_by_rounds(large))
+
+
+def _cut_nodes_by_rounds(adj: DataFrame) -> DataFrame:
+    """Articulation points of components of any size.  A breadth-first tree gives every
+    node its path from the root, round by round.  An edge outside the tree closes a
+    cycle: the two paths from where they part.  Tree edges of one cycle belong to one
+    block, so linking them makes blocks the components of tree edges (each named by its
+    lower node).  A node is an articulation point if an edge to a child is in another
+    block than the edge to its parent, the root if its children's are in several."""
+    adj = cut(adj.select("node", "other", "component"))
+    front = adj.select("component").distinct().select(F.col("component").alias("node"), F.array("component").alias("path"))
+    tree = front = cut(front)
+    while not front.isEmpty():
+        step = front.select("node").join(adj, "node").groupBy(F.col("other").alias("node")).agg(F.min("node").alias("parent")).join(tree.select("node"), "node", "left_anti")
+        front = cut(step.join(front.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat("path", F.array("node")).alias("path")))
+        tree = tree.unionByName(front)
+    tree = cut(tree)
+    ends = adj.where("node < other").select("node", "other")
+    ends = ends.join(tree.select("node", F.col("path").alias("a")), "node").join(tree.select(F.col("node").alias("other"), F.col("path").alias("b")), "other")
+    up = lambda c: F.get(c, F.size(c) - 2)
+    ends = ends.where(~(F.coalesce(up(F.col("a")), F.lit("")) == F.col("other")) & ~(F.coalesce(up(F.col("b")), F.lit("")) == F.col("node")))
+    common = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
+    ends = ends.withColumn("common", common)
+    below = lambda c: F.slice(c, F.col("common") + 1, F.greatest(F.size(c) - F.col("common"), F.lit(0)))
+    pairs = lambda c: F.filter(F.arrays_zip(c.alias("source"), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))).alias("target")), lambda x: x["target"].isNotNull())
+    ends = ends.withColumn("x", below(F.col("a"))).withColumn("y", below(F.col("b")))
+    top = F.array(F.struct(F.get("x", F.lit(0)).alias("source"), F.get("y", F.lit(0)).alias("target")))
+    links = ends.select(F.explode(F.concat(pairs(F.col("x")), pairs(F.col("y")), top)).alias("l")).select("l.source", "l.target").distinct()
+    block = components(links).select("node", F.col("component").alias("block"))
+    edge = tree.join(block, "node", "left").select("node", F.size("path").alias("depth"), up(F.col("path")).alias("parent"), F.coalesce("block", "node").alias("block"))
+    edge = cut(edge)
+    own = edge.select(F.col("node").alias("parent"), F.col("depth").alias("at"), F.col("block").alias("own"))
+    g = edge.where("parent is not null").join(own, "parent").groupBy(F.col("parent").alias("node"), "at").agg(F.countDistinct("block").alias("blocks"), F.max(F.col("block") != F.col("own")).alias("apart"))
+    points = g.where("at = 1 and blocks > 1 or at > 1 and apart").select("node", F.lit(True).alias("is_articulation_point"))
+    return edge.select("node").join(points, "node", "left").select("node", F.coalesce("is_articulation_point", F.lit(False)).alias("is_articulation_point"))
 
 
 def _louvain(resolution: float):
@@ -212,11 +258,77 @@ def _louvain(resolution: float):
     return run
 
 
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, community (its least node): modularity by local moves in the order of the
-    ids, lowest community on ties, repeated on the merged graph.  A component is never
-    divided between tasks nor joined with another."""
-    return _per_component(edges).groupBy("component").applyInPandas(_louvain(resolution), "node string, community string")
+def communities(edges: DataFrame, resolution: float = 1.0, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, community (its least node): modularity by local moves, repeated on the merged
+    graph.  Components of up to ``local_edges`` edges are taken by one task each, their
+    nodes in the order of the ids, lowest community on ties; in larger ones all nodes
+    move at once, round by round (_communities_by_rounds).  No community reaches across
+    components."""
+    small, large = _by_size(edges, local_edges)
+    found = small.groupBy("component").applyInPandas(_louvain(resolution), "node string, community string")
+    return found if large is None else found.unionByName(_communities_by_rounds(large, resolution))
+
+
+def _modularity(weights: DataFrame, degree: DataFrame, home: DataFrame, total: float, resolution: float) -> float:
+    """Of the partition ``home`` (node, c); ``degree``: node, k, inner (weight of loops)."""
+    at = home.withColumnRenamed("node", "other").withColumnRenamed("c", "d")
+    within = weights.join(home, "node").join(at, "other").where("c = d").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("x"))
+    sums = degree.join(home, "node").groupBy("c").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+    own = sums.agg(F.sum(2 * F.col("inner")).alias("y"), F.sum((F.col("k") / total) ** 2).alias("z"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    r = one(within).join(one(own), "one").first()
+    return (r["x"] + r["y"]) / total - resolution * r["z"]
+
+
+def _communities_by_rounds(adj: DataFrame, resolution: float) -> DataFrame:
+    """Each round every node looks for the community around it that it adds most to; in
+    even rounds only moves to a lower community are made, in odd ones to a higher, so
+    that two nodes do not change places for ever.  Rounds end when none moves either
+    way, or when they raise modularity no more; the best partition is kept and its
+    communities become the nodes of the next graph, until nothing is merged."""
+    weights = cut(adj.select("node", "other", F.lit(1.0).alias("w")))
+    home = cut(adj.select("node").distinct().withColumn("c", F.col("node")))
+    inner = home.select("node", F.lit(0.0).alias("inner"))
+    total = float(weights.agg(F.sum("w")).first()[0])
+    while True:
+        degree = weights.groupBy("node").agg(F.sum("w").alias("s"))
+        degree = cut(inner.join(degree, "node", "left").select("node", "inner", (F.coalesce("s", F.lit(0.0)) + 2 * F.col("inner")).alias("k")))
+        own = cut(degree.select("node", F.col("node").alias("c")))
+        best, most = own, _modularity(weights, degree, own, total, resolution)
+        still = turn = worse = 0
+        while still < 2:
+            near = weights.join(own.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("w"))
+            tries = near.unionByName(own.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+            sums = own.join(degree, "node").groupBy("c").agg(F.sum("k").alias("all"))
+            rated = tries.join(sums, "c").join(degree.select("node", "k"), "node").join(own.withColumnRenamed("c", "own"), "node")
+            gain = F.col("w") - resolution * (F.col("all") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / total
+            g = rated.withColumn("gain", gain).groupBy("node", "own").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("to"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+            way = F.col("to.c") < F.col("own") if turn % 2 == 0 else F.col("to.c") > F.col("own")
+            goes = (-F.col("to.loss") > F.col("stay") + 1e-12) & way
+            new = cut(g.select("node", F.when(goes, F.col("to.c")).otherwise(F.col("own")).alias("c"), goes.alias("moved")))
+            turn += 1
+            if new.where("moved").isEmpty():
+                still += 1
+                continue
+            still, own = 0, new.drop("moved")
+            now = _modularity(weights, degree, own, total, resolution)
+            if now > most + 1e-9:
+                best, most, worse = own, now, 0
+            else:
+                worse += 1
+                if worse == 2:
+                    break
+        if best.where("node <> c").isEmpty():
+            break
+        home = cut(home.withColumnRenamed("c", "at").join(best.select(F.col("node").alias("at"), "c"), "at").select("node", "c"))
+        to = best.select(F.col("node").alias("other"), F.col("c").alias("d"))
+        merged = cut(weights.join(best, "node").join(to, "other").groupBy("c", "d").agg(F.sum("w").alias("w")))
+        loops = degree.join(best, "node").groupBy("c").agg(F.sum("inner").alias("inner"))
+        kept = merged.where("c = d").select("c", (F.col("w") / 2).alias("more"))
+        inner = loops.join(kept, "c", "left").select(F.col("c").alias("node"), (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner"))
+        weights = merged.where("c <> d").select(F.col("c").alias("node"), F.col("d").alias("other"), "w")
+    least = home.groupBy("c").agg(F.min("node").alias("community"))
+    return home.join(least, "c").select("node", "community")
 
 
 METRICS = {
@@ -256,15 +368,14 @@ def graph_facts(edges: DataFrame) -> DataFrame:
     return one.withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / (F.col("nodes").cast("double") * (F.col("nodes") - 1)), 6)))
 
 
-def containment(edges: DataFrame, root: str, max_depth: int = 50) -> DataFrame:
+def containment(edges: DataFrame, root: str) -> DataFrame:
     """node, depth of what the root contains, directly or through others, by breadth-first
-    rounds over CONTAINS edges; a node keeps its least depth."""
+    rounds over CONTAINS edges until nothing new is found; a node keeps its least depth."""
     e = cut(edges.where("relationship_type = 'CONTAINS'").select(F.col("source_id").alias("node"), F.col("target_id").alias("child")).where("node is not null and child is not null").distinct())
     seen = cut(e.where(F.col("node") == root).select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(1)))
-    front = seen
-    for d in range(2, max_depth + 1):
-        front = cut(front.join(e, "node").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
-            break
+    front, depth = seen, 1
+    while not front.isEmpty():
+        depth += 1
+        front = cut(front.join(e, "node").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = cut(seen.unionByName(front))
     return seen

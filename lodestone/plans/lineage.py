@@ -29,17 +29,34 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Estimated bytes beyond which an estimate is not carried on.
+ESTIMATE = 1 << 50
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, materialised in the checkpoint folder: later reads neither
-    compute them again nor depend on an executor's memory."""
+    compute them again nor depend on an executor's memory.
+
+    Spark keeps the estimated size of what was cut.  In a loop of joins estimates are
+    multiplied round by round until they have thousands of digits, so one that has
+    grown beyond all bounds is dropped; adaptive execution goes by real sizes."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    if _estimate(held) <= ESTIMATE:
+        return held
+    spark = held.sparkSession
+    rows = held._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held._jdf.schema(), False), spark)
+
+
+def _estimate(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that the rows are read from, by their sizes alone; what Spark
     has no size of counts as nothing."""
-    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(df._jdf.queryExecution().optimizedPlan())]
+    sizes = [int(leaf.stats().sizeInBytes()) for leaf in _leaves(df._jdf.queryExecution().optimizedPlan())]
     return sum(x for x in sizes if x < 1 << 60)
 
 

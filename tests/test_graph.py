@@ -58,12 +58,13 @@ def test_kcore_as_by_peeling(spark):
     assert {r.node: r.core for r in graph.kcore(edges(spark, pairs)).collect()} == core
 
 
-def test_components_and_articulation_points_by_removal(spark):
-    pairs = random_pairs(5, 45, 45)
+@pytest.mark.parametrize(("seed", "m", "local"), [(5, 45, 10**6), (5, 45, 0), (6, 60, 0), (7, 38, 0)])
+def test_components_and_articulation_points_by_removal(spark, seed, m, local):
+    pairs = random_pairs(seed, 45, m)
     adj = adjacency(pairs)
     comp = {r.node: r.component for r in graph.components(edges(spark, pairs)).collect()}
     assert {v: min(reach(adj, v)) for v in adj} == {v: c for v, c in comp.items() if v in adj}
-    points = {r.node for r in graph.articulation_points(edges(spark, pairs)).collect() if r.is_articulation_point}
+    points = {r.node for r in graph.articulation_points(edges(spark, pairs), local).collect() if r.is_articulation_point}
     expected = set()
     for v in adj:
         rest = reach(adj, v) - {v}
@@ -72,6 +73,24 @@ def test_components_and_articulation_points_by_removal(spark):
     assert points == expected
 
 
+def modularity(adj, home):
+    total = sum(map(len, adj.values()))
+    parts = {}
+    for v in adj:
+        parts.setdefault(home[v], set()).add(v)
+    return sum(sum(w in p for v in p for w in adj[v]) / total - (sum(len(adj[v]) for v in p) / total) ** 2 for p in parts.values())
+
+
+def test_communities_by_rounds_are_as_good(spark):
+    r = random.Random(2)
+    pairs = [(f"{a}{i}", f"{a}{j}") for a in "abcd" for i in range(8) for j in range(i) if r.random() < 0.7] + [("a0", "b1"), ("b2", "c3"), ("c1", "d1"), ("d2", "a3"), ("y", "z")]
+    adj = adjacency(pairs)
+    one = {x.node: x.community for x in graph.communities(edges(spark, pairs)).collect()}
+    rounds = {x.node: x.community for x in graph.communities(edges(spark, pairs), local_edges=0).collect()}
+    assert rounds.keys() == adj.keys() and rounds["y"] == rounds["z"] == "y" and all(rounds[c] == c and c == min(v for v in rounds if rounds[v] == c) for c in set(rounds.values()))
+    assert modularity(adj, rounds) > 0.95 * modularity(adj, one) > 0.5
+
+
 def test_two_cliques_are_two_communities_and_components_stay_apart(spark):
     clique = lambda x: [(f"{x}{i}", f"{x}{j}") for i in range(5) for j in range(i)]
     got = {r.node: r.community for r in graph.communities(edges(spark, clique("a") + clique("b") + [("a0", "b0")] + [("z1", "z2")])).collect()}
@@ -107,3 +126,8 @@ def test_every_node_of_an_active_edge_is_enriched(spark, data, name):
     active = queries.QUERIES["s5_active_edges"](spark, data).dropna().collect()
     rows = [r.node for r in queries.QUERIES[name](spark, data).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {x for r in active for x in r}
+
+
+def test_containment_goes_as_deep_as_there_is_something(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1), "CONTAINS") for i in range(60)] + [("60", "3", "CONTAINS"), ("0", "x", "USES")], "source_id string, target_id string, relationship_type string")
+    assert {r.node: r.depth for r in graph.containment(e, "0").collect()} == {str(i): i for i in range(1, 61)}
