@@ -44,11 +44,12 @@ def with_texts(files: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The columns of the batches with the verdict in place of the text."""
     from .languages import LEXERS, parses
 
     for b in batches:
         ok = [parses(lang, LEXERS[lang](text)) for lang, text in zip(b["language"], b["content"])]
-        yield pd.DataFrame({"node_id": b["node_id"], "parses": ok})
+        yield b.drop(columns="content").assign(parses=ok)
 
 
 def parse_verdicts(files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def parse_verdicts(files: DataFrame, texts: DataFrame) -> DataFrame:
     Java) and, as an empty file is no error, in Go as well.  A text of any length is
     parsed whole; extra columns are ignored.
     """
-    return with_texts(files, texts).select("node_id", "language", "content").mapInPandas(_verdicts, "node_id string, parses boolean")
+    return with_texts(files, texts).select("node_id", "language", "content").mapInPandas(_verdicts, "node_id string, language string, parses boolean").drop("language")
 
 
 def unparsable(files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -76,10 +77,8 @@ def unparsable_rates(files: DataFrame, texts: DataFrame, config: DataFrame) -> D
 
     dimension, key, files, broken, share
     """
-    nodes = with_texts(files, texts, "repository_name", "file_type", "subtype")
-    verdicts = nodes.select("node_id", "language", "content").mapInPandas(_verdicts, "node_id string, parses boolean")
-    # repository and subtype come back by the same partitioning, so nothing is shuffled again
-    rows = verdicts.join(nodes.drop("content"), "node_id")
+    nodes = with_texts(files, texts, "repository_name", "file_type", "subtype").select("language", "repository_name", "file_type", "subtype", "content")
+    rows = nodes.mapInPandas(_verdicts, "language string, repository_name string, file_type string, subtype string, parses boolean")
     spec = "struct<files:array<struct<type:string,subtype:string>>>"
     specs = (
         config.where("is_active")

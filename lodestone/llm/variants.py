@@ -18,9 +18,9 @@ _FORMATTING = re.compile(r"[^\w+#]|_")
 #: Ends a part of the canonical text; no part holds it.
 _END = "\x1f"
 
-#: Records that one bucket may hold before it is split by further characters.
+#: Records that one bucket may hold before it is split by further bytes.
 BUCKET_ROWS = 50_000
-#: Characters of the canonical text that the levels of the split look at.
+#: Bytes of the canonical text that the levels of the split look at.
 LEVELS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 4096, 2**14, 2**17, 2**20, 2**24, 2**30)
 
 
@@ -160,9 +160,9 @@ def variant_groups(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
     """table_name, kept_id, id, copies of every record: the least id of its group and
     the group's size.
 
-    Radix partitioning: records are counted by the first characters of their canonical
-    text; only buckets with more than ``bucket_rows`` are looked at again, by more
-    characters, until each fits.  There are at most rows / bucket_rows such buckets per
+    Radix partitioning: records are counted by the first bytes of their canonical text;
+    only buckets with more than ``bucket_rows`` are looked at again, by more bytes,
+    until each fits.  There are at most rows / bucket_rows such buckets per
     level, so their table is small by construction; it is joined, never collected.  A
     bucket that cannot be split because its texts end is one group of equal records: it
     is counted with map-side aggregation instead of in one task, however large it is.
@@ -171,23 +171,24 @@ def variant_groups(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
     terminals hold the records.
     """
     spark = records.sparkSession
-    rows = cut(records.withColumn("chars", F.length("canonical")))
+    rows = cut(records.withColumn("bytes", F.octet_length("canonical")))
     total = rows.count()
-    levels = rows.withColumn("level", F.lit(0)).withColumn("bucket", F.substring("canonical", 1, LEVELS[0]))
+    first = lambda n: F.substring(F.encode("canonical", "UTF-8"), 1, n)
+    levels = rows.withColumn("level", F.lit(0)).withColumn("bucket", first(LEVELS[0]))
     ended = None
-    for k, chars in enumerate(LEVELS):
+    for k, size in enumerate(LEVELS):
         here = levels.where(F.col("level") == k)
-        large = cut(here.groupBy("table_name", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("longest")).where(F.col("n") > bucket_rows))
+        large = cut(here.groupBy("table_name", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("longest")).where(F.col("n") > bucket_rows))
         if large.isEmpty():
             break
         # a bucket all of whose texts end within the prefix holds equal records only
-        done = large.where(F.col("longest") <= chars).select("table_name", "bucket", F.lit(True).alias("equal"))
+        done = large.where(F.col("longest") <= size).select("table_name", "bucket", F.lit(True).alias("equal"))
         ended = done.withColumn("level", F.lit(k)) if ended is None else ended.unionByName(done.withColumn("level", F.lit(k)))
-        more = large.where(F.col("longest") > chars).select("table_name", "bucket", F.lit(True).alias("split"))
+        more = large.where(F.col("longest") > size).select("table_name", "bucket", F.lit(True).alias("split"))
         further = LEVELS[min(k + 1, len(LEVELS) - 1)]
         levels = (
             levels.join(more.withColumn("level", F.lit(k)), ["table_name", "bucket", "level"], "left")
-            .withColumn("bucket", F.when(F.col("split"), F.substring("canonical", 1, further)).otherwise(F.col("bucket")))
+            .withColumn("bucket", F.when(F.col("split"), first(further)).otherwise(F.col("bucket")))
             .withColumn("level", F.when(F.col("split"), F.lit(k + 1)).otherwise(F.col("level")))
             .drop("split")
         )
