@@ -125,3 +125,26 @@ SELECT DISTINCT t.node_id FROM file_texts t JOIN n USING (node_id)
 JOIN r ON r.extension = lower(regexp_extract(n.path, '\.[^.]*$'))
 WHERE t.content IS NOT NULL AND length(t.content) // 4 > r.most
 """
+
+
+def _plain(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}+#]', '', 'g')"
+
+
+def _records_sql(table: str, name: str, category: str, ecosystem: str) -> str:
+    """Key columns of a node table; the fields of its JSON are those it is known to have."""
+    fields = []
+    for f in ("description", "found_in.path", "found_in.line", "license"):
+        value = _plain(f"properties_json->>'$.{f}'")
+        fields += [f"json_type(properties_json, '$.{f}')", f"CASE WHEN json_type(properties_json, '$.{f}') = 'VARCHAR' THEN {value} ELSE CAST(properties_json->'$.{f}' AS VARCHAR) END"]
+    return (
+        f"SELECT '{table}' AS table_name, record_id, [repository_name, {_plain(name)}, {_plain(category)}, {ecosystem}, lower(trim(version)), {', '.join(fields)}, CAST(len(json_keys(properties_json)) AS VARCHAR)] AS k FROM {table}"
+    )
+
+
+_COPIES = (
+    "WITH r AS (" + _records_sql("dependency_nodes", "dependency_name", "dependency_category", _plain("ecosystem")) + " UNION ALL " + _records_sql("technology_nodes", "tech_name", "tech_category", "NULL")
+    + "), g AS (SELECT table_name, record_id, min(record_id) OVER (PARTITION BY table_name, k) AS kept_id FROM r)"
+)
+SQL["p3_found"] = _COPIES + " SELECT table_name, kept_id, record_id AS copy_id FROM g WHERE record_id <> kept_id"
+SQL["p3_collapsed"] = _COPIES + " SELECT table_name, kept_id, count(*) AS copies FROM g GROUP BY 1, 2"
