@@ -136,12 +136,27 @@ def g3_communities(t):
     return graph.communities(_enrich_edges(t))
 
 
-@query()
+def _kcore_sql(rounds: int) -> str:
+    """H-indexes of the neighbours' values; more rounds than it takes change nothing."""
+    steps = "".join(
+        f", r{k} AS MATERIALIZED (SELECT node, max(least(v, n)) AS v FROM (SELECT b.node, r.v, row_number() OVER (PARTITION BY b.node ORDER BY r.v DESC) AS n FROM b JOIN r{k - 1} r ON r.node = b.other) GROUP BY node)" for k in range(1, rounds + 1)
+    )
+    return (
+        f"WITH e AS ({_CLEAN.format('graph_edges')}), b AS MATERIALIZED (SELECT s AS node, t AS other FROM e WHERE s <> t UNION SELECT t, s FROM e WHERE s <> t), r0 AS (SELECT node, count(*) AS v FROM b GROUP BY node){steps} "
+        f"SELECT node, CAST(v AS BIGINT) AS core FROM r{rounds} UNION ALL SELECT DISTINCT s, CAST(0 AS BIGINT) FROM e WHERE s = t AND s NOT IN (SELECT node FROM b)"
+    )
+
+
+@query(_kcore_sql(30))
 def g4_kcore(t):
     return graph.kcore(_edges(t))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE n AS ({_NODES}), a AS (SELECT DISTINCT node_id FROM n WHERE active), d AS (SELECT source_id AS s, target_id AS t FROM graph_edges WHERE source_id IN (SELECT node_id FROM a) AND target_id IN (SELECT node_id FROM a)), "
+    "e AS (SELECT s AS node, t AS other FROM d WHERE s <> t UNION SELECT t, s FROM d WHERE s <> t), r AS (SELECT node AS gone, min(other) AS at FROM e GROUP BY 1 HAVING count(*) > 1 UNION SELECT r.gone, e.other FROM r JOIN e ON e.node = r.at WHERE e.other <> r.gone), "
+    "p AS (SELECT DISTINCT e.node FROM e WHERE e.node IN (SELECT gone FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.gone = e.node AND r.at = e.other)) SELECT node, node IN (SELECT node FROM p) AS is_articulation_point FROM (SELECT s AS node FROM d UNION SELECT t FROM d)"
+)
 def g5_articulation_points(t):
     return graph.articulation_points(_enrich_edges(t))
 
