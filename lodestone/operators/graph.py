@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .numbering import percentiles_by_mean_rank, percentiles_by_place
+from ..plans.lineage import cut, width
+from .numbering import numbered, percentiles_by_mean_rank, percentiles_by_place
 
 #: Rounds after which an iterative operator cuts its lineage.
 CUT_EVERY = 4
@@ -45,28 +46,41 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
+def _numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names of the nodes by number (node, n), in the order of the names, and the pairs in
+    numbers (a, b), partitioned by b and kept: rounds of an iteration move numbers only,
+    and no pairs.  A partition that is lost is read again from the checkpoint."""
+    names = cut(numbered(adj.select("node").distinct(), [F.col("node").asc()], "n"))
+    pairs = adj.join(names.withColumnRenamed("n", "a"), "node").join(names.select(F.col("node").alias("other"), F.col("n").alias("b")), "other").select("a", "b")
+    pairs = cut(pairs)
+    spark = adj.sparkSession
+    return names, pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), width(spark, 1, adj)), "b").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """node, pagerank over the undirected simple graph; ends after max_iter rounds or
     when the ranks change by less than tol in all.  Every node has a neighbour, so no
-    rank is lost.  Adjacency is materialised once and partitioned by node."""
-    adj = neighbours(edges)
-    adj = cut(adj.join(adj.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "node"))
-    nodes = adj.select("node").distinct()
-    n = nodes.count()
-    if n == 0:
-        return nodes.withColumn("pagerank", F.lit(0.0))
-    ranks = nodes.withColumn("pagerank", F.lit(1.0 / n))
+    rank is lost."""
+    adj = cut(neighbours(edges))
+    if adj.isEmpty():
+        return adj.select("node", F.lit(0.0).alias("pagerank"))
+    names, pairs = _numbered(adj)
+    degree = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("deg")))
+    n = names.count()
+    ranks = degree.select("b", "deg", F.lit(1.0 / n).alias("rank"))
     for k in range(max_iter):
-        sent = adj.join(ranks, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("pagerank") / F.col("deg")).alias("got"))
-        new = sent.select("node", (F.lit((1 - damping) / n) + damping * F.col("got")).alias("pagerank"))
+        sent = pairs.join(ranks.select("b", (F.col("rank") / F.col("deg")).alias("share")), "b").groupBy("a").agg(F.sum("share").alias("got"))
+        new = sent.withColumnRenamed("a", "b").join(degree, "b").select("b", "deg", (F.lit((1 - damping) / n) + damping * F.col("got")).alias("rank"))
         if (k + 1) % CUT_EVERY == 0 or k + 1 == max_iter:
             new = cut(new)
             if tol > 0 and k + 1 < max_iter:
-                moved = new.join(ranks.withColumnRenamed("pagerank", "old"), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+                moved = new.join(ranks.select("b", F.col("rank").alias("old")), "b").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
                 if moved < tol:
-                    return new
+                    ranks = new
+                    break
         ranks = new
-    return ranks
+    pairs.unpersist()
+    return names.join(ranks.withColumnRenamed("b", "n"), "n").select("node", F.col("rank").alias("pagerank"))
 
 
 def kcore(edges: DataFrame) -> DataFrame:
@@ -75,36 +89,43 @@ def kcore(edges: DataFrame) -> DataFrame:
     degree on, until nothing changes.  Neighbours are counted by value, so a hub sends
     one row per distinct value into its window, not one per neighbour."""
     adj = cut(neighbours(edges, loops=False))
-    value = adj.groupBy("node").agg(F.count(F.lit(1)).alias("core"))
-    from pyspark.sql import Window
-
-    down = Window.partitionBy("node").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    lone = clean(edges).where("source = target").select(F.col("source").alias("node")).join(adj.select("node"), "node", "left_anti").withColumn("core", F.lit(0).cast("bigint"))
+    if adj.isEmpty():
+        return lone
+    names, pairs = _numbered(adj)
+    value = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("core")))
+    down = Window.partitionBy("a").orderBy(F.col("core").desc()).rowsBetween(Window.unboundedPreceding, 0)
     changed = True
     while changed:  # values only fall, and never below 0
         before = value
         for _ in range(CUT_EVERY):
-            counts = adj.join(value.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
-            value = counts.withColumn("m", F.sum("n").over(down)).groupBy("node").agg(F.max(F.least("v", "m")).alias("core"))
+            counts = pairs.join(value, "b").groupBy("a", "core").agg(F.count(F.lit(1)).alias("n"))
+            value = counts.withColumn("m", F.sum("n").over(down)).groupBy(F.col("a").alias("b")).agg(F.max(F.least("core", "m")).alias("core"))
         value = cut(value)
-        changed = not value.join(before.withColumnRenamed("core", "old"), "node").where("core <> old").isEmpty()
-    lone = clean(edges).where("source = target").select(F.col("source").alias("node")).join(value, "node", "left_anti").withColumn("core", F.lit(0).cast("bigint"))
-    return value.unionByName(lone)
+        changed = not value.join(before.withColumnRenamed("core", "old"), "b").where("core <> old").isEmpty()
+    pairs.unpersist()
+    return names.join(value.withColumnRenamed("b", "n"), "n").select("node", "core").unionByName(lone)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that can be reached.  Each round a node takes the
     least label around it and then its label's label, until no label changes."""
     adj = cut(neighbours(edges))
-    label = adj.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
+    if adj.isEmpty():
+        return adj.select("node", F.col("other").alias("component"))
+    names, pairs = _numbered(adj)
+    label = cut(names.select(F.col("n").alias("b"), F.col("n").alias("c")))
     changed = True
     while changed:  # labels only fall
-        near = adj.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        stepped = label.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        jump = stepped.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = cut(stepped.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
-        changed = not new.where("component <> old").isEmpty()
-        label = new.drop("old")
-    return label
+        near = pairs.join(label, "b").groupBy(F.col("a").alias("b")).agg(F.min("c").alias("near"))
+        stepped = label.join(near, "b").select("b", F.least("c", "near").alias("c"), F.col("c").alias("old"))
+        jump = stepped.select(F.col("b").alias("c"), F.col("c").alias("further"))
+        new = cut(stepped.join(jump, "c").select("b", "further", "old"))
+        changed = not new.where("further <> old").isEmpty()
+        label = new.select("b", F.col("further").alias("c"))
+    pairs.unpersist()
+    of = names.select(F.col("n").alias("c"), F.col("node").alias("component"))
+    return names.join(label.withColumnRenamed("b", "n"), "n").join(of, "c").select("node", "component")
 
 
 def _adjacency(g: pd.DataFrame) -> dict:
