@@ -57,7 +57,7 @@ PY_SOFT = frozenset({"match", "case", "type"})
 _PY = re.compile(
     r"""(?P<ws>[ \t\f]+|\\\n)|(?P<nl>\n)|(?P<com>\#[^\n]*)
     |(?P<fs>(?i:[ft]|[ft]r|r[ft])(?:\"\"\"|'''|\"|'))
-    |(?P<str>(?i:[rbu]|br|rb)?(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*'))
+    |(?P<str>(?i:[rbu]|br|rb)?(?:\"\"\"[^\"\\]*(?:(?:\\.|\"(?!\"\"))[^\"\\]*)*\"\"\"|'''[^'\\]*(?:(?:\\.|'(?!''))[^'\\]*)*'''|\"(?!\"\")[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'(?!'')[^'\\\n]*(?:\\.[^'\\\n]*)*'))
     |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?|[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?[0-9])*)(?!\.))(?![\w]))
     |(?P<id>[^\W\d]\w*)
     |(?P<op>"""
@@ -71,11 +71,11 @@ _PY_INDENT = re.compile(r"[ \t\f]*")
 _PY_KINDS = {w: w for w in PY_KEYWORDS | PY_SOFT}
 #: What a string that is not raw may hold; looked at only where one of these escapes is.
 _PY_ESCAPES = re.compile(r"\\[xuUN]")
-_PY_TEXT = re.compile(r"(?:[^\\]|\\(?:[^xuUN]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}|N\{[^{}]+\}))*", re.S)
-_PY_BYTES = re.compile(r"(?:[^\\]|\\(?:[^x]|x[0-9a-fA-F]{2}))*", re.S)
+_PY_TEXT = re.compile(r"[^\\]*(?:\\(?:[^xuUN]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}|N\{[^{}]+\})[^\\]*)*", re.S)
+_PY_BYTES = re.compile(r"[^\\]*(?:\\(?:[^x]|x[0-9a-fA-F]{2})[^\\]*)*", re.S)
 #: Text of a string with fields up to the next field or the end: by quote.
-_PY_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\(?:N\{{[^{{}}]+\}}|[^{{}}])|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
-_PY_RAW_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\[^{{}}]|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
+_PY_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]+|\\(?:N\{{[^{{}}]+\}}|[^{{}}])|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
+_PY_RAW_PARTS = {q: re.compile(rf"(?:[^\\{{}}{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]+|\\[^{{}}]|\\(?=[{{}}])|\{{\{{|\}}\}}" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")*", re.S) for q in ('"""', "\'\'\'", '"', "'")}
 #: The same in a format after a colon, where doubled braces are fields.
 _PY_FORMATS = {q: re.compile(rf"[^{{}}{q[0]}\n]*" if len(q) == 1 else rf"(?:[^{{}}{q[0]}]|{q[0]}(?!{q[0] * 2}))*") for q in ('"""', "\'\'\'", '"', "'")}
 
@@ -374,7 +374,7 @@ JS_SOFT = frozenset(
 JS_OPS = "... => === !== **= <<= &&= ||= ??= == != <= >= && || ?? ++ -- += -= *= /= %= &= |= ^= << ** + - * / % & | ^ ! ~ < = ? : , . ; ( ) [ ] { } @"
 _JS = re.compile(
     r"""(?P<ws>[ \t\f\v ﻿ -   　]+)|(?P<nl>[\n  ])|(?P<com>//[^\n  ]*|/\*.*?\*/)
-    |(?P<str>\"(?:[^\"\\\n]|\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9])))*\"|'(?:[^'\\\n]|\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9])))*')
+    |(?P<str>\"[^\"\\\n]*(?:\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9]))[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\(?:[^xu0-9]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?![0-9]))[^'\\\n]*)*')
     |(?P<num>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?[0-9])*)n|(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)(?![\w$]))
     |(?P<id>\#?(?:[^\W\d]|\$)[\w$‌‍]*)
     |(?P<gt>>=?)|(?P<opt>\?\.(?![0-9]))
@@ -384,7 +384,7 @@ _JS = re.compile(
     re.X | re.S,
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
-_JS_TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_JS_TPL = re.compile(r"[^`\\$]*(?:(?:\\.|\$(?!\{))[^`\\$]*)*", re.S)
 _JS_BEFORE_DIVISION = frozenset({"NAME", "NUM", "STR", "REGEX", "TSTR", "TTAIL", ")", "]", "}", "this", "super", "null", "true", "false", "PRIV", "++", "--"}) | JS_SOFT
 
 
@@ -568,7 +568,7 @@ JAVA_SOFT = frozenset("record sealed permits yield non open module".split())
 JAVA_OPS = "... -> :: == != <= >= && || ++ -- += -= *= /= %= &= |= ^= <<= << + - * / % & | ^ ! ~ < = ? : , . ; ( ) [ ] { } @"
 _JAVA = re.compile(
     r"""(?P<ws>[ \t\f]+)|(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)
-    |(?P<str>\"\"\"[ \t\f]*\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n]|\\(?:[btnfrs\"'\\0-7]|u+[0-9a-fA-F]{4}))*\"|\"\"(?!\"))
+    |(?P<str>\"\"\"[ \t\f]*\n[^\"\\]*(?:(?:\\.|\"(?!\"\"))[^\"\\]*)*\"\"\"|\"(?!\"\")[^\"\\\n]*(?:\\(?:[btnfrs\"'\\0-7]|u+[0-9a-fA-F]{4})[^\"\\\n]*)*\"|\"\"(?!\"))
     |(?P<chr>'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))')
     |(?P<num>(?:0[xX](?:[0-9a-fA-F](?:_*[0-9a-fA-F])*\.?[0-9a-fA-F]*(?:[pP][+-]?[0-9]+[fFdD]?)?|\.[0-9a-fA-F]+[pP][+-]?[0-9]+[fFdD]?)|0[bB][01](?:_*[01])*|(?:[0-9](?:_*[0-9])*\.(?:[0-9](?:_*[0-9])*)?|\.[0-9](?:_*[0-9])*)(?:[eE][+-]?[0-9](?:_*[0-9])*)?[fFdD]?|[0-9](?:_*[0-9])*(?:[eE][+-]?[0-9](?:_*[0-9])*[fFdD]?|[fFdD])|0(?:_*[0-7])*|[1-9](?:_*[0-9])*)[lL]?(?![\w$]))
     |(?P<id>(?:[^\W\d]|\$)[\w$]*)
@@ -662,7 +662,7 @@ GO_RESERVED = frozenset(
 GO_OPS = "<<= >>= &^= &^ ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> + - * / % & | ^ ~ ! < > = : , . ; ( ) [ ] { }"
 _GO = re.compile(
     r"""(?P<ws>[ \t]+)|(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)
-    |(?P<str>\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}))*\"|`[^`]*`)
+    |(?P<str>\"[^\"\\\n]*(?:\\(?:[abfnrtv\\\"]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3})[^\"\\\n]*)*\"|`[^`]*`)
     |(?P<chr>'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[abfnrtv\\']))')
     |(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9]+)?|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*|(?=i))|0(?:_?[0-7])*|[1-9](?:_?[0-9])*)i?(?![\w]))
     |(?P<id>[^\W\d]\w*)
