@@ -19,6 +19,9 @@ that program over token numbers:
 from __future__ import annotations
 
 import re
+from array import array
+
+from xxhash import xxh3_128_intdigest
 
 MATCH, CALL, FORK, JUMP, TEST, END, ISLAND = range(7)
 EOF = "EOF"
@@ -185,31 +188,20 @@ class Grammar:
         self.args = [x for _, x in self.code]
 
 
-#: Fingerprints of token runs: polynomials in BASE modulo a Mersenne prime.
-_PRIME = (1 << 127) - 1
-_BASE = 0x6C0B_93D1_57E4_2F1B_8A6D_35C9_E07F_4B25
-_powers = [1]
-
-
 class Tokens:
     """Token numbers of one text; ``nl[i]``: a line end stands before token i.
 
-    ``fingerprint(i, j)`` is 127 bits of the kinds and line ends of tokens i to j - 1,
+    ``fingerprint(i, j)`` is 128 bits of the kinds and line ends of tokens i to j - 1,
     under which their verdicts are kept: an entry of the memo has one size, however
-    long the run is.
+    long the run is.  ``notes`` is where tests keep what they found.
     """
 
-    __slots__ = ("kinds", "nl", "sums", "match", "_opening")
+    __slots__ = ("kinds", "nl", "match", "notes", "_opening", "_coded")
 
     def __init__(self, kinds: list[int], nl: list[bool], opens: dict[int, int]):
         self.kinds, self.nl = kinds, nl
-        h, sums = 0, [0]
-        for k, b in zip(kinds, nl):
-            h = (h * _BASE + k + 1024 * b + 1) % _PRIME
-            sums.append(h)
-        self.sums = sums
-        while len(_powers) <= len(kinds):
-            _powers.append(_powers[-1] * _BASE % _PRIME)
+        self._coded = memoryview(array("H", [2 * k + b for k, b in zip(kinds, nl)])).cast("B")
+        self.notes: dict = {}
         self._opening: dict[int, int] | None = None
         self.match: dict[int, int] = {}
         stack: list[tuple[int, int]] = []
@@ -229,7 +221,7 @@ class Tokens:
         return self._opening.get(i)
 
     def fingerprint(self, i: int, j: int) -> int:
-        return (self.sums[j] - self.sums[i] * _powers[j - i]) % _PRIME
+        return xxh3_128_intdigest(self._coded[2 * i : 2 * j])
 
 
 #: Entries of the memo, of about 200 bytes each.
@@ -246,7 +238,7 @@ def _keep(key: tuple, verdict: bool) -> bool:
 
 def accepts(g: Grammar, t: Tokens, starts: list[str]) -> bool:
     """Whether one of the start symbols derives all tokens (the last is EOF)."""
-    k = (id(g), *starts, len(t.kinds), t.sums[-1])
+    k = (id(g), *starts, len(t.kinds), t.fingerprint(0, len(t.kinds)))
     if (got := _memo.get(k)) is None:
         try:
             got = _run(g, t, [g.nts[s] for s in starts], 0, len(t.kinds), True)

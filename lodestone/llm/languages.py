@@ -515,8 +515,7 @@ Field = PropName <<ts ('?' | '!')? TypeAnn?>> ('=' Assign)? Semi
 Expr = Assign (',' Assign)*
 Assign = Cond | Postfix %PLACE ($Asg | GTA '>=' | GTA GTA '>=') Assign <<ts | '<' Type (GT | GTA) Postfix %PLACE $Asg Assign>> | Arrow | 'yield' (%NONL '*'? Assign)?
 Arrow = ('async' %NONL)? ($Id | <<ts TypeParams?>> Params <<ts RetType?>>) %NONL '=>' (%NOTBRACE Assign | Body)
-Cond = Chain (($Log Chain)* | ('??' Chain)+) ('?' Assign ':' Assign)?
-Chain = Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)*
+Cond = Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)* (($Log Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)*)* | ('??' Operand (BinOp Operand <<ts | %NONL ('as' | 'satisfies') (Type | 'const')>>)*)+) ('?' Assign ':' Assign)?
 BinOp = $Bin | GTA GT | GTA GTA GT
 Operand = $Pre* (Postfix (%NONL %PLACE ('++' | '--'))? | ('++' | '--') Postfix %PLACE) | PRIV <<ts | '<' Type (GT | GTA) Operand>>
 Postfix = Primary Suffix*
@@ -840,14 +839,18 @@ def _python_tests(tid) -> dict:
     equal, colon, function = tid("="), tid(":"), tid("lambda")
 
     def signs_of(t: Tokens, i: int) -> tuple[bool, bool]:
-        kinds, match, assigns, plain = t.kinds, t.match, False, True
+        if (got := t.notes.get(i)) is not None:
+            return got
+        at, kinds, match, assigns, plain = i, t.kinds, t.match, False, True
         while i < len(kinds) and (k := kinds[i]) not in end:
             if k in signs:
                 assigns = True
                 plain = plain and k == colon
             elif k == function:  # its colon and defaults are its own
-                return True, True
+                assigns = plain = True
+                break
             i = match.get(i, i) + 1
+        t.notes[at] = assigns, plain
         return assigns, plain
 
     return {"EQ": lambda t, i: signs_of(t, i)[0], "PLAIN": lambda t, i: signs_of(t, i)[1]}
