@@ -956,4 +956,4 @@ def l1_prompts(t):
 @query("SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def extension_stream_windows(t):
     e = t("events")
-    return windows.run_once(e.sparkSession, e.inputFiles(), e.schema, windows.hourly_counts, "days").withColumn("value", F.round("value", 4))
+    return windows.run_once(e.sparkSession, e.inputFiles(), e.schema, windows.window_counts, "days").withColumn("value", F.round("value", 4))
