@@ -788,13 +788,16 @@ def _place_test(tid, never: str, unless_member: str):
     """Whether what ends before token i may be assigned to: a name, a member, a bracketed
     place or a pattern, but no call and no literal."""
     get = lambda words: frozenset(map(tid, words.split()))
-    never_, literal, members, close = get(never), get(unless_member), get("."), tid(")")
+    never_, literal, members, close, heads = get(never), get(unless_member), get("."), tid(")"), get("if while for")
     operand, optional = get(never + " " + unless_member + " NAME PRIV ) ] } GT GTA ! " + " ".join(sorted(JS_SOFT | JAVA_SOFT))), tid("?.")
 
     def place(t: Tokens, i: int) -> bool:
         k = t.kinds[i - 1]
         if k == close:
             at = t.opening(i - 1)
+            if at and t.kinds[at - 1] == close:  # behind the head of a statement no call begins
+                head = t.opening(at - 1)
+                return bool(head) and t.kinds[head - 1] in heads
             return at is not None and (at == 0 or t.kinds[at - 1] not in operand)
         if k in never_:
             return False

@@ -120,6 +120,8 @@ INVALID = {
     'javascript': [
         '1 = x;',
         'f() = 1',
+        'if (x) f(y) = 1',
+        'g(x)(y) = 1',
         'a ?? b || c',
         'x = "\\x1"',
         'this = 1',
@@ -214,6 +216,8 @@ VALID = {
         '`${a}` + f`x`',
         'if (a) b = 1; else c = 2',
         'a.this = 1',
+        'while (x) (y) = 1',
+        'if (f(x)) (y).z++; else (w) = 2',
     ],
     'typescript': [
         'a! = 1',

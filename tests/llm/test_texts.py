@@ -302,7 +302,7 @@ def body(k, n=30):
 
 def origin_tables(spark, rows):
     """rows: node, repository, path, text, day"""
-    files = spark.createDataFrame([(n, r, p, dt.datetime(2025, 1, d), "z") for n, r, p, _, d in rows] * 2, "node_id string, repository_name string, file_path string, created_at timestamp, reason string")
+    files = spark.createDataFrame([(n, r, p, d and dt.datetime(2025, 1, d), "z") for n, r, p, _, d in rows] * 2, "node_id string, repository_name string, file_path string, created_at timestamp, reason string")
     return files, spark.createDataFrame([(n, t, "z") for n, _, _, t, _ in rows], "node_id string, content string, lines string")
 
 
@@ -313,12 +313,12 @@ def test_origins(spark):
         ("orig", "lib_x", "src/a.py", own, 9), ("copy", "app", "pkg/lib_x/src/b.py", edited, 1), ("hand", "app", "src/integrations/lib_x/c.py", body(2), 1), ("gen", "app", "generated-sources/d.py", body(3), 1),
         ("mark", "app", "src/e.py", "# Code generated by tool. DO NOT EDIT.\n" + body(4), 1), ("says", "app", "src/f.py", "x = 1\n# Skips generated inputs\n" + body(5), 1), ("vend", "app", "src/vendor/g.py", body(6), 1),
         ("node", "app", "node_modules/q/h.js", "let a = 1\n", 1), ("data", "app", "src/i.py", "x = [" + ", ".join(str(i * 7919) for i in range(200)) + "]\n", 1), ("null", None, "src/j.py", body(7), 1), ("none", "app", "src/k.py", "", 1), ("gone", "app", "src/l.py", None, 1),
-        ("same", "other", "src/m.py", own, 1), ("empty", "app", "vendor/lib_x/n.py", " \r\n", 1),
+        ("same", "other", "src/m.py", own, 1), ("empty", "app", "vendor/lib_x/n.py", " \r\n", 1), ("never", "app", "src/o.py", body(8), None),
     ]
     files, texts = origin_tables(spark, rows)
     got = {r.node_id: r.reason for r in handwritten.file_origins(files, texts).collect()}
     # `same` was there before `orig`, whose repository `copy` names: it is the first, orig the copy of it
-    assert got == {"orig": "taken over", "copy": "taken over", "hand": None, "gen": "generated", "mark": "generated", "says": None, "vend": None, "node": "taken over", "data": "data", "null": None, "none": None, "same": None, "empty": None}
+    assert got == {"orig": "taken over", "copy": "taken over", "hand": None, "gen": "generated", "mark": "generated", "says": None, "vend": None, "node": "taken over", "data": "data", "null": None, "none": None, "same": None, "empty": None, "never": None}
     assert handwritten.not_handwritten(files.where("false"), texts).collect() == []
 
 
