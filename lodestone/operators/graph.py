@@ -114,6 +114,14 @@ def components(edges: DataFrame) -> DataFrame:
     if adj.isEmpty():
         return adj.select("node", F.col("other").alias("component"))
     names, pairs = _numbered(adj)
+    label = _labels(names, pairs)
+    pairs.unpersist()
+    of = names.select(F.col("n").alias("c"), F.col("node").alias("component"))
+    return names.join(label.withColumnRenamed("b", "n"), "n").join(of, "c").select("node", "component")
+
+
+def _labels(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """b, c: the least number that each can reach."""
     label = cut(names.select(F.col("n").alias("b"), F.col("n").alias("c")))
     changed = True
     while changed:  # labels only fall
@@ -123,9 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = cut(stepped.join(jump, "c").select("b", "further", "old"))
         changed = not new.where("further <> old").isEmpty()
         label = new.select("b", F.col("further").alias("c"))
-    pairs.unpersist()
-    of = names.select(F.col("n").alias("c"), F.col("node").alias("component"))
-    return names.join(label.withColumnRenamed("b", "n"), "n").join(of, "c").select("node", "component")
+    return label
 
 
 def _adjacency(g: pd.DataFrame) -> dict:
@@ -171,23 +177,33 @@ def _cut_nodes(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "is_articulation_point": [n in points for n in nodes]})
 
 
-def _by_size(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame | None]:
-    """Neighbours with their component: those of the components that fit one task, and
-    those of the others (null if there are none)."""
-    adj = cut(neighbours(edges).join(components(edges), "node"))
-    large = cut(adj.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges).select("component"))
+def _by_size(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame, DataFrame | None] | None:
+    """Names of the nodes by number (in their order), and neighbours with their component
+    in numbers: those of the components that fit one task, and those of the others (null
+    if there are none).  Null without edges."""
+    adj = cut(neighbours(edges))
+    if adj.isEmpty():
+        return None
+    names, pairs = _numbered(adj)
+    rows = cut(pairs.join(_labels(names, pairs), "b").select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("c").alias("component")))
+    pairs.unpersist()
+    large = cut(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges).select("component"))
     if large.isEmpty():
-        return adj, None
-    return adj.join(large, "component", "left_anti"), adj.join(large, "component", "left_semi").where("node <> other")
+        return names, rows, None
+    return names, rows.join(large, "component", "left_anti"), rows.join(large, "component", "left_semi").where("node <> other")
 
 
 def articulation_points(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, is_articulation_point: whether the graph falls apart without the node.
     Components of up to ``local_edges`` edges are searched in parallel, each by one
     depth-first search in one task, larger ones by all tasks; both are exact."""
-    small, large = _by_size(edges, local_edges)
-    found = small.groupBy("component").applyInPandas(_cut_nodes, "node string, is_articulation_point boolean")
-    return found if large is None else found.unionByName(_cut_nodes_by_rounds(large))
+    parts = _by_size(edges, local_edges)
+    if parts is None:
+        return clean(edges).select(F.col("source").alias("node"), F.lit(False).alias("is_articulation_point"))
+    names, small, large = parts
+    found = small.groupBy("component").applyInPandas(_cut_nodes, "node bigint, is_articulation_point boolean")
+    found = found if large is None else found.unionByName(_cut_nodes_by_rounds(large))
+    return names.join(found.withColumnRenamed("node", "n"), "n").select("node", "is_articulation_point")
 
 
 def _cut_nodes_by_rounds(adj: DataFrame) -> DataFrame:
@@ -208,7 +224,7 @@ def _cut_nodes_by_rounds(adj: DataFrame) -> DataFrame:
     ends = adj.where("node < other").select("node", "other")
     ends = ends.join(tree.select("node", F.col("path").alias("a")), "node").join(tree.select(F.col("node").alias("other"), F.col("path").alias("b")), "other")
     up = lambda c: F.get(c, F.size(c) - 2)
-    ends = ends.where(~(F.coalesce(up(F.col("a")), F.lit("")) == F.col("other")) & ~(F.coalesce(up(F.col("b")), F.lit("")) == F.col("node")))
+    ends = ends.where(~(F.coalesce(up(F.col("a")), F.lit(-1)) == F.col("other")) & ~(F.coalesce(up(F.col("b")), F.lit(-1)) == F.col("node")))
     common = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
     ends = ends.withColumn("common", common)
     below = lambda c: F.slice(c, F.col("common") + 1, F.greatest(F.size(c) - F.col("common"), F.lit(0)))
@@ -285,9 +301,14 @@ def communities(edges: DataFrame, resolution: float = 1.0, local_edges: int = LO
     nodes in the order of the ids, lowest community on ties; in larger ones all nodes
     move at once, round by round (_communities_by_rounds).  No community reaches across
     components."""
-    small, large = _by_size(edges, local_edges)
-    found = small.groupBy("component").applyInPandas(_louvain(resolution), "node string, community string")
-    return found if large is None else found.unionByName(_communities_by_rounds(large, resolution))
+    parts = _by_size(edges, local_edges)
+    if parts is None:
+        return clean(edges).select(F.col("source").alias("node"), F.col("target").alias("community"))
+    names, small, large = parts
+    found = small.groupBy("component").applyInPandas(_louvain(resolution), "node bigint, community bigint")
+    found = found if large is None else found.unionByName(_communities_by_rounds(large, resolution))
+    of = names.select(F.col("n").alias("c"), F.col("node").alias("community"))
+    return names.join(found.select(F.col("node").alias("n"), F.col("community").alias("c")), "n").join(of, "c").select("node", "community")
 
 
 def _modularity(weights: DataFrame, degree: DataFrame, home: DataFrame, total: float, resolution: float) -> float:
