@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ CUT_EVERY = 4
 #: Edges (both directions counted) up to which a component is searched by one task; a
 #: larger one is searched by all.
 LOCAL_EDGES = 500_000
+#: The same for ranks and cores, which one task finds in arrays of numbers.
+LOCAL_PAIRS = 2_000_000
 
 
 def active_edges(edges: DataFrame, nodes: DataFrame, repository: str | None = None) -> DataFrame:
@@ -52,47 +55,170 @@ def _numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
     and no pairs.  A partition that is lost is read again from the checkpoint."""
     names = cut(numbered(adj.select("node").distinct(), [F.col("node").asc()], "n"))
     pairs = adj.join(names.withColumnRenamed("n", "a"), "node").join(names.select(F.col("node").alias("other"), F.col("n").alias("b")), "other").select("a", "b")
-    pairs = cut(pairs)
-    spark = adj.sparkSession
-    return names, pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), width(spark, 1, adj)), "b").persist(StorageLevel.MEMORY_AND_DISK)
+    return names, _kept(cut(pairs))
+
+
+def _pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names of the nodes by number (node, n), in the order of the names, and the pairs of
+    the undirected simple graph in numbers (a, b), both directions, with ``way``: 1 if
+    there is an edge from a to b, 2 if from b to a, 3 if both.  Only numbers are made
+    distinct, names are moved once."""
+    e = cut(edges.where("source is not null and target is not null").select("source", "target"))
+    names = cut(numbered(e.select(F.explode(F.array("source", "target")).alias("node")).distinct(), [F.col("node").asc()], "n"))
+    at = lambda end, n: names.select(F.col("node").alias(end), F.col("n").alias(n))
+    one = e.join(at("source", "s"), "source").join(at("target", "t"), "target").select("s", "t")
+    ways = F.array(F.struct(F.col("s").alias("a"), F.col("t").alias("b"), F.lit(1).alias("way")), F.struct(F.col("t").alias("a"), F.col("s").alias("b"), F.lit(2).alias("way")))
+    pairs = one.select(F.explode(ways).alias("p")).select("p.*").groupBy("a", "b").agg(F.bit_or("way").alias("way"))
+    return names, cut(pairs)
+
+
+def _bins(names: DataFrame, pairs: DataFrame, local_pairs: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs of whole components with a bin, of which each fits one task, and the pairs
+    of the components that are larger than that (null if there are none)."""
+    count = pairs.count()
+    if count <= local_pairs:
+        return pairs.withColumn("bin", F.lit(0)), None
+    kept = _kept(pairs.select("a", "b"))
+    label = _labels(names, kept)
+    kept.unpersist()
+    rows = cut(pairs.join(label, "b"))
+    large = cut(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_pairs).select("c"))
+    binned = rows.withColumn("bin", F.pmod(F.hash("c"), F.lit(-(-4 * count // max(local_pairs, 1)))))
+    if large.isEmpty():
+        return binned.drop("c"), None
+    return binned.join(large, "c", "left_anti").drop("c"), rows.join(large, "c", "left_semi").drop("c")
+
+
+def _kept(pairs: DataFrame) -> DataFrame:
+    """The pairs partitioned by b and kept."""
+    spark = pairs.sparkSession
+    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), width(spark, 1, pairs)), "b").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _cores(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Core numbers of the nodes 0 to n - 1 by peeling; pairs without loops, in the order
+    of a.  A node's pairs are looked at once, when it goes."""
+    degree = np.bincount(a, minlength=n)
+    start = np.cumsum(degree) - degree
+    now, core, gone = degree.copy(), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    left, k = np.arange(n), 0
+    while len(left):
+        k = max(k, int(now[left].min()))
+        front = left[now[left] <= k]
+        while len(front):
+            core[front], gone[front] = k, True
+            many = degree[front]
+            near = b[np.repeat(start[front] + many - np.cumsum(many), many) + np.arange(many.sum())]
+            near = near[~gone[near]]
+            np.subtract.at(now, near, 1)
+            near = np.unique(near)
+            front = near[now[near] <= k]
+        left = left[~gone[left]]
+    return core
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, n: int, every: int, damping: float, max_iter: int, tol: float) -> np.ndarray:
+    """Ranks of the nodes 0 to n - 1, a part of a graph of ``every`` nodes that no edge
+    leaves; it may change by its share of tol."""
+    degree = np.bincount(a, minlength=n)
+    rank = np.full(n, 1.0 / every)
+    for _ in range(max_iter):
+        new = (1 - damping) / every + damping * np.bincount(a, weights=(rank / degree)[b], minlength=n)
+        moved, rank = np.abs(new - rank).sum(), new
+        if moved < tol * n / every:
+            break
+    return rank
+
+
+def _in_arrays(wanted: dict[str, dict], every: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, a = np.unique(g["a"].to_numpy(), return_inverse=True)
+        b = np.searchsorted(ids, g["b"].to_numpy())
+        order = np.argsort(a * len(ids) + b)  # sums are the same in every run
+        a, b, way = a[order], b[order], g["way"].to_numpy()[order]
+        out = {"n": ids}
+        for name, given in wanted.items():
+            if name == "degree":
+                out["in_degree"] = np.bincount(a[way & 2 > 0], minlength=len(ids))
+                out["out_degree"] = np.bincount(a[way & 1 > 0], minlength=len(ids))
+            elif name == "kcore":
+                out["core"] = _cores(a[a != b], b[a != b], len(ids))
+            else:
+                out["pagerank"] = _ranks(a, b, len(ids), every, **RANKS | given)
+        return pd.DataFrame(out)
+
+    return run
+
+
+#: Columns of the metrics that _measured finds, and what pagerank takes if nothing is given.
+MEASURED = {"degree": {"in_degree": "bigint", "out_degree": "bigint"}, "kcore": {"core": "bigint"}, "pagerank": {"pagerank": "double"}}
+RANKS = {"damping": 0.85, "max_iter": 100, "tol": 1e-6}
+
+
+def _measured(edges: DataFrame, wanted: dict[str, dict], local_pairs: int = LOCAL_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Names (node, n), and by n the columns of the wanted metrics (of MEASURED, with what
+    is given for each).  No edge leaves a component, so components are measured apart:
+    those that fit one task in arrays, several in one task, larger ones by all tasks,
+    round by round."""
+    names, pairs = _pairs(edges)
+    every = names.count()
+    bins, large = _bins(names, pairs, local_pairs)
+    columns = {c: kind for name in wanted for c, kind in MEASURED[name].items()}
+    found = bins.groupBy("bin").applyInPandas(_in_arrays(wanted, every), ", ".join(f"{c} {kind}" for c, kind in ({"n": "bigint"} | columns).items()))
+    if large is not None:
+        kept = _kept(large)
+        out = cut(kept.select(F.col("b").alias("n")).distinct())
+        for name, given in wanted.items():
+            if name == "degree":
+                more = large.groupBy("a").agg(F.sum((F.col("way").bitwiseAND(2) > 0).cast("bigint")).alias("in_degree"), F.sum((F.col("way").bitwiseAND(1) > 0).cast("bigint")).alias("out_degree"))
+            elif name == "kcore":
+                more = _cores_by_rounds(kept.where("a <> b"))
+            else:
+                more = _ranks_by_rounds(kept, out.count(), every, **RANKS | given)
+            out = out.join(more.withColumnRenamed(more.columns[0], "n"), "n", "left")
+        found = found.unionByName(cut(out.fillna(0)).select("n", *columns))  # of a loop only, no core
+        kept.unpersist()
+    return names, found
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """node, pagerank over the undirected simple graph; ends after max_iter rounds or
     when the ranks change by less than tol in all.  Every node has a neighbour, so no
     rank is lost."""
-    adj = cut(neighbours(edges))
-    if adj.isEmpty():
-        return adj.select("node", F.lit(0.0).alias("pagerank"))
-    names, pairs = _numbered(adj)
+    names, found = _measured(edges, {"pagerank": {"damping": damping, "max_iter": max_iter, "tol": tol}}, local_pairs)
+    return names.join(found, "n").select("node", "pagerank")
+
+
+def _ranks_by_rounds(pairs: DataFrame, n: int, every: int, damping: float, max_iter: int, tol: float) -> DataFrame:
+    """b, pagerank of a part of n of the graph's nodes, as ``_ranks``, whether it has
+    ended asked every CUT_EVERY rounds."""
     degree = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("deg")))
-    n = names.count()
-    ranks = degree.select("b", "deg", F.lit(1.0 / n).alias("rank"))
+    ranks = degree.select("b", "deg", F.lit(1.0 / every).alias("rank"))
     for k in range(max_iter):
         sent = pairs.join(ranks.select("b", (F.col("rank") / F.col("deg")).alias("share")), "b").groupBy("a").agg(F.sum("share").alias("got"))
-        new = sent.withColumnRenamed("a", "b").join(degree, "b").select("b", "deg", (F.lit((1 - damping) / n) + damping * F.col("got")).alias("rank"))
+        new = sent.withColumnRenamed("a", "b").join(degree, "b").select("b", "deg", (F.lit((1 - damping) / every) + damping * F.col("got")).alias("rank"))
         if (k + 1) % CUT_EVERY == 0 or k + 1 == max_iter:
             new = cut(new)
             if tol > 0 and k + 1 < max_iter:
                 moved = new.join(ranks.select("b", F.col("rank").alias("old")), "b").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved < tol:
+                if moved < tol * n / every:
                     ranks = new
                     break
         ranks = new
-    pairs.unpersist()
-    return names.join(ranks.withColumnRenamed("b", "n"), "n").select("node", F.col("rank").alias("pagerank"))
+    return ranks.select("b", F.col("rank").alias("pagerank"))
 
 
-def kcore(edges: DataFrame) -> DataFrame:
+def kcore(edges: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """node, core: the largest k such that the node is in a subgraph of minimum degree
-    k, loops aside.  Each node takes the H-index of its neighbours' values, from its
-    degree on, until nothing changes.  Neighbours are counted by value, so a hub sends
-    one row per distinct value into its window, not one per neighbour."""
-    adj = cut(neighbours(edges, loops=False))
-    lone = clean(edges).where("source = target").select(F.col("source").alias("node")).join(adj.select("node"), "node", "left_anti").withColumn("core", F.lit(0).cast("bigint"))
-    if adj.isEmpty():
-        return lone
-    names, pairs = _numbered(adj)
+    k, loops aside."""
+    names, found = _measured(edges, {"kcore": {}}, local_pairs)
+    return names.join(found, "n").select("node", "core")
+
+
+def _cores_by_rounds(pairs: DataFrame) -> DataFrame:
+    """b, core.  Each node takes the H-index of its neighbours' values, from its degree
+    on, until nothing changes.  Neighbours are counted by value, so a hub sends one row
+    per distinct value into its window, not one per neighbour."""
     value = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("core")))
     down = Window.partitionBy("a").orderBy(F.col("core").desc()).rowsBetween(Window.unboundedPreceding, 0)
     changed = True
@@ -103,8 +229,7 @@ def kcore(edges: DataFrame) -> DataFrame:
             value = counts.withColumn("m", F.sum("n").over(down)).groupBy(F.col("a").alias("b")).agg(F.max(F.least("core", "m")).alias("core"))
         value = cut(value)
         changed = not value.join(before.withColumnRenamed("core", "old"), "b").where("core <> old").isEmpty()
-    pairs.unpersist()
-    return names.join(value.withColumnRenamed("b", "n"), "n").select("node", "core").unionByName(lone)
+    return value
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -382,23 +507,27 @@ METRICS = {
 }
 
 
-def enriched(edges: DataFrame, algorithms: list[str], params: dict | None = None, percentiles: bool = False) -> DataFrame:
+def enriched(edges: DataFrame, algorithms: list[str], params: dict | None = None, percentiles: bool = False, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """One row per node with the columns of the named algorithms, and percentiles of
     pagerank (ties by node) and core and degrees (ties averaged) if asked for.  An
     unknown name is an error; no edges give no rows."""
-    params = params or {}
-    out = neighbours(edges).select("node").distinct()
-    for name in algorithms:
-        given = {k: v for k, v in params.get(name, {}).items() if k != "description"}
-        out = out.join(METRICS[name](edges, given), "node", "left")
+    given = {name: {k: v for k, v in (params or {}).get(name, {}).items() if k != "description"} for name in algorithms}
+    other = {name: METRICS[name](edges, given[name]) for name in algorithms if name not in MEASURED}
+    names, out = _measured(edges, {name: given[name] for name in algorithms if name in MEASURED}, local_pairs)
+    columns = ["node"] + [c for name in given for c in (MEASURED[name] if name in MEASURED else other[name].columns[1:])]
     if percentiles:
-        out = cut(out)
+        out = cut(out)  # numbers are in the order of the names
         for c in ("core", "in_degree", "out_degree"):
             if c in out.columns:
                 out = percentiles_by_mean_rank(out, c, f"{c}_percentile")
+                columns = [c] + [x for x in columns if x != c] + [f"{c}_percentile"]
         if "pagerank" in out.columns:
-            out = percentiles_by_place(out, "pagerank", "node", "pagerank_percentile")
-    return out
+            out = percentiles_by_place(out, "pagerank", "n", "pagerank_percentile")
+            columns.append("pagerank_percentile")
+    out = names.join(out, "n").drop("n")
+    for found in other.values():
+        out = out.join(found, "node", "left")
+    return out.select(*columns)
 
 
 def graph_facts(edges: DataFrame) -> DataFrame:

@@ -107,6 +107,31 @@ def test_nulls_repeats_and_no_edges(spark):
     assert graph.enriched(none, ["degree", "pagerank"], percentiles=True).collect() == []
 
 
+@pytest.mark.parametrize("local", [10**6, 40, 0])
+def test_enriched_is_the_same_whatever_one_task_takes(spark, local):
+    pairs = random_pairs(4, 30, 60) + [("x1", "x2"), ("x2", "x1"), ("x2", "x3"), ("x4", "x4"), ("y1", "y2")]
+    both = {(str(a), str(b)) for a, b in pairs}
+    adj = {}
+    for a, b in both:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    rank = dict.fromkeys(adj, 1 / len(adj))
+    for _ in range(300):
+        rank = {v: 0.15 / len(adj) + 0.85 * sum(rank[w] / len(adj[w]) for w in adj[v]) for v in adj}
+    core = {r.node: r.core for r in graph.kcore(edges(spark, pairs)).collect()}
+    rows = graph.enriched(edges(spark, pairs), ["degree", "kcore", "pagerank"], percentiles=True, local_pairs=local).collect()
+    assert {r.node: (r.in_degree, r.out_degree, r.core) for r in rows} == {v: (sum(b == v for _, b in both), sum(a == v for a, _ in both), core[v]) for v in adj} and core["x4"] == 0
+    assert sum(abs(r.pagerank - rank[r.node]) for r in rows) < 1e-5
+    assert [r.pagerank_percentile for r in sorted(rows, key=lambda r: (r.pagerank, r.node))] == [round(100 * i / (len(rows) - 1), 2) for i in range(len(rows))]
+
+
+def test_ranks_and_cores_of_a_graph_that_fits_one_task_take_no_rounds(spark):
+    """Rounds of joins took up to 25 jobs for ranks alone."""
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    graph.enriched(edges(spark, [(i, i + 1) for i in range(40)]), ["degree", "kcore", "pagerank"]).collect()
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before < 30
+
+
 @pytest.mark.parametrize("name", ["g2_pagerank_converged", "g6_enriched"])
 def test_registered_ranks_have_converged(spark, data, name):
     adj = {}
