@@ -51,8 +51,9 @@ HINTED_CONTAINED = 0.6
 #: Characters below which a text says nothing of its origin unless its path names it,
 #: and below which it does not even in a folder of other people's code.
 TELLING_CHARS, HINTED_CHARS = 300, 100
-#: Different texts with a line up to which all of them are compared one by one.
-HOT_LINE = 200
+#: Different texts with a line up to which all of them are compared at once; of more,
+#: so many at first, the earliest, and then so many times as many from round to round.
+HOT_LINE, FIRST_HOLDERS, MORE_HOLDERS = 200, 16, 4
 
 
 # ---------------------------------------------------------------- what the tokens are
@@ -166,10 +167,12 @@ def line_table(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def containment(forms: DataFrame, hot_line: int = HOT_LINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From forms (form, weight, share, lines): pairs (form, other, share of the form's
-    weight that stands in the other), exact for every pair that reaches the form's
-    ``share``; the lines that several forms have (form, h, w, n); and the forms some of
-    whose rarest lines more than ``hot_line`` forms have.
+    """From forms (form, weight, share, lines; those of no share are only looked for as
+    others): pairs (form, other, share of the form's weight that stands in the other),
+    exact for every pair that reaches the form's ``share`` and has one of the form's
+    rarest lines that at most ``hot_line`` forms have; the lines that several forms have
+    (form, h, w, n); and the form and line (form, h) of the rarest lines that more forms
+    have, for ``_held_by_any``.
 
     An inverted index of the lines gives the number of forms per line.  A line that one
     form has stands nowhere else, so only forms whose other lines weigh enough go on.
@@ -189,9 +192,48 @@ def containment(forms: DataFrame, hot_line: int = HOT_LINE) -> tuple[DataFrame,
     ordered = shared.join(some, "form").withColumn("before", F.coalesce(before, F.lit(0)))
     rarest = cut(ordered.where("weight - held + before <= (1 - share) * weight + 0.001").select("form", "h", "n"))
     asked = rarest.where(F.col("n") <= hot_line).select("form", "h").join(shared.where(F.col("n") <= hot_line).select(F.col("form").alias("other"), "h"), "h").where("form <> other").select("form", "other").distinct()
-    both = asked.join(shared.select("form", "h", "w"), "form").join(shared.select(F.col("form").alias("other"), "h"), ["other", "h"])
-    pairs = both.groupBy("form", "other").agg(F.sum("w").alias("k")).join(some, "form").where("k >= share * weight").select("form", "other", (F.col("k") / F.col("weight")).alias("contained"))
-    return cut(pairs), shared, rarest.where(F.col("n") > hot_line).select("form").distinct()
+    pairs = _counted(asked, shared).join(some, "form").where("k >= share * weight").select("form", "other", (F.col("k") / F.col("weight")).alias("contained"))
+    return cut(pairs), shared, rarest.where(F.col("n") > hot_line).select("form", "h")
+
+
+def _counted(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """form, other, k: what the form weighs that stands in the other."""
+    both = pairs.join(shared.select("form", "h", "w"), "form").join(shared.select(F.col("form").alias("other"), "h"), ["other", "h"])
+    return both.groupBy("form", "other").agg(F.sum("w").alias("k"))
+
+
+def _held_by_any(asks: DataFrame, posted: DataFrame, shared: DataFrame, timed: bool) -> DataFrame:
+    """form, key of the asks of which any text posted under the key holds ``need``.
+
+    Asks: form, key, h (each of the form's rarest lines), need, at.  Posted: key, h,
+    other, at (a text that has the line, and when which repository had it first).
+    ``timed``: only texts of other repositories that were there before the ask's ``at``
+    count; the form must be posted itself with that ``at``, beyond which nothing is
+    looked at.
+
+    The texts of a line are compared in the order of ``at``, some at first and more from
+    round to round, until one holds the form or all have been compared: exact, though
+    copies of one text, however many, seldom need more than its first holders."""
+    from pyspark.sql import Window
+
+    here = posted.join(asks.select("key", "h").distinct(), ["key", "h"], "left_semi")
+    places = cut(here.withColumn("place", F.row_number().over(Window.partitionBy("key", "h").orderBy("at", "other"))))
+    if timed:
+        last = places.select("key", "h", F.col("other").alias("form"), "at", F.col("place").alias("last"))
+        left = asks.join(last, ["key", "h", "form", "at"])
+    else:
+        left = asks.join(places.groupBy("key", "h").agg(F.max("place").alias("last")), ["key", "h"])
+    left, found, low, high = cut(left), None, 0, FIRST_HOLDERS
+    while not left.isEmpty():
+        near = left.join(places.where((F.col("place") > low) & (F.col("place") <= high)).withColumnRenamed("at", "then"), ["key", "h"]).where("form <> other and place <= last")
+        if timed:
+            near = near.where("then.repository_name <> at.repository_name and then < at")
+        near = cut(near.select("form", "key", "need", "other").distinct())
+        held = cut(near.join(_counted(near.select("form", "other").distinct(), shared), ["form", "other"]).where("k >= need").select("form", "key").distinct())
+        found = held if found is None else found.unionByName(held)
+        left = cut(left.where(F.col("last") > high).join(held, ["form", "key"], "left_anti"))
+        low, high = high, high * MORE_HOLDERS
+    return asks.select("form", "key").where("false") if found is None else found
 
 
 def _two_first(rows: DataFrame, key: str) -> DataFrame:
@@ -212,9 +254,9 @@ def taken_over(base: DataFrame, hot_line: int = HOT_LINE) -> DataFrame:
        CONTAINED of it (HINTED_CONTAINED in a folder of other people's code).  Copies
        by 1 are no such text, so that an original is no case.  A shorter file in such
        a folder, of HINTED_CHARS at least, is a copy if its whole text was there before.
-    3. Where a file's rarest lines are held by more than ``hot_line`` different texts,
-       these are not compared one by one: it is a copy if that share of it was first
-       seen in other repositories, in whatever texts.
+
+    Where more than ``hot_line`` different texts have one of a file's rarest lines, they
+    are compared from the earliest on until one is found that holds it, all if none does.
 
     Files are compared as forms (sets of lines), with their two earliest repositories,
     so a group of equal copies costs one form however large it is.
@@ -228,12 +270,23 @@ def taken_over(base: DataFrame, hot_line: int = HOT_LINE) -> DataFrame:
     forms = one.join(base.select("node_id", "lines", "weight"), "node_id").join(named_forms, "form", "left")
     lower = F.col("hinted") | F.coalesce("is_named", F.lit(False))
     forms = forms.select("form", "weight", "lines", "is_named", F.when(lower, HINTED_CONTAINED).otherwise(CONTAINED).alias("share"))
-    pairs, shared, hot = containment(forms.where((F.col("weight") >= TELLING_CHARS) | F.coalesce("is_named", F.lit(False))).drop("is_named"), hot_line)
+    asking = (F.col("weight") >= TELLING_CHARS) | F.coalesce("is_named", F.lit(False))
+    pairs, shared, hot = containment(forms.withColumn("share", F.when(asking, F.col("share"))).drop("is_named"), hot_line)
+    hot = cut(hot)
+    some_hot = not hot.isEmpty()
+    posted_lines = shared.join(hot.select("h").distinct(), "h", "left_semi").select(F.col("form").alias("other"), "h") if some_hot else None
 
     holders = known.groupBy("form", "repository_name").agg(F.min("moment").alias("moment"))
     every = pairs.select("form", "other").unionByName(named_forms.select("form", F.col("form").alias("other")))
     there = asked.select("form", "other_repository").distinct().join(every, "form").join(holders.select(F.col("form").alias("other"), F.col("repository_name").alias("other_repository")), ["other", "other_repository"])
-    by_name = cut(asked.join(there.select("form", "other_repository").distinct(), ["form", "other_repository"]).select("node_id").distinct())
+    there = there.select("form", "other_repository").distinct()
+    if some_hot:
+        there = cut(there)
+        named = asked.select("form", "other_repository").distinct().join(there, ["form", "other_repository"], "left_anti").join(hot, "form").join(forms.select("form", "weight"), "form")
+        asks = cut(named.select("form", F.col("other_repository").alias("key"), "h", (HINTED_CONTAINED * F.col("weight")).alias("need"), F.lit(0).alias("at")))
+        posted = holders.select(F.col("form").alias("other"), F.col("repository_name").alias("key")).join(posted_lines, "other").withColumn("at", F.lit(0))
+        there = there.unionByName(_held_by_any(asks, posted, shared, False).withColumnRenamed("key", "other_repository"))
+    by_name = cut(asked.join(there, ["form", "other_repository"]).select("node_id").distinct())
 
     rest = known.where("weight > 0").join(by_name, "node_id", "left_anti")
     telling = F.col("weight") >= F.when(F.col("hinted"), HINTED_CHARS).otherwise(TELLING_CHARS)
@@ -247,25 +300,19 @@ def taken_over(base: DataFrame, hot_line: int = HOT_LINE) -> DataFrame:
     earliest = _two_first(enough.select(F.struct("form", "hinted").alias("key"), "at"), "key").select("key.form", "key.hinted", "a", "b")
     earlier = F.when(F.col("a.repository_name") != F.col("repository_name"), F.col("a")).otherwise(F.col("b"))
     copied = own.join(earliest, ["form", "hinted"]).where(earlier < at).select("form", "repository_name")
-    if not hot.isEmpty():
-        copied = copied.unionByName(_first_elsewhere(own, hot, shared, forms))
+    if some_hot:
+        copied = cut(copied)
+        # where several repositories have a form, all but the first are copies by now
+        once = own.join(firsts.select("form", "a"), "form").where(at == F.col("a")).join(copied, ["form", "repository_name"], "left_anti")
+        need = F.when(F.col("hinted"), HINTED_CONTAINED).otherwise(CONTAINED) * F.col("weight")
+        asks = cut(once.join(forms.select("form", "weight"), "form").where(telling).join(hot, "form").select("form", F.lit("").alias("key"), "h", need.alias("need"), F.col("a").alias("at")))
+        posted = firsts.select(F.col("form").alias("other"), F.explode(F.array_compact(F.array("a", "b"))).alias("at")).join(posted_lines, "other").withColumn("key", F.lit(""))
+        held = _held_by_any(asks, posted, shared, True).select("form")
+        copied = copied.unionByName(firsts.join(held, "form").select("form", F.col("a.repository_name").alias("repository_name")))
     found = rest.where(telling).join(copied.distinct(), ["form", "repository_name"]).select("node_id")
     return by_name.unionByName(found).distinct()
 
 
-def _first_elsewhere(own: DataFrame, hot: DataFrame, shared: DataFrame, forms: DataFrame) -> DataFrame:
-    """form, repository_name of the hot forms most of which other repositories had first."""
-    at = F.struct("moment", "repository_name")
-    lines = shared.join(hot, "form").select("h").distinct()
-    seen = shared.join(lines, "h", "left_semi").select("form", "h").join(own.select("form", at.alias("at")), "form")
-    firsts = _two_first(seen.select("h", "at"), "h")
-    each = own.join(hot, "form").join(shared.select("form", "h", "w"), "form").join(firsts, "h")
-    other = F.when(F.col("a.repository_name") != F.col("repository_name"), F.col("a")).otherwise(F.col("b"))
-    weights = each.where(other < at).groupBy("form", "repository_name", "hinted").agg(F.sum("w").alias("k")).join(forms.select("form", "weight"), "form")
-    share = F.when(F.col("hinted"), HINTED_CONTAINED).otherwise(CONTAINED)
-    return weights.where(F.col("k") >= share * F.col("weight")).select("form", "repository_name")
-
-
 def file_origins(files: DataFrame, texts: DataFrame) -> DataFrame:
     """node_id, repository_name, reason of every source file whose text could be read;
     ``reason`` is ``generated``, ``minified``, ``taken over``, ``data`` or null for

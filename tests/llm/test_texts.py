@@ -353,6 +353,29 @@ def test_copies_of_files_that_many_hold_are_found(spark):
     assert {r.node_id for r in handwritten.taken_over(base, hot_line=20).collect()} == {w for w in wanted if not w.startswith("named")} | {f"named{i}" for i in range(60)}
 
 
+def test_hot_lines_are_compared_exactly(spark):
+    """Files of lines that many hold: copies of one text are found, by name, by time and
+    late among the holders; lines that stood in several texts before make no copy."""
+    parts = [body(3000 + i, 4) for i in range(4)]
+    widget = "".join(parts)
+    rows = [(f"part{k}_{i}", f"p{k}_{i}", "src/p.py", parts[k] + body(4000 + 100 * k + i, 8), 1) for k in range(4) for i in range(8)]
+    rows += [("mosaic", "own", "src/m.py", widget, 2)]  # all its lines stood somewhere before, in no text together
+    rows += [(f"edited{i}", f"app{i}", "src/w.py", widget + f"changed_{i} = {i}\n", 3) for i in range(8)]
+    rows += [("called", "app0", "pkg/own/w.py", f"called = 1\n{widget}", 1), ("unlike", "app1", "pkg/own/u.py", parts[0] + body(5000, 8), 1)]
+    base = handwritten.line_table(*origin_tables(spark, rows)).cache()
+    wanted = {f"edited{i}" for i in range(8)} | {"called"}
+    for hot_line in (200, 3):
+        assert {r.node_id for r in handwritten.taken_over(base, hot_line).collect()} == wanted
+    base.unpersist()
+
+
+def test_a_short_text_may_hold_a_longer_one(spark):
+    own, short = body(1, 8), body(2, 4)
+    rows = [("orig", "first", "src/a.py", own, 1), ("copy", "then", "src/b.py", own + "# patched here by us, see the ticket and ask before you change it\n", 2)]
+    rows += [("short", "lib_x", "src/s.py", short, 1), ("named", "app", "pkg/lib_x/s.py", short + "changed = 1\n", 2)]
+    assert {r.node_id for r in handwritten.not_handwritten(*origin_tables(spark, rows)).collect()} == {"copy", "named"}
+
+
 def test_containment_as_brute_force(spark):
     r = random.Random(5)
     pool = [f"line number {i} " + "x" * r.randrange(30) for i in range(40)]
